@@ -169,7 +169,7 @@ def attach(
     if longest <= block_rows:
         return rows.join(values, keys, how)
     block = F.floor(F.col(ordinal) / block_rows).cast("long")
-    blocks = rows.select(*keys, block.alias("_block")).groupBy(*keys, "_block").agg()
+    blocks = rows.select(*keys, block.alias("_block")).distinct()
     spread = values.join(blocks, keys)
     return rows.withColumn("_block", block).join(spread, [*keys, "_block"], how).drop("_block")
 

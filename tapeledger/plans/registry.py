@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["alignment"]
+MODULES = ["alignment", "manifests", "layout"]
 
 
 def all_queries() -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["alignment", "manifests", "layout"]
+MODULES = ["alignment", "manifests", "layout", "naming", "tagging"]
 
 
 def all_queries() -> dict:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,10 +44,9 @@ FAILING = ["CORRUPT", "SUSPECT", "MISSING", "WRONG_SIZE", "UNREADABLE"]
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
-    """A small fixed table as one CASE expression; null when the key is not in it."""
-    items = list(table.items())
-    start = F.when(key == items[0][0], items[0][1])
-    return reduce(lambda case, kv: case.when(key == kv[0], kv[1]), items[1:], start)
+    """A small fixed table as a map literal, so the key is computed once; null when absent."""
+    cells = [F.lit(v) for item in table.items() for v in item]
+    return F.try_element_at(F.create_map(*cells), key)
 
 
 def base_name(path: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["alignment", "manifests", "layout", "naming", "tagging"]
+MODULES = ["alignment", "manifests", "layout", "naming", "tagging", "catalogue", "events", "readers"]
 
 
 def all_queries() -> dict:

@@ -20,12 +20,17 @@ from pyspark.sql import functions as F
 
 from tapeledger.session import cut_lineage
 
-# Rows of one set that a single task may sort.
+# Rows of one set that a single task may sort, unless the session sets its own bound.
 BLOCK_ROWS = 1 << 18
+BLOCK_ROWS_CONF = "spark.tapeledger.blockRows"
 
 Aggregate = tuple[Callable[[Column], Column], Column]
 
 
+def rows_per_block(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS)))
+
+
 def longest_set(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows in the largest set: one map-side combined count, one number to the driver."""
     row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
@@ -38,11 +43,11 @@ def number_rows(
     order: Sequence[str | Column],
     ordinal: str = "ordinal",
     longest: int | None = None,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add the 0-based position of each row in its set. ``order`` must have no ties."""
     keys = list(keys)
     longest = longest_set(df, keys) if longest is None else longest
+    block_rows = rows_per_block(df)
     by_order = [F.col(c) if isinstance(c, str) else c for c in order]
     if longest <= block_rows:
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*by_order))
@@ -54,7 +59,7 @@ def number_rows(
     keyed = df.withColumns(dict(zip(sort_names, by_order)))
     parts = max(
         int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-        -(-df.count() // block_rows),
+        -(-df.count() // BLOCK_ROWS),
     )
     ranged = cut_lineage(
         keyed.repartitionByRange(parts, *keys, *sort_names).withColumn(
@@ -85,7 +90,6 @@ def scan_sets(
     totals: Mapping[str, Aggregate] | None = None,
     ordinal: str = "ordinal",
     longest: int | None = None,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add scan columns to ``df``.
 
@@ -96,6 +100,7 @@ def scan_sets(
     keys = list(keys)
     running, nexts, prevs, totals = (dict(m or {}) for m in (running, nexts, prevs, totals))
     longest = longest_set(df, keys) if longest is None else longest
+    block_rows = rows_per_block(df)
 
     def windows(part_keys):
         ordered = Window.partitionBy(*part_keys).orderBy(ordinal)
@@ -161,11 +166,11 @@ def attach(
     how: str = "left",
     ordinal: str = "ordinal",
     longest: int | None = None,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Join one-row-per-set ``values`` onto ``rows``; a long set is spread over its blocks."""
     keys = list(keys)
     longest = longest_set(rows, keys) if longest is None else longest
+    block_rows = rows_per_block(rows)
     if longest <= block_rows:
         return rows.join(values, keys, how)
     block = F.floor(F.col(ordinal) / block_rows).cast("long")

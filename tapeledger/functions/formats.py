@@ -85,6 +85,20 @@ def duration_secs(frames: Column, rate: Column) -> Column:
     return frames.cast("double") / rate.cast("double")
 
 
+# A time unit in which a frame is a whole number at every usual sample rate, per second.
+TICKS = 705_600_000
+
+
+def ticks(frames: Column, rate: Column) -> Column:
+    """A file's length in whole ticks, so that totals add up exactly in any order."""
+    whole = F.call_function("div", frames, rate.cast("long")) * TICKS
+    return whole + F.call_function("div", F.pmod(frames, rate.cast("long")) * TICKS, rate.cast("long"))
+
+
+def tick_secs(total: Column) -> Column:
+    return total / F.lit(float(TICKS))
+
+
 def bytes_per_frame(channels: Column, bits: Column) -> Column:
     return channels * F.ceil(bits / 8).cast("int")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeledger.functions.binding import let
@@ -25,26 +25,27 @@ def name_spec(fields: DataFrame) -> DataFrame:
     ``fields``: ``set_id, folder, band, date, disc, short_year`` as typed; a field left null is
     read from the folder's name.
     """
-    parsed = fields.withColumn("_show", parse_show_folder(F.col("folder")))
-    typed = parsed.select(
-        *SET,
-        "short_year",
-        F.trim(F.coalesce("band", F.col("_show.band"))).alias("band"),
-        F.when(F.col("date").isNull(), F.col("_show.date"))
-        .otherwise(parse_show_date(F.trim("date"))["date"])
-        .alias("date"),
-        F.trim(F.coalesce("disc", F.lit(""))).alias("_disc"),
-    )
-    number = F.when(F.col("_disc").rlike(r"^\+?[0-9]+\z"), F.col("_disc").try_cast("long"))
-    error = (
-        F.when(F.coalesce("band", F.lit("")) == "", "NO_BAND")
-        .when(F.col("date").isNull(), "BAD_DATE")
-        .when((F.col("_disc") != "") & ~F.coalesce(number <= MAX_U32, F.lit(False)), "BAD_DISC")
-    )
-    return typed.select(
-        *SET, "band", "date", number.alias("disc"), F.coalesce("short_year", F.lit(False)).alias("short_year"),
-        error.alias("error"),
-    )
+    def typed(show: Column) -> Column:
+        return F.struct(
+            F.trim(F.coalesce("band", show["band"])).alias("band"),
+            F.when(F.col("date").isNull(), show["date"])
+            .otherwise(parse_show_date(F.trim("date"))["date"])
+            .alias("date"),
+            F.trim(F.coalesce("disc", F.lit(""))).alias("disc"),
+        )
+
+    def judged(v: Column) -> Column:
+        number = F.when(v["disc"].rlike(r"^\+?[0-9]+\z"), v["disc"].try_cast("long"))
+        error = (
+            F.when(F.coalesce(v["band"], F.lit("")) == "", "NO_BAND")
+            .when(v["date"].isNull(), "BAD_DATE")
+            .when((v["disc"] != "") & ~F.coalesce(number <= MAX_U32, F.lit(False)), "BAD_DISC")
+        )
+        return F.struct(v["band"].alias("band"), v["date"].alias("date"), number.alias("disc"), error.alias("error"))
+
+    spec = let(let(parse_show_folder(F.col("folder")), typed), judged)
+    short = F.coalesce("short_year", F.lit(False)).alias("short_year")
+    return fields.select(*SET, spec.alias("s"), short).select(*SET, "s.band", "s.date", "s.disc", "short_year", "s.error")
 
 
 def rename_target(files: DataFrame, spec: DataFrame, keep_suffix: bool = True, longest: int | None = None) -> DataFrame:

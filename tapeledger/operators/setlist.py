@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeledger.functions.display import duration_short
+from tapeledger.functions.formats import tick_secs, ticks
 from tapeledger.functions.names import parse_track_name, track_label
 from tapeledger.operators.ordered import attach, number_rows, scan_sets, text_parts
+from tapeledger.functions.tags import SHOW_FIELDS
 from tapeledger.operators.tags import show_values
 
 SET = ["set_id"]
@@ -42,41 +44,27 @@ def disc_runs(tracks: DataFrame, longest: int | None = None) -> DataFrame:
     return runs.drop("_before", "_new")
 
 
-def _per_rate(rows: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
-    """Whole frames per sample rate; a set has few rates, so little is added as doubles."""
-    return rows.groupBy(*keys, "sample_rate").agg(F.sum("frames").alias("_frames"), *aggs)
-
-
-def _secs() -> Column:
-    return F.coalesce(F.sum(F.col("_frames") / F.col("sample_rate")), F.lit(0.0))
+def _length() -> Column:
+    return ticks(F.col("frames"), F.col("sample_rate"))
 
 
 def disc_totals(runs: DataFrame) -> DataFrame:
     """Length of each run, unknown lengths skipped; too long for a CD-R when all is CD audio."""
-    keys = [*SET, "run_no"]
-    per_rate = _per_rate(
-        runs,
-        keys,
-        F.min("disc").alias("_disc"),
-        F.min("ordinal").alias("_first"),
-        F.count(F.lit(1)).alias("_tracks"),
-        F.bool_and("is_cdda").alias("_cdda"),
-    )
     return (
-        per_rate.groupBy(*keys)
+        runs.groupBy(*SET, "run_no")
         .agg(
-            F.min("_disc").alias("disc"),
-            F.min("_first").alias("first_ordinal"),
-            F.sum("_tracks").alias("tracks"),
-            _secs().alias("secs"),
-            F.bool_and("_cdda").alias("all_cdda"),
+            F.min("disc").alias("disc"),
+            F.min("ordinal").alias("first_ordinal"),
+            F.count(F.lit(1)).alias("tracks"),
+            tick_secs(F.coalesce(F.sum(_length()), F.lit(0))).alias("secs"),
+            F.bool_and("is_cdda").alias("all_cdda"),
         )
         .withColumn("too_long", F.col("all_cdda") & (F.col("secs") > CD_MAX_SECS))
     )
 
 
 def set_total(runs: DataFrame) -> DataFrame:
-    return _per_rate(runs, SET).groupBy(*SET).agg(_secs().alias("secs"))
+    return runs.groupBy(*SET).agg(tick_secs(F.coalesce(F.sum(_length()), F.lit(0))).alias("secs"))
 
 
 def other_text_files(plan: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -126,47 +114,50 @@ def setlist_lines(
     ``signature`` is a last line naming the program that wrote the file.
     """
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit(NO_TITLE))
-    whole = runs.groupBy(*SET).agg(
-        F.max(F.length(title)).alias("_width"), F.bool_or(F.col("disc").isNotNull()).alias("_has_discs")
+    named = show.select(*SET, *[F.col(f).alias(f"_show_{f}") for f in SHOW_FIELDS])
+    run = F.struct("run_no")
+    whole = scan_sets(
+        attach(runs, named, SET, longest=longest).withColumn("_ticks", _length()),
+        SET,
+        prevs={"_before": run},
+        nexts={"_after": run},
+        totals={
+            "_width": (F.max, F.length(title)),
+            "_has_discs": (F.bool_or, F.col("disc").isNotNull()),
+            "_set_ticks": (F.sum, F.coalesce("_ticks", F.lit(0))),
+        },
+        longest=longest,
+    )
+    rows = scan_sets(
+        whole, [*SET, "run_no"], totals={"_run_ticks": (F.sum, F.coalesce("_ticks", F.lit(0)))}, longest=longest
     )
 
-    def line(section: int, block, row, text: Column) -> Column:
-        as_long = [F.lit(v).cast("long") if isinstance(v, int) else v.cast("long") for v in (section, block, row)]
-        return F.struct(*[v.alias(n) for v, n in zip(as_long, ("section", "block", "row"))], text.alias("line"))
-
-    def lines(df: DataFrame, *built: Column) -> DataFrame:
-        return df.select(*SET, F.explode(F.array_compact(F.array(*built))).alias("l")).select(*SET, "l.*")
-
+    first, last = F.col("_before").isNull(), F.col("_after").isNull()
+    opens = first | (F.col("_before.run_no") != F.col("run_no"))
+    closes = last | (F.col("_after.run_no") != F.col("run_no"))
     empty = F.lit("")
-    heads = lines(
-        show,
-        *[
-            F.when(F.col(f).isNotNull(), line(0, 0, i, F.col(f)))
-            for i, f in enumerate(("artist", "date", "album", "location"))
-        ],
-        line(0, 0, 4, empty),
-        line(0, 0, 5, F.concat(F.lit("Source: "), F.coalesce("comment", empty))),
-        line(0, 0, 6, empty),
-    )
-    # ``row`` is -1 above a run and past every ordinal below it.
-    name = F.coalesce(F.concat(F.lit("Disc "), F.col("disc").cast("string")), F.lit("Other"))
-    titled = F.concat(name, F.lit(" ["), duration_short(F.col("secs")), F.lit("]"))
-    blocks = lines(
-        disc_totals(runs).join(whole, SET),
-        F.when(F.col("_has_discs"), line(1, F.col("run_no"), -1, titled)),
-        line(1, F.col("run_no"), F.lit((1 << 63) - 1), empty),
-    )
+    head = [F.col(f"_show_{f}") for f in ("artist", "date", "album", "location")]
+    source = F.concat(F.lit("Source: "), F.coalesce("_show_comment", empty))
+    disc = F.coalesce(F.concat(F.lit("Disc "), F.col("disc").cast("string")), F.lit("Other"))
+    disc_line = F.concat(disc, F.lit(" ["), duration_short(tick_secs(F.col("_run_ticks"))), F.lit("]"))
     time = F.coalesce(duration_short(F.col("frames") / F.col("sample_rate")), F.lit("?:??"))
     aligned = F.when(F.length(time) < 5, F.lpad(time, 5, " ")).otherwise(time)
-    row = F.concat(F.col("label"), F.lit("  "), F.rpad(title, F.col("_width"), F.lit(" ")), F.lit("  "), aligned)
-    body = lines(attach(runs, whole, SET, "inner", longest=longest), line(1, F.col("run_no"), F.col("ordinal"), row))
-    total = F.concat(F.lit("Total: "), duration_short(F.col("secs")))
-    signed = [] if signature is None else [line(2, 0, 1, empty), line(2, 0, 2, F.lit(signature))]
-    foot = lines(set_total(runs), line(2, 0, 0, total), *signed)
-    every = heads.unionByName(blocks).unionByName(body).unionByName(foot)
-    # A set has at most three lines per track besides its head and foot.
-    bound = None if longest is None else 3 * longest + 8
-    return number_rows(every, SET, ["section", "block", "row"], "line_no", longest=bound).select(*SET, "line_no", "line")
+    track = F.concat(F.col("label"), F.lit("  "), F.rpad(title, F.col("_width"), F.lit(" ")), F.lit("  "), aligned)
+    total = F.concat(F.lit("Total: "), duration_short(tick_secs(F.col("_set_ticks"))))
+    foot = [total] if signature is None else [total, empty, F.lit(signature)]
+    # A set's first row opens the file, a run's first and last rows frame the run.
+    lines = F.array(
+        *[F.when(first, text) for text in [*head, empty, source, empty]],
+        F.when(opens & F.col("_has_discs"), disc_line),
+        track,
+        F.when(closes, empty),
+        *[F.when(last, text) for text in foot],
+    )
+    exploded = rows.select(*SET, "ordinal", F.posexplode(F.array_compact(lines)).alias("place", "line"))
+    # A track adds at most three lines besides the head and foot of its set.
+    bound = None if longest is None else 3 * longest + 10
+    numbered = number_rows(exploded, SET, ["ordinal", "place"], "line_no", longest=bound)
+    return numbered.select(*SET, "line_no", "line")
 
 
 def render_setlists(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tapeledger.functions.formats import is_taggable
 from tapeledger.functions.names import parse_show_folder, render_show_date
 from tapeledger.functions.tags import SHOW_FIELDS, TAG_FIELDS, no_tags, tags_applied
-from tapeledger.operators.ordered import number_rows, scan_sets
+from tapeledger.operators.ordered import longest_set, number_rows, scan_sets
 
 SET = ["set_id"]
 FILE = ["set_id", "ordinal"]
@@ -80,11 +80,18 @@ def show_values(tags: DataFrame) -> DataFrame:
     )
 
 
-def show_disagreements(tags: DataFrame) -> DataFrame:
-    """The values of each field that differs inside a set, numbered as first seen."""
-    ranked = number_rows(_seen(tags), [*SET, "field_no", "field"], ["first_seen"], "value_no")
-    several = ranked.filter(F.col("value_no") == 1).select(*SET, "field_no")
-    return ranked.join(several, [*SET, "field_no"], "left_semi")
+def show_disagreements(tags: DataFrame, longest: int | None = None) -> DataFrame:
+    """The values of each field that differs inside a set, numbered as first seen.
+
+    A field has no more values than its set has files, so ``longest`` is that of ``tags``.
+    """
+    longest = longest_set(tags, SET) if longest is None else longest
+    keys = [*SET, "field_no", "field"]
+    ranked = number_rows(_seen(tags), keys, ["first_seen"], "value_no", longest=longest)
+    counted = scan_sets(
+        ranked, keys, totals={"_values": (F.sum, F.lit(1).cast("long"))}, ordinal="value_no", longest=longest
+    )
+    return counted.filter(F.col("_values") > 1).drop("_values")
 
 
 def seed_show(tags: DataFrame, folders: DataFrame) -> DataFrame:

@@ -64,8 +64,8 @@ def values(spark, sf_dir):
 
 
 def disagreements(spark, sf_dir):
-    rows, _ = S.tags(spark, sf_dir)
-    return G.show_disagreements(rows).select("set_id", "field", "value", "first_seen", "value_no")
+    rows, longest = S.tags(spark, sf_dir)
+    return G.show_disagreements(rows, longest).select("set_id", "field", "value", "first_seen", "value_no")
 
 
 def seeded(spark, sf_dir):
@@ -177,7 +177,7 @@ d AS (SELECT *, CASE l_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS disc, CASE
    ELSE 't' || CASE WHEN place < 9 THEN '0' ELSE '' END || (place + 1) END AS label, sample_rate = 44100 AS cd FROM fl),
 c AS (SELECT *, CASE WHEN place > 0 AND disc IS DISTINCT FROM lag(disc) OVER (PARTITION BY set_id ORDER BY place) THEN 1 ELSE 0 END AS flip FROM d),
 runs AS (SELECT *, CAST(sum(flip) OVER (PARTITION BY set_id ORDER BY place) AS BIGINT) AS run_no FROM c),
-tot AS (SELECT set_id, run_no, min(disc) AS disc, min(place) AS first_ordinal, count(*) AS tracks, coalesce(sum(CAST(frames AS DOUBLE) / sample_rate), 0) AS secs,
+tot AS (SELECT set_id, run_no, min(disc) AS disc, min(place) AS first_ordinal, count(*) AS tracks, coalesce(CAST(sum(frames // sample_rate * 705600000 + frames % sample_rate * 705600000 // sample_rate) AS BIGINT), 0) / 705600000.0::DOUBLE AS secs,
    bool_and(cd) AS all_cdda FROM runs GROUP BY ALL)"""
 
 
@@ -246,7 +246,7 @@ FROM k JOIN r USING (set_id) LEFT JOIN l ON k.set_id = l.set_id AND k.n = l.n"""
     ),
     "set_total": (
         set_totals,
-        f"WITH {RUNS} SELECT set_id, {clock('secs')} AS length FROM (SELECT set_id, coalesce(sum(CAST(frames AS DOUBLE) / sample_rate), 0) AS secs FROM runs GROUP BY set_id)",
+        f"WITH {RUNS} SELECT set_id, {clock('secs')} AS length FROM (SELECT set_id, coalesce(CAST(sum(frames // sample_rate * 705600000 + frames % sample_rate * 705600000 // sample_rate) AS BIGINT), 0) / 705600000.0::DOUBLE AS secs FROM runs GROUP BY set_id)",
     ),
     "other_text_files": (
         text_files,
@@ -266,7 +266,7 @@ UNION ALL SELECT CAST(substr(dir, 4) AS BIGINT), 'OTHER_TEXT', file_name FROM ({
         rendered,
         f"""WITH {RUNS},
 w AS (SELECT set_id, max(length(coalesce(nullif(title, ''), '(no title)'))) AS width, bool_or(disc IS NOT NULL) AS discs,
-   {', '.join(f"arg_min({f}, place) FILTER (WHERE {f} <> '') AS {f}" for f in T.SHOW_FIELDS)}, coalesce(sum(CAST(frames AS DOUBLE) / sample_rate), 0) AS secs FROM runs GROUP BY set_id),
+   {', '.join(f"arg_min({f}, place) FILTER (WHERE {f} <> '') AS {f}" for f in T.SHOW_FIELDS)}, coalesce(CAST(sum(frames // sample_rate * 705600000 + frames % sample_rate * 705600000 // sample_rate) AS BIGINT), 0) / 705600000.0::DOUBLE AS secs FROM runs GROUP BY set_id),
 rows AS (SELECT r.set_id, run_no, string_agg(label || '  ' || rpad(coalesce(nullif(title, ''), '(no title)'), CAST(width AS INT), ' ') || '  '
     || CASE WHEN length(tm) < 5 THEN lpad(tm, 5, ' ') ELSE tm END || chr(13) || chr(10), '' ORDER BY place) AS body
   FROM (SELECT *, coalesce({clock('CAST(frames AS DOUBLE) / sample_rate')}, '?:??') AS tm FROM runs) r JOIN w USING (set_id) GROUP BY ALL),

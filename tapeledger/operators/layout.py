@@ -63,14 +63,15 @@ def piece_segments(spans: DataFrame, piece_length: Column) -> DataFrame:
     )
 
 
-def piece_slices(chunks: DataFrame, piece_length: int) -> DataFrame:
+def piece_slices(chunks: DataFrame, piece_length: int | Column) -> DataFrame:
     """Cut chunks of content (``set_id, start, length, is_pad, content``) at piece edges.
 
     ``start`` is the chunk's offset in the stream. A file may come as one chunk or as many.
     The slices are cut before they are exploded, so no row carries its whole chunk along.
     """
-    size = F.lit(piece_length).cast("long")
+    size = (F.lit(piece_length) if isinstance(piece_length, int) else piece_length).cast("long")
     start, end = F.col("start"), F.col("start") + F.col("length")
+    kept = [c for c in ("ordinal", "reason") if c in chunks.columns]
 
     def slice_of(piece: Column) -> Column:
         begin = piece * size
@@ -83,8 +84,8 @@ def piece_slices(chunks: DataFrame, piece_length: int) -> DataFrame:
     pieces = F.sequence(_piece_of(start, size), _piece_of(end - 1, size))
     return (
         chunks.filter(F.col("length") > 0)
-        .select(*SET, F.explode(F.transform(pieces, slice_of)).alias("s"))
-        .select(*SET, "s.*")
+        .select(*SET, *kept, F.explode(F.transform(pieces, slice_of)).alias("s"))
+        .select(*SET, *kept, "s.*")
     )
 
 

@@ -36,6 +36,21 @@ def parse_manifests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def digest_rows(hashed: DataFrame) -> DataFrame:
+    """What each named file hashes to, for the kind its list asks for.
+
+    ``hashed``: ``dir, file_name, kind, format, stream, file_md5, st5, reason``. The audio of a
+    compressed file is not decoded, so its ST5 is reported as an error and never as a mismatch.
+    """
+    kind = F.col("kind")
+    digest = (
+        F.when(kind == "ffp", F.col("stream.audio_md5")).when(kind == "md5", F.col("file_md5")).otherwise(F.col("st5"))
+    )
+    why = F.when(kind == "ffp", "no audio MD5 in the header").otherwise("audio is not decoded")
+    error = F.when(digest.isNull(), F.coalesce("reason", why))
+    return hashed.select("dir", "file_name", "kind", digest.alias("digest"), error.alias("error"))
+
+
 def list_status(manifest: DataFrame, bad_lines: DataFrame) -> DataFrame:
     """Entries and refused lines per list; a list is sound when nothing was refused."""
     both = manifest.select("list_path", F.lit(0).alias("bad")).unionByName(

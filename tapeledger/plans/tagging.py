@@ -267,12 +267,15 @@ UNION ALL SELECT CAST(substr(dir, 4) AS BIGINT), 'OTHER_TEXT', file_name FROM ({
         f"""WITH {RUNS},
 w AS (SELECT set_id, max(length(coalesce(nullif(title, ''), '(no title)'))) AS width, bool_or(disc IS NOT NULL) AS discs,
    {', '.join(f"arg_min({f}, place) FILTER (WHERE {f} <> '') AS {f}" for f in T.SHOW_FIELDS)}, coalesce(CAST(sum(frames // sample_rate * 705600000 + frames % sample_rate * 705600000 // sample_rate) AS BIGINT), 0) / 705600000.0::DOUBLE AS secs FROM runs GROUP BY set_id),
-rows AS (SELECT r.set_id, run_no, string_agg(label || '  ' || rpad(coalesce(nullif(title, ''), '(no title)'), CAST(width AS INT), ' ') || '  '
-    || CASE WHEN length(tm) < 5 THEN lpad(tm, 5, ' ') ELSE tm END || chr(13) || chr(10), '' ORDER BY place) AS body
-  FROM (SELECT *, coalesce({clock('CAST(frames AS DOUBLE) / sample_rate')}, '?:??') AS tm FROM runs) r JOIN w USING (set_id) GROUP BY ALL),
-blocks AS (SELECT set_id, string_agg(CASE WHEN discs THEN coalesce('Disc ' || disc, 'Other') || ' [' || {clock('tot.secs')} || ']' || chr(13) || chr(10) ELSE '' END || body || chr(13) || chr(10), '' ORDER BY run_no) AS text
-  FROM tot JOIN rows USING (set_id, run_no) JOIN w USING (set_id) GROUP BY set_id)
-SELECT set_id, CAST(0 AS BIGINT) AS part, replace(coalesce(artist || '~', '') || coalesce(date || '~', '') || coalesce(album || '~', '') || coalesce(location || '~', '') || '~Source: ' || coalesce(comment, '') || '~~', '~', chr(13) || chr(10))
-  || text || 'Total: ' || {clock('w.secs')} || chr(13) || chr(10) AS text FROM w JOIN blocks USING (set_id)""",
+named AS (SELECT r.*, width, coalesce(nullif(title, ''), '(no title)') AS shown_title, coalesce({clock('CAST(frames AS DOUBLE) / sample_rate')}, '?:??') AS tm FROM runs r JOIN w USING (set_id)),
+lines AS (
+  SELECT set_id, 0 AS a, 0 AS b, 0 AS c, artist AS line FROM w WHERE artist IS NOT NULL UNION ALL SELECT set_id, 0, 0, 1, date FROM w WHERE date IS NOT NULL
+  UNION ALL SELECT set_id, 0, 0, 2, album FROM w WHERE album IS NOT NULL UNION ALL SELECT set_id, 0, 0, 3, location FROM w WHERE location IS NOT NULL
+  UNION ALL SELECT set_id, 0, 0, 4, '' FROM w UNION ALL SELECT set_id, 0, 0, 5, 'Source: ' || coalesce(comment, '') FROM w UNION ALL SELECT set_id, 0, 0, 6, '' FROM w
+  UNION ALL SELECT set_id, 1, run_no, -1, coalesce('Disc ' || disc, 'Other') || ' [' || {clock('tot.secs')} || ']' FROM tot JOIN w USING (set_id) WHERE discs
+  UNION ALL SELECT set_id, 1, run_no, place, label || '  ' || rpad(shown_title, CAST(width AS INT), ' ') || '  ' || CASE WHEN length(tm) < 5 THEN lpad(tm, 5, ' ') ELSE tm END FROM named
+  UNION ALL SELECT set_id, 1, run_no, 1000000000000, '' FROM tot UNION ALL SELECT set_id, 2, 0, 0, 'Total: ' || {clock('secs')} FROM w),
+placed AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY a, b, c) - 1 AS n FROM lines)
+SELECT set_id, n // 10000 AS part, string_agg(line || chr(13) || chr(10), '' ORDER BY n) AS text FROM placed GROUP BY ALL""",
     ),
 }

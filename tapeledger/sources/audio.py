@@ -11,19 +11,13 @@ from pyspark.sql import functions as F
 from tapeledger.functions.tags import project_comments
 from tapeledger.operators.inventory import split_readable, union_sets
 from tapeledger.schemas import PROBE_FIELDS
-from tapeledger.sources.opening import map_files, read_exact
+from tapeledger.sources.opening import list_files, map_files, read_exact
 
 CHUNK = 1 << 20
 # Plain and extensible PCM.
 PCM_TAGS = (0x0001, 0xFFFE)
 
 
-def list_files(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
-    """``path, file_size`` of every file; contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(paths).select("path", F.col("length").alias("file_size"))
-
-
 def flac_facts(f) -> dict:
     """The stream block, and the comment block if there is one; other blocks are skipped."""
     if read_exact(f, 4) != b"fLaC":
@@ -208,8 +202,9 @@ def read_chunks(files: DataFrame, chunk_bytes: int = 1 << 24) -> DataFrame:
     ranges = files.filter(F.col("length") > 0).withColumn(
         "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step))
     )
+    kept = [c for c in ("ordinal", "piece_length") if c in files.columns]
     cut = ranges.select(
-        "set_id", "path", "is_pad", "_from",
+        "set_id", *kept, "path", "is_pad", "_from",
         (F.col("start") + F.col("_from")).alias("start"),
         F.least(step, F.col("length") - F.col("_from")).alias("length"),
     )

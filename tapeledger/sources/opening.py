@@ -4,25 +4,78 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def open_path(path: str):
-    """A seekable file for a local path or any address the storage layer knows."""
+def locate(path: str):
+    """The store a path lives in, its name there, and what to put before names to get paths."""
     if path.startswith("file:"):
         path = "/" + path[len("file:") :].lstrip("/")
     if "://" not in path:
-        return fs.LocalFileSystem().open_input_file(path)
+        return fs.LocalFileSystem(), path, "file:"
     store, inside = fs.FileSystem.from_uri(quote(path, safe="/:"))
+    return store, inside, path[: len(path) - len(inside)] if path.endswith(inside) else ""
+
+
+def open_path(path: str):
+    """A seekable file for a local path or any address the storage layer knows."""
+    store, inside, _ = locate(path)
     return store.open_input_file(inside)
 
 
+LISTED = "path string, file_size bigint, is_dir boolean"
+
+
+def _listing(path: str, recursive: bool) -> Iterator[tuple[str, int | None, bool]]:
+    store, inside, before = locate(path)
+    info = store.get_file_info(inside)
+    if info.type != fs.FileType.Directory:
+        size = info.size if info.type == fs.FileType.File else None
+        yield before + inside, size, False
+        return
+    for entry in store.get_file_info(fs.FileSelector(inside, recursive=recursive)):
+        is_dir = entry.type == fs.FileType.Directory
+        yield before + entry.path, None if is_dir else entry.size, is_dir
+
+
+def list_files(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
+    """``path, file_size`` of every file under the given folders, and of files given themselves.
+
+    Folders are listed by tasks: the given ones first, then each of their subfolders on its
+    own, so neither the driver nor one task holds a collection's listing. Empty files are
+    listed too, which the binary file source leaves out. A path that is not there has no size.
+    """
+    given = [paths] if isinstance(paths, str) else list(paths)
+
+    def lister(deep: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path in batch.column("path").to_pylist():
+                    rows = _listing(path, deep)
+                    while chunk := list(islice(rows, 10_000)):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, t) for c, t in zip(zip(*chunk), (pa.string(), pa.int64(), pa.bool_()))],
+                            names=["path", "file_size", "is_dir"],
+                        )
+
+        return run
+
+    seeds = spark.createDataFrame([(p,) for p in given], "path string").repartition(len(given))
+    top = seeds.mapInArrow(lister(False), LISTED)
+    found = top.filter("NOT is_dir")
+    if recursive:
+        deeper = top.filter("is_dir").select("path").repartition("path").mapInArrow(lister(True), LISTED)
+        found = found.unionByName(deeper.filter("NOT is_dir"))
+    return found.select("path", "file_size")
+
+
 def read_exact(f, n: int) -> bytes:
     data = f.read(n)
     if len(data) != n:

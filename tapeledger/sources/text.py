@@ -6,7 +6,7 @@ where they stand: file, offset of the split in it, place in the split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeledger.functions.names import slug, strip_space
@@ -14,11 +14,25 @@ from tapeledger.operators.manifests import parse_manifests
 from tapeledger.operators.ordered import first_occurrence, number_rows
 
 
-def read_lines(spark: SparkSession, paths, line_sep: str | None = "\n") -> DataFrame:
+LIST_GLOB = "*.{ffp,md5,st5,FFP,MD5,ST5}"
+
+
+def plain_path(address: Column) -> Column:
+    """The path other readers report: file addresses come percent-encoded from the text reader."""
+    return F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B")))
+
+
+def read_lines(
+    spark: SparkSession, paths, line_sep: str | None = "\n", glob: str | None = None, recursive: bool = False
+) -> DataFrame:
     """``list_path, line_no, line``; line numbers start at 1 and count every line."""
-    reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    if line_sep is not None:
+        reader = reader.option("lineSep", line_sep)
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
     rows = reader.text(paths).select(
-        F.col("_metadata.file_path").alias("list_path"),
+        plain_path(F.col("_metadata.file_path")).alias("list_path"),
         F.col("_metadata.file_block_start").alias("_from"),
         F.monotonically_increasing_id().alias("_at"),
         F.col("value").alias("line"),
@@ -27,8 +41,9 @@ def read_lines(spark: SparkSession, paths, line_sep: str | None = "\n") -> DataF
     return numbered.select("list_path", (F.col("line_no") + 1).alias("line_no"), "line")
 
 
-def read_manifests(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    return parse_manifests(read_lines(spark, paths))
+def read_manifests(spark: SparkSession, paths, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every list of the three kinds in a folder (or the given files); other files are not opened."""
+    return parse_manifests(read_lines(spark, paths, glob=LIST_GLOB, recursive=recursive))
 
 
 def parse_tracker_lists(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

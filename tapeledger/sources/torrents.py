@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeledger.functions.formats import is_padding
 from tapeledger.functions.tags import announce_tiers
 from tapeledger.schemas import TORRENT_FIELDS
-from tapeledger.sources.opening import map_files
+from tapeledger.sources.opening import list_files, map_files
 
 
 def bdecode(data: bytes, at: int, spans: dict[bytes, tuple[int, int]] | None = None):
@@ -20,9 +20,9 @@ def bdecode(data: bytes, at: int, spans: dict[bytes, tuple[int, int]] | None = N
     """
     kind = data[at : at + 1]
     if kind == b"i":
-        end = data.index(b"e", at)
-        text = data[at + 1 : end]
-        if str(int(text)).encode() != text:
+        end = data.find(b"e", at)
+        text = data[at + 1 : max(end, 0)]
+        if not text.removeprefix(b"-").isdigit() or str(int(text)).encode() != text:
             raise ValueError("BENCODE")
         return int(text), end + 1
     if kind == b"l":
@@ -43,8 +43,8 @@ def bdecode(data: bytes, at: int, spans: dict[bytes, tuple[int, int]] | None = N
                 spans[key] = (start, at)
             before = key
         return found, at + 1
-    colon = data.index(b":", at)
-    size = data[at:colon]
+    colon = data.find(b":", at)
+    size = data[at : max(colon, 0)]
     if not size.isdigit() or (size[:1] == b"0" and size != b"0") or colon + 1 + int(size) > len(data):
         raise ValueError("BENCODE")
     return data[colon + 1 : colon + 1 + int(size)], colon + 1 + int(size)
@@ -127,8 +127,9 @@ def decode_torrents(binary: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_torrents(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    listed = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return decode_torrents(listed.withColumn("set_id", F.col("path")))
+    """Every ``.torrent`` in the given folders; ``set_id`` is its path."""
+    listed = list_files(spark, paths).filter(F.col("path").endswith(".torrent"))
+    return decode_torrents(listed.select(F.col("path").alias("set_id"), "path"))
 
 
 def torrent_files(documents: DataFrame) -> DataFrame:

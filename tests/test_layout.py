@@ -246,3 +246,14 @@ def test_draft_rules(spark):
     pieces = spark.createDataFrame([("b", 0), ("c", 0)], "set_id string, piece long")
     got = {tuple(r) for r in Q.draft_violations(drafts, files, pieces).collect()}
     assert got == {("a", "EMPTY_NAME"), ("a", "ZERO_PIECE_LENGTH"), ("a", "NO_DATA"), ("a", "NO_FILES"), ("b", "EMPTY_PATH"), ("c", "PIECE_COUNT")}
+
+
+def test_reading_torrents_from_disk(spark, tmp_path):
+    good = bencode({"info": info_of(MULTI[:1], 128, name="file", length=100)})
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "a.torrent").write_bytes(good)
+    (tmp_path / "b.torrent").write_bytes(b"")
+    (tmp_path / "c.txt").write_bytes(good)
+    docs, bad = T.read_torrents(spark, str(tmp_path))
+    assert [r.set_id.rsplit("/", 1)[1] for r in docs.collect()] == ["a.torrent"]
+    assert [(r.path.rsplit("/", 1)[1], r.reason) for r in bad.collect()] == [("b.torrent", "BENCODE")]

@@ -44,12 +44,12 @@ def test_titles(spark, tmp_path):
 
 def test_tracker_lists_and_passkeys(spark, tmp_path):
     (tmp_path / "my.lst").write_bytes(
-        b"# mine\r\nLossless Legs|http://l/announce\r\nOther|http://o/{passkey}|private|source=TAG|id=oth\r\nno bar\r\n|http://x\r\nName|\r\n"
-        b"Third|http://t|odd=1\r\nlossless-legs|http://again\r\n!!|http://n\r\n"
+        b"# mine\r\nLoud Legs|http://l/announce\r\nOther|http://o/{passkey}|private|source=TAG|id=oth\r\nno bar\r\n|http://x\r\nName|\r\n"
+        b"Third|http://t|odd=1\r\nloud-legs|http://again\r\n!!|http://n\r\n"
     )
     kept, refused = X.read_tracker_lists(spark, str(tmp_path / "my.lst"))
     got = sorted((r.id, r.announce, r.private, r.source) for r in kept.collect())
-    assert got == [("losslesslegs", "http://l/announce", False, None), ("oth", "http://o/{passkey}", True, "TAG")]
+    assert got == [("loudlegs", "http://l/announce", False, None), ("oth", "http://o/{passkey}", True, "TAG")]
     assert sorted((r.line_no, r.detail) for r in refused.collect()) == [
         (4, "NO_BAR"), (5, "NO_NAME"), (6, "NO_URL"), (7, "UNKNOWN_FIELD"), (8, "DUPLICATE_ID"), (9, "NO_ID"),
     ]

@@ -8,9 +8,13 @@ State is what aggregation keeps, one small row per job or batch; a stream with a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 JOB = ["batch_id", "job_id"]
@@ -79,6 +83,63 @@ def stream_manifest_check(digests: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
+TRACKED = "batch_id string, job_id bigint, state string, done int, total int, output string, ts timestamp"
+_KEPT = "rank int, ts timestamp, kind string, done int, total int, output string"
+
+
+def _ranked(pdf: pd.DataFrame) -> pd.DataFrame:
+    rank = pdf["kind"].map({"STARTED": 0, "PROGRESS": 1}).fillna(2).astype("int32")
+    return pdf.assign(rank=rank).sort_values(["rank", "ts"], kind="stable")
+
+
+def track_jobs(events: DataFrame, keep: str = "1 hour") -> DataFrame:
+    """``job_state`` for streams that never end: a job's state goes ``keep`` after its last news.
+
+    Rows appear when a job's state changes. Each batch of events is cut to one row per job
+    before it is shuffled, so a job with very many events costs no more than any other.
+    """
+    columns = "batch_id string, job_id bigint, kind string, done int, total int, output string, ts timestamp"
+
+    def newest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield _ranked(pdf).drop_duplicates(JOB, keep="last").drop(columns="rank")
+
+    def plain(value):
+        return None if pd.isna(value) else value
+
+    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get if state.exists else None
+        best = before
+        for pdf in frames:
+            last = _ranked(pdf).iloc[-1]
+            seen = (
+                int(last["rank"]), last["ts"].to_pydatetime(), last["kind"],
+                *[None if pd.isna(last[c]) else int(last[c]) for c in ("done", "total")], plain(last["output"]),
+            )
+            best = seen if best is None or seen[:2] > tuple(best)[:2] else best
+        if best != before:
+            state.update(best)
+            output = best[5] if best[2] == "FINISHED" else None
+            yield pd.DataFrame([(*key, best[2], best[3], best[4], output, best[1])], columns=TRACKED_NAMES)
+        wake = max(state.getCurrentWatermarkMs(), int(pd.Timestamp(best[1]).timestamp() * 1000)) + keep_ms
+        state.setTimeoutTimestamp(wake)
+
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    cut = events.select(*[F.col(c) for c in ("batch_id", "job_id", "kind", "done", "total", "output", "ts")])
+    return (
+        cut.mapInPandas(newest, columns)
+        .withWatermark("ts", keep)
+        .groupBy(*JOB)
+        .applyInPandasWithState(fold, TRACKED, _KEPT, "update", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
+TRACKED_NAMES = [c.split()[0] for c in TRACKED.split(", ")]
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Write all input that is there as parquet, then stop."""
     query = (

@@ -59,3 +59,34 @@ def test_files_are_checked_as_they_land(spark, tmp_path):
     spark.createDataFrame([("d", "b", "md5", "x", None), ("d", "z", "md5", "x", None)], schema).write.mode("append").parquet(source)
     J.run_available(checked(), out, state)
     assert sorted((r.file_name, r.status) for r in spark.read.parquet(out).collect()) == [("a", "OK"), ("b", "MISMATCH")]
+
+
+def test_tracked_jobs_are_forgotten_in_time(spark, tmp_path):
+    source, seen = str(tmp_path / "in"), []
+
+    def keep_rows(df, _batch):
+        seen.append({r.job_id: (r.state, r.output) for r in df.collect()})
+
+    def deliver(rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        query.processAllAvailable()
+
+    spark.createDataFrame(FIRST, SCHEMA).coalesce(1).write.parquet(source)
+    stream = J.track_jobs(spark.readStream.schema(SCHEMA).parquet(source), "10 minutes")
+    query = stream.writeStream.foreachBatch(keep_rows).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        query.processAllAvailable()
+        deliver(LATER)
+        latest = {}
+        for batch in seen:
+            latest.update(batch)
+        assert latest == STATES
+        # Late progress changed nothing for a finished job.
+        assert all(1 not in batch for batch in seen[1:])
+        deliver([event(9, "STARTED", 59)])
+        deliver([event(9, "PROGRESS", 59)])
+        query.processAllAvailable()
+        kept = [p for p in query.recentProgress if p.stateOperators][-1].stateOperators[0].numRowsTotal
+        assert kept == 1
+    finally:
+        query.stop()

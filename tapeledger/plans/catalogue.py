@@ -21,7 +21,7 @@ HEALTH = """CASE s_suppkey % 9 WHEN 0 THEN 'BROKEN' WHEN 1 THEN 'UNREACHABLE' WH
 BUNDLED = f"""
 SELECT 'supplier' || substr(s_name, 10) AS id, s_suppkey AS entry_no, s_name AS name,
        'http://t' || CAST(s_suppkey % 40 AS STRING) || '.example/' || CASE WHEN s_suppkey % 7 = 3 THEN {KEYED} ELSE 'announce' END AS announce,
-       s_suppkey % 5 = 0 AS private, CASE WHEN s_suppkey % 6 = 0 THEN 'SRC' || CAST(s_suppkey % 2 AS STRING) END AS source, {HEALTH} AS health
+       s_suppkey % 5 = 0 AS private, CASE WHEN s_suppkey % 11 < 4 THEN 'SRC' || CAST(s_suppkey % 2 AS STRING) END AS source, {HEALTH} AS health
 FROM {{supplier}}"""
 LIST_LINES = """
 SELECT 'n' || CAST(c_nationkey AS STRING) || '.lst' AS list_path, c_custkey,
@@ -146,8 +146,7 @@ def classified(spark, sf_dir):
 
 def unions(spark, sf_dir):
     good, _ = split(spark, sf_dir)
-    again = good.filter("set_id % 2 = 0")
-    return I.union_sets(good, again).groupBy("set_id").agg(F.count(F.lit(1)).alias("files"))
+    return I.union_sets(good, good).groupBy("set_id").agg(F.count(F.lit(1)).alias("files"))
 
 
 VERIFIED = """
@@ -324,7 +323,7 @@ FROM c FULL JOIN d USING (set_id)""",
     ),
     "union_sets": (
         unions,
-        f"""SELECT set_id, count(*) * CASE WHEN set_id % 2 = 0 THEN 2 ELSE 1 END AS files FROM (SELECT *, {FORMAT} AS f FROM ({S.plain(FILES)})) WHERE f IN ('FLAC', 'WAV') GROUP BY set_id""",
+        f"""SELECT set_id, count(*) * 2 AS files FROM (SELECT *, {FORMAT} AS f FROM ({S.plain(FILES)})) WHERE f IN ('FLAC', 'WAV') GROUP BY set_id""",
     ),
     "verify_outcome": (
         verification,

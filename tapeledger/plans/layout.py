@@ -19,7 +19,7 @@ SELECT source AS set_id, doc_id, {NAME} AS file_name, source || '/' || {NAME} AS
        CASE WHEN doc_id % 67 = 9 THEN '' ELSE text END AS text, doc_id % 53 = 8 AS is_pad
 FROM {{documents}}"""
 
-# What lies on disk: some files gone, longer than listed, unreadable, or not files at all.
+# What lies on disk of the listed files: some are gone, longer, unreadable, or not files at all.
 ON_DISK = """doc_id % 89 <> 7"""
 UNREADABLE = "CASE WHEN doc_id % 101 = 9 THEN 'permission denied' END"
 
@@ -52,10 +52,12 @@ def prechecked(spark, sf_dir):
 
 
 def damaged(laid):
-    """The same bytes with the last one of some files replaced."""
+    """The same bytes with the middle one of some files replaced."""
     hit = F.expr("doc_id % 97 = 5 AND length > 0")
-    cut = F.concat(F.expr("substring(content, 1, CAST(length - 1 AS INT))"), F.lit(b"!"))
-    return laid.withColumn("content", F.when(hit, cut).otherwise(F.col("content")))
+    changed = F.expr(
+        "concat(substring(content, 1, CAST(length div 2 AS INT)), X'21', substring(content, CAST(length div 2 AS INT) + 2))"
+    )
+    return laid.withColumn("content", F.when(hit, changed).otherwise(F.col("content")))
 
 
 def outcomes(spark, sf_dir):
@@ -116,7 +118,7 @@ def audio_digest(spark, sf_dir):
 
 def extra_files(spark, sf_dir):
     rows = S.select(spark, sf_dir, FILES)
-    listed = rows.filter("doc_id % 10 <> 4").select("set_id", "path")
+    listed = rows.filter("NOT is_pad").select("set_id", "path")
     roots = rows.select("set_id", F.col("set_id").alias("root"), F.expr("set_id = 'src3'").alias("is_single_file")).distinct()
     return L.extras(roots, listed, inventory(spark, sf_dir))
 
@@ -130,8 +132,7 @@ SELECT c_custkey AS set_id, 'show' || CAST(c_custkey % 7 AS STRING) AS name, c_c
 FROM {customer}"""
 DIRS = """
 SELECT 'vault/n' || CAST(n_nationkey AS STRING) AS path FROM {nation}
-UNION ALL SELECT 'vault/n' || CAST(n_nationkey AS STRING) || '/show' || CAST(r_regionkey AS STRING)
-FROM {nation} CROSS JOIN {region} WHERE n_nationkey % 2 = 0"""
+UNION SELECT 'vault/n' || CAST(c_nationkey AS STRING) || '/show' || CAST(c_custkey % 5 AS STRING) FROM {customer} WHERE c_acctbal > 5000"""
 NOTES = "SELECT 'vault/n' || CAST(n_nationkey AS STRING) || '/note.txt' AS path FROM {nation} WHERE n_nationkey % 4 <> 1"
 
 TORRENT_PLACES = """
@@ -171,14 +172,14 @@ SELECT p_partkey AS set_id, CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partke
             WHEN p_partkey % 19 = 2 THEN 2147483648 ELSE CAST(16384 AS BIGINT) END AS piece_length,
        CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 23 = 1 THEN 30
             ELSE CAST(20 * ((p_size * 9000 + 16383 - (p_size * 9000 + 16383) % 16384) / 16384) AS BIGINT) END AS pieces_bytes,
-       CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE CAST(p_size * 9000 AS BIGINT) END AS length,
-       p_partkey % 31 = 0 AS has_files,
+       CASE WHEN p_partkey % 29 = 0 OR (p_type = 'ECONOMY' AND p_partkey % 5 <> 0) THEN NULL ELSE CAST(p_size * 9000 AS BIGINT) END AS length,
+       p_type = 'ECONOMY' AS has_files,
        CASE WHEN p_partkey % 37 = 0 THEN 2 END AS meta_version
 FROM {part}"""
 TORRENT_FILES = """
 SELECT p_partkey AS set_id, CAST(0 AS BIGINT) AS ordinal, CAST(p_size AS BIGINT) AS length,
        CASE WHEN p_partkey % 2 = 0 THEN 'CON.txt' WHEN p_partkey % 3 = 0 THEN '' ELSE 'ok.flac' END AS component
-FROM {part} WHERE p_partkey % 31 = 0"""
+FROM {part} WHERE p_type = 'ECONOMY'"""
 
 
 def violations(spark, sf_dir):
@@ -221,7 +222,7 @@ def cut(size, name="seg", source="spans"):
 
 
 SLICE = "CASE WHEN is_pad THEN repeat('00', CAST(bytes AS INT)) ELSE substr({h}, CAST(2 * from_byte + 1 AS INT), CAST(2 * bytes AS INT)) END"
-BAD_H = "CASE WHEN doc_id % 97 = 5 AND length > 0 THEN substr(h, 1, CAST(2 * length - 2 AS INT)) || '21' ELSE h END"
+BAD_H = "CASE WHEN doc_id % 97 = 5 AND length > 0 THEN substr(h, 1, CAST(2 * (length // 2) AS INT)) || '21' || substr(h, CAST(2 * (length // 2) + 3 AS INT)) ELSE h END"
 
 PRECHECK = f"""
 inv AS (SELECT path, octet_length(encode(text)) + CASE WHEN doc_id % 71 = 6 THEN 1 ELSE 0 END AS size,
@@ -318,7 +319,7 @@ SELECT set_id, j // 1024 AS root, md5(string_agg(d, '' ORDER BY j)) AS tree_md5
     ),
     "extras": (
         extra_files,
-        f"""SELECT set_id, path FROM ({S.plain(FILES)}) WHERE {ON_DISK} AND doc_id % 113 <> 3 AND doc_id % 10 = 4 AND set_id <> 'src3'""",
+        f"""SELECT set_id, path FROM ({S.plain(FILES)}) WHERE {ON_DISK} AND doc_id % 113 <> 3 AND is_pad AND set_id <> 'src3'""",
     ),
     "resolve_root": (
         roots,

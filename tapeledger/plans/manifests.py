@@ -12,7 +12,7 @@ BODY = "substr(text, instr(text, chr(10)) + 1)"
 NAME = "'doc_' || CAST(doc_id AS STRING) || '.txt'"
 KIND = "CASE WHEN length(source) = 4 OR doc_id % 3 = 0 THEN 'md5' WHEN doc_id % 3 = 1 THEN 'ffp' ELSE 'st5' END"
 
-# Digests of the files that exist: some withheld, some unreadable.
+# Digests of the files that exist: the lists name some that are not there, some are unreadable.
 DIGESTS = f"""
 SELECT source AS set_id, source AS dir, {NAME} AS file_name, doc_id, {KIND} AS kind,
        CASE WHEN doc_id % 101 = 9 THEN NULL WHEN {KIND} = 'md5' THEN md5(text) ELSE md5({BODY}) END AS digest,
@@ -39,6 +39,7 @@ FROM (SELECT *, source || '/' || source || '.' || kind AS list_path,
                         ELSE md5({BODY}) END AS raw
             FROM {{documents}}))"""
 
+# Two snapshots; files that only one of them has were added or removed in between.
 BEFORE = f"""
 SELECT source || '/' || {NAME} AS path, md5(text) AS file_md5, md5({BODY}) AS audio_md5
 FROM {{documents}} WHERE doc_id % 43 <> 7"""
@@ -49,16 +50,16 @@ SELECT CASE WHEN doc_id % 29 = 3 THEN 'moved/' ELSE '' END || source || '/' || {
 FROM {{documents}} WHERE doc_id % 41 <> 6"""
 
 # Files of one set in several formats, twins by stem.
-TWIN_FILES = """
-SELECT CAST(l_orderkey AS STRING) AS dir,
-       'f' || CAST(l_partkey AS STRING) || '_' || CAST(l_suppkey AS STRING) || '_'
-           || CAST(l_linenumber AS STRING) || '_' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)
-           || CASE WHEN f = 'FLAC' THEN '.flac' ELSE '.wav' END AS file_name,
-       f AS format,
-       CASE WHEN l_partkey % 19 = 4 AND f = 'FLAC' THEN NULL
-            ELSE md5(CAST(l_partkey AS STRING) || CASE WHEN l_partkey % 17 = 3 THEN f ELSE '' END) END AS audio_md5
-FROM {lineitem} CROSS JOIN (SELECT 'FLAC' AS f UNION ALL SELECT 'WAV' AS f) k
-WHERE NOT (l_partkey % 3 = 0 AND f = 'WAV')"""
+STEM = """'f' || CAST(l_partkey AS STRING) || '_' || CAST(l_suppkey AS STRING) || '_' || CAST(l_linenumber AS STRING)
+  || '_' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)"""
+TWIN_FILES = f"""
+SELECT CAST(l_orderkey AS STRING) AS dir, {STEM} || '.flac' AS file_name, 'FLAC' AS format,
+       CASE WHEN l_partkey % 19 = 4 THEN NULL ELSE md5(CAST(l_partkey AS STRING)) END AS audio_md5
+FROM {{lineitem}}
+UNION ALL
+SELECT CAST(l_orderkey AS STRING), CASE WHEN l_partkey % 3 = 0 THEN 'alone' ELSE '' END || {STEM} || '.wav', 'WAV',
+       md5(CAST(l_partkey AS STRING) || CASE WHEN l_partkey % 17 = 3 THEN 'x' ELSE '' END)
+FROM {{lineitem}}"""
 
 
 def lines(spark, sf_dir):

@@ -128,6 +128,11 @@ def verify_outcome(stored: Column, computed: Column, error: Column) -> Column:
     )
 
 
+def ffp(stored: Column) -> Column:
+    """The fingerprint a FLAC header holds, or why there is none."""
+    return F.struct(stored.alias("digest"), F.when(stored.isNull(), "no audio MD5 in the header").alias("error"))
+
+
 def fails_run(verification: Column) -> Column:
     """A file without a stored digest is unverifiable, which does not fail a run."""
     return verification.isin("MISMATCH", "FAILED")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeledger.functions.formats import base_name, dir_name
+from tapeledger.functions.formats import base_name, dir_name, ffp
 from tapeledger.functions.names import manifest_kind, manifest_line, manifest_text
 from tapeledger.operators.ordered import number_rows, scan_sets, text_parts
 
@@ -46,7 +46,7 @@ def digest_rows(hashed: DataFrame) -> DataFrame:
     digest = (
         F.when(kind == "ffp", F.col("stream.audio_md5")).when(kind == "md5", F.col("file_md5")).otherwise(F.col("st5"))
     )
-    why = F.when(kind == "ffp", "no audio MD5 in the header").otherwise("audio is not decoded")
+    why = F.when(kind == "ffp", ffp(F.col("stream.audio_md5"))["error"]).otherwise("audio is not decoded")
     error = F.when(digest.isNull(), F.coalesce("reason", why))
     return hashed.select("dir", "file_name", "kind", digest.alias("digest"), error.alias("error"))
 

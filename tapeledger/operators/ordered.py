@@ -190,6 +190,11 @@ def first_occurrence(
     return joined.select("a.*", (order == F.col("b._first")).alias(flag))
 
 
+def submission_order(results: DataFrame, *order: str) -> DataFrame:
+    """Results in the order they were asked for, whatever order they finished in."""
+    return results.orderBy(*(order or ("set_id", "ordinal")))
+
+
 def text_parts(
     lines: DataFrame,
     keys: Sequence[str],

@@ -11,6 +11,7 @@ from tapeledger.operators import catalogue as C
 from tapeledger.operators import clips as K
 from tapeledger.operators import inventory as I
 from tapeledger.operators.ordered import first_occurrence, number_rows
+from tapeledger.operators.repair import set_format
 from tapeledger.plans import standins as S
 from tapeledger.sinks.render import provenance_audit, render_provenance
 from tapeledger.sources.text import parse_passkeys, parse_tracker_lists
@@ -149,6 +150,12 @@ def unions(spark, sf_dir):
     return I.union_sets(good, good).groupBy("set_id").agg(F.count(F.lit(1)).alias("files"))
 
 
+def formats(spark, sf_dir):
+    rows, _ = S.tracks(spark, sf_dir, FILES)
+    named = rows.withColumn("format", M.classify_format(F.col("path"))).withColumn("file_name", M.base_name(F.col("path")))
+    return set_format(named.filter(F.col("format").isNotNull()))
+
+
 VERIFIED = """
 SELECT l_orderkey AS set_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, c_mktsegment AS band, CAST(year(o_orderdate) AS BIGINT) AS year,
   CASE WHEN l_partkey % 4 = 0 THEN 'WAV' ELSE 'FLAC' END AS format, CAST(round(l_extendedprice * 100) AS BIGINT) AS file_size,
@@ -320,6 +327,14 @@ c AS (SELECT set_id, CAST(sum(n) AS BIGINT) AS files, string_agg(n || ' ' || f,
 d AS (SELECT set_id, count(*) AS skipped FROM a WHERE f NOT IN ('FLAC', 'WAV') GROUP BY set_id)
 SELECT set_id, coalesce(files, 0) AS files, coalesce(skipped, 0) AS skipped, CASE WHEN files IS NULL THEN 'no audio files' ELSE files || ' files: ' || t || CASE WHEN skipped > 0 THEN ' (' || skipped || ' skipped)' ELSE '' END END AS summary
 FROM c FULL JOIN d USING (set_id)""",
+    ),
+    "set_format": (
+        formats,
+        f"""WITH a AS (SELECT *, {FORMAT} AS f, split_part(path, '/', 2) AS file_name FROM ({S.tracks_sql(FILES)})), b AS (SELECT * FROM a WHERE f IS NOT NULL),
+c AS (SELECT set_id, arg_min(f, ordinal) AS lead, arg_min(file_name, ordinal) AS lead_name FROM b GROUP BY set_id),
+d AS (SELECT b.set_id, arg_min(file_name, ordinal) AS other FROM b JOIN c USING (set_id) WHERE f <> lead GROUP BY b.set_id),
+e AS (SELECT c.*, other, CASE WHEN lead NOT IN ('FLAC', 'WAV') THEN 'UNSUPPORTED' WHEN other IS NOT NULL THEN 'MIXED' END AS refused FROM c LEFT JOIN d USING (set_id))
+SELECT set_id, CASE WHEN refused IS NULL THEN lead END AS format, refused, CASE refused WHEN 'UNSUPPORTED' THEN lead_name WHEN 'MIXED' THEN other END AS offender FROM e""",
     ),
     "union_sets": (
         unions,

@@ -187,6 +187,23 @@ def violations(spark, sf_dir):
     return Q.torrent_violations(S.select(spark, sf_dir, TORRENTS), rows)
 
 
+DRAFTS = """
+SELECT p_partkey AS set_id, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS name, CAST(CASE WHEN p_partkey % 19 = 0 THEN 0 ELSE 16384 END AS BIGINT) AS piece_length,
+  p_type = 'ECONOMY' AS is_single_file, CAST(CASE WHEN p_partkey % 23 = 0 THEN 0 ELSE p_size * 9000 END AS BIGINT) AS length, p_size > 2 AS has_files, p_partkey % 29 = 0 AS no_path,
+  CAST(floor((p_size * 9000 + 16383) / 16384) AS BIGINT) - CASE WHEN p_partkey % 37 = 0 THEN 1 ELSE 0 END AS pieces
+FROM {part}"""
+
+
+def draft_rules(spark, sf_dir):
+    rows = S.select(spark, sf_dir, DRAFTS)
+    nowhere = F.array().cast("array<string>")
+    listed = rows.filter("has_files").select(
+        "set_id", F.lit(0).alias("ordinal"), "length", F.when(F.col("no_path"), nowhere).otherwise(F.array(F.lit("x"))).alias("path_parts")
+    )
+    pieces = rows.filter("pieces > 0").select("set_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pieces"))).alias("piece"))
+    return Q.draft_violations(rows.select("set_id", "name", "piece_length", "is_single_file"), listed, pieces)
+
+
 LISTING = """
 SELECT set_id, set_id || '/' || name AS path, name, kind, entries FROM (
 SELECT source AS set_id,
@@ -385,6 +402,13 @@ r AS (SELECT d.dir, coalesce(t.path, CASE WHEN n = 1 THEN i.path END) AS torrent
 SELECT dir, torrent, CASE WHEN torrent IS NULL THEN CASE WHEN n > 1 THEN 'SEVERAL' ELSE 'NONE' END END AS refused FROM r""",
     ),
     "torrent_violations": (violations, VIOLATIONS),
+    "draft_violations": (
+        draft_rules,
+        f"""WITH d AS (SELECT *, CASE WHEN has_files THEN length ELSE 0 END AS total FROM ({S.plain(DRAFTS)}))
+SELECT set_id, 'EMPTY_NAME' AS rule FROM d WHERE name = '' UNION ALL SELECT set_id, 'ZERO_PIECE_LENGTH' FROM d WHERE piece_length = 0 UNION ALL SELECT set_id, 'NO_DATA' FROM d WHERE total = 0
+UNION ALL SELECT set_id, 'PIECE_COUNT' FROM d WHERE piece_length > 0 AND total > 0 AND pieces <> (total + 16383) // 16384
+UNION ALL SELECT set_id, 'NO_FILES' FROM d WHERE NOT is_single_file AND NOT has_files UNION ALL SELECT set_id, 'EMPTY_PATH' FROM d WHERE NOT is_single_file AND has_files AND no_path""",
+    ),
     "selection_report": (
         selection,
         f"""SELECT * FROM (SELECT set_id, path, CASE WHEN kind = 'symlink' THEN 'SYMLINK' WHEN kind = 'dir' AND entries = 0 THEN 'EMPTY_DIRECTORY'

@@ -11,7 +11,7 @@ from tapeledger.operators.manifests import check_all_lists, digest_rows
 from tapeledger.operators.ordered import attach, longest_set, number_rows
 from tapeledger.operators.repair import fix_rows, fix_summary, plan_shift
 from tapeledger.schemas import STREAM
-from tapeledger.session import cut_lineage
+from tapeledger.session import cut_lineage, union_all
 from tapeledger.sources import audio as A
 from tapeledger.sources.opening import list_files
 from tapeledger.sources.text import read_manifests
@@ -40,12 +40,12 @@ def check_lists(spark: SparkSession, root: str, recursive: bool = True) -> tuple
 
     # MD5 needs all bytes, ST5 a WAV's audio; an FFP is in the header already read.
     hashing = (F.col("kind") == "md5") | ((F.col("kind") == "st5") & F.col("data_len").isNotNull())
-    every = by_bytes.unionByName(probed)
+    every = union_all(by_bytes, probed)
     hashed = A.file_digests(every.filter(hashing).drop("reason"))
-    rest = every.filter(~hashing).unionByName(unread).withColumns(
+    rest = union_all(every.filter(~hashing), unread).withColumns(
         {"file_md5": F.lit(None).cast("string"), "st5": F.lit(None).cast("string")}
     )
-    return check_all_lists(manifest, digest_rows(hashed.unionByName(rest))), bad_lines
+    return check_all_lists(manifest, digest_rows(union_all(hashed, rest))), bad_lines
 
 
 def _folders(listing: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tapeledger.functions.formats import tracker_responds, tracker_usable
 from tapeledger.functions.tags import fill_passkey
 from tapeledger.operators.ordered import first_occurrence, scan_sets
+from tapeledger.session import union_all
 
 SET = ["set_id"]
 
@@ -39,7 +40,7 @@ def merge_catalogue(bundled: DataFrame, user: DataFrame) -> DataFrame:
         F.coalesce("entry_no", "line_no").cast("long").alias("place"),
         F.lit(0).alias("after"),
     )
-    return ours.unionByName(theirs)
+    return union_all(ours, theirs)
 
 
 def catalogue_counts(catalogue: DataFrame) -> DataFrame:

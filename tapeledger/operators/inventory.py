@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeledger.functions.formats import classify_format, is_readable, required_tool
+from tapeledger.session import union_all
 
 
 def split_readable(files: DataFrame, bare: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +27,7 @@ def split_readable(files: DataFrame, bare: bool = False) -> tuple[DataFrame, Dat
 
 def union_sets(*frames: DataFrame) -> DataFrame:
     """All rows of all frames, duplicates kept."""
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    return union_all(*frames)
 
 
 def format_summary(inventory: DataFrame, quarantine: DataFrame | None = None) -> DataFrame:

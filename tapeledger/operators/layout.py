@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapeledger.functions.formats import base_name, dir_name, needs_attention
 from tapeledger.operators.digests import chained_sha1, joined_bytes, tree_digest
 from tapeledger.operators.ordered import scan_sets
+from tapeledger.session import union_all
 
 SET = ["set_id"]
 # Piece numbers one row may hold before they are exploded.
@@ -398,5 +399,5 @@ def set_identity(
             )
         ).alias("p"),
     ).select(*SET, "p.*")
-    document = frame.unionByName(entries).unionByName(hashes)
+    document = union_all(frame, entries, hashes)
     return chained_sha1(document, "set_id", ["section", "part"], "data").withColumnRenamed("sha1", "info_hash")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tapeledger.functions.formats import base_name, dir_name, ffp
 from tapeledger.functions.names import manifest_kind, manifest_line, manifest_text
 from tapeledger.operators.ordered import number_rows, scan_sets, text_parts
+from tapeledger.session import union_all
 
 
 def parse_manifests(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,8 +54,8 @@ def digest_rows(hashed: DataFrame) -> DataFrame:
 
 def list_status(manifest: DataFrame, bad_lines: DataFrame) -> DataFrame:
     """Entries and refused lines per list; a list is sound when nothing was refused."""
-    both = manifest.select("list_path", F.lit(0).alias("bad")).unionByName(
-        bad_lines.select("list_path", F.lit(1).alias("bad"))
+    both = union_all(
+        manifest.select("list_path", F.lit(0).alias("bad")), bad_lines.select("list_path", F.lit(1).alias("bad"))
     )
     return both.groupBy("list_path").agg(
         F.count_if(F.col("bad") == 0).alias("entries"),
@@ -174,7 +175,7 @@ def classify_change(before: DataFrame, after: DataFrame) -> DataFrame:
         .otherwise("MOVED")
         .alias("change"),
     )
-    return stayed.unionByName(moved)
+    return union_all(stayed, moved)
 
 
 def audio_unchanged(before: DataFrame, after: DataFrame) -> DataFrame:

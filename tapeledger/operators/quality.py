@@ -11,6 +11,7 @@ from tapeledger.functions.formats import (
     path_violation,
     piece_count,
 )
+from tapeledger.session import union_all
 
 
 def rule(name: str, broken: Column) -> Column:
@@ -58,7 +59,7 @@ def torrent_violations(torrents: DataFrame, files: DataFrame) -> DataFrame:
     whole = t.select("set_id", F.lit(None).cast("long").alias("ordinal"), found.alias("rule"))
     unsafe = path_violation(F.col("path_parts"))
     per_file = files.select("set_id", "ordinal", unsafe.alias("rule")).filter(F.col("rule").isNotNull())
-    return whole.unionByName(per_file)
+    return union_all(whole, per_file)
 
 
 def draft_violations(drafts: DataFrame, files: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tapeledger.functions.names import parse_track_name, track_label
 from tapeledger.operators.ordered import attach, number_rows, scan_sets, text_parts
 from tapeledger.functions.tags import SHOW_FIELDS
 from tapeledger.operators.tags import show_values
+from tapeledger.session import union_all
 
 SET = ["set_id"]
 # Fixed value: seconds a CD-R holds.
@@ -97,10 +98,10 @@ def setlist_problems(
     long_discs = disc_totals(runs).filter("too_long")
     what = F.coalesce(F.concat(F.lit("disc "), F.col("disc").cast("string")), F.lit("the set"))
     on_discs = long_discs.select(*SET, F.lit("TOO_LONG").alias("problem"), what.alias("subject"))
-    found = left_out.unionByName(on_files).unionByName(on_fields).unionByName(on_discs)
+    found = union_all(left_out, on_files, on_fields, on_discs)
     if other_text is not None:
-        found = found.unionByName(
-            other_text.select(*SET, F.lit("OTHER_TEXT").alias("problem"), F.col("file_name").alias("subject"))
+        found = union_all(
+            found, other_text.select(*SET, F.lit("OTHER_TEXT").alias("problem"), F.col("file_name").alias("subject"))
         )
     return found
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeledger.operators.quality import torrent_violations
 from tapeledger.plans import standins as S
+from tapeledger.session import union_all
 from tapeledger.sources import audio as A
 from tapeledger.sources import torrents as T
 
@@ -135,7 +136,7 @@ def torrents(spark, sf_dir):
 def torrent_rules(spark, sf_dir):
     documents, bad = T.decode_torrents(torrent_bytes(spark, sf_dir))
     found = torrent_violations(T.rule_columns(documents), T.torrent_files(documents)).select("set_id", "rule")
-    return found.unionByName(bad.select("set_id", F.col("reason").alias("rule")))
+    return union_all(found, bad.select("set_id", F.col("reason").alias("rule")))
 
 
 def torrent_listing(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder so later plans see one fixed set of rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Spark 4.1 lets a union claim its inputs' partitioning. Adaptive execution may then re-plan the
+# inputs apart, and a grouping that skipped its shuffle on the strength of that claim sees one
+# key in several tasks. Off, a grouping after a union always shuffles.
+UNION_PARTITIONING_CONF = "spark.sql.unionOutputPartitioning"
+
+
+def union_all(*frames: DataFrame) -> DataFrame:
+    """All rows of all frames by column name, duplicates kept, safe to group afterwards."""
+    frames[0].sparkSession.conf.set(UNION_PARTITIONING_CONF, "false")
+    return reduce(lambda a, b: a.unionByName(b), frames)

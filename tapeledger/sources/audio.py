@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapeledger.functions.tags import project_comments
 from tapeledger.operators.inventory import split_readable, union_sets
 from tapeledger.schemas import PROBE_FIELDS
+from tapeledger.session import union_all
 from tapeledger.sources.opening import list_files, map_files, read_exact
 
 CHUNK = 1 << 20
@@ -215,4 +216,4 @@ def read_chunks(files: DataFrame, chunk_bytes: int = 1 << 24) -> DataFrame:
 
     real = map_files(cut.filter(~F.col("is_pad")).repartition("path", "_from"), read, "content binary, reason string")
     pads = cut.filter("is_pad").withColumns({"content": F.lit(None).cast("binary"), "reason": F.lit(None).cast("string")})
-    return real.unionByName(pads).drop("_from")
+    return union_all(real, pads).drop("_from")

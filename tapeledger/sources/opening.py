@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tapeledger.session import union_all
+
 
 def locate(path: str):
     """The store a path lives in, its name there, and what to put before names to get paths."""
@@ -72,7 +74,7 @@ def list_files(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
     found = top.filter("NOT is_dir")
     if recursive:
         deeper = top.filter("is_dir").select("path").repartition("path").mapInArrow(lister(True), LISTED)
-        found = found.unionByName(deeper.filter("NOT is_dir"))
+        found = union_all(found, deeper.filter("NOT is_dir"))
     return found.select("path", "file_size")
 
 

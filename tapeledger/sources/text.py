@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tapeledger.functions.names import slug, strip_space
 from tapeledger.operators.manifests import parse_manifests
 from tapeledger.operators.ordered import first_occurrence, number_rows
+from tapeledger.session import union_all
 
 
 LIST_GLOB = "*.{ffp,md5,st5,FFP,MD5,ST5}"
@@ -81,13 +82,9 @@ def parse_tracker_lists(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     sound = entries.filter(F.col("detail").isNull()).drop("detail")
     ranked = first_occurrence(sound, ["list_path", "id"], F.col("line_no"))
     kept = ranked.filter("is_first").drop("is_first")
-    refused = (
-        entries.filter(F.col("detail").isNotNull())
-        .select("list_path", "line_no", "detail")
-        .unionByName(
-            ranked.filter("NOT is_first").select("list_path", "line_no", F.lit("DUPLICATE_ID").alias("detail"))
-        )
-    )
+    again = ranked.filter("NOT is_first").select("list_path", "line_no", F.lit("DUPLICATE_ID").alias("detail"))
+    unsound = entries.filter(F.col("detail").isNotNull()).select("list_path", "line_no", "detail")
+    refused = union_all(unsound, again)
     return kept, refused
 
 

@@ -257,3 +257,19 @@ def test_reading_torrents_from_disk(spark, tmp_path):
     docs, bad = T.read_torrents(spark, str(tmp_path))
     assert [r.set_id.rsplit("/", 1)[1] for r in docs.collect()] == ["a.torrent"]
     assert [(r.path.rsplit("/", 1)[1], r.reason) for r in bad.collect()] == [("b.torrent", "BENCODE")]
+
+
+def test_a_union_keeps_a_set_in_one_task(spark):
+    # Enough rows that adaptive execution re-plans the parts of the document on their own.
+    files = spark.range(20_000).select(
+        (F.col("id") % 5).cast("string").alias("set_id"), F.floor(F.col("id") / 5).alias("ordinal"), F.lit(3).cast("long").alias("length"),
+        F.lit(False).alias("is_pad"), F.array(F.col("id").cast("string")).alias("path_parts"), F.lit(b"abc").alias("content"),
+    )
+    pieces = L.piece_digests(L.piece_slices(L.file_spans(files), 64))
+    drafts = files.groupBy("set_id").agg(F.lit("n").alias("name"), F.lit(64).alias("piece_length"), F.lit(False).alias("private"), F.lit(None).cast("string").alias("source"), F.lit(False).alias("is_single_file"))
+    got = {r.set_id: r.info_hash for r in L.set_identity(drafts, files, pieces).collect()}
+    for s in range(5):
+        mine = [(b"abc", False)] * 4000
+        info = info_of(mine, 64, name="n", files=[{"length": 3, "path": [str(5 * i + s)]} for i in range(4000)])
+        assert got[str(s)] == hashlib.sha1(bencode(info)).hexdigest()
+    assert len(got) == 5

@@ -45,14 +45,14 @@ class LineRuns:
     def add(self, batch: DataFrame) -> None:
         """Add a batch of keys, each once, with ``n_docs`` and ``keeper``."""
         path = new_table(self.spark, "lines")
-        known = self.runs().select(*KEY, F.lit(True).alias("known"))
-        met = batch.join(known.hint("merge"), KEY, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        known = self.runs().select(*KEY, F.lit(1).alias("known"))
+        met = batch.join(known.hint("merge"), KEY, "left").withColumn("known", F.coalesce("known", F.lit(0)))
         met.sortWithinPartitions("known", *KEY).write.partitionBy("known").parquet(path)
         kinds = {row[0] for row in self.spark.read.parquet(path).select("known").distinct().collect()}
-        if False in kinds:
-            self.levels[0].append(f"{path}/known=false")
-        if True in kinds:
-            self.repeats.append(f"{path}/known=true")
+        if 0 in kinds:
+            self.levels[0].append(f"{path}/known=0")
+        if 1 in kinds:
+            self.repeats.append(f"{path}/known=1")
         self._compact(0)
 
     def _compact(self, level: int) -> None:

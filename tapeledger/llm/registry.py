@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["line_dedup", "exact_dedup"]
+MODULES = ["line_dedup", "mixing", "exact_dedup", "chat"]
 
 
 def all_queries() -> dict:

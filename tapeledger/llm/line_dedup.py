@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeledger.llm.common import SPACE, lower_ascii, new_table, packed, read, unpacked
+from tapeledger.llm.common import SPACE, lower_ascii, new_table, packed, read, unpacked, written
 
 OURS = ["n_lines", "n_dropped", "kept_text", "kept_sha256"]
 MIN_CHARS = 20
@@ -108,7 +108,7 @@ def line_dedup(
         long_keys = F.filter(key, lambda k: F.length(k) >= min_chars)
         keys = mine.select(row_id.alias("id"), F.explode(long_keys).alias("key"))
         runs.add(keys.select("id", *_hash(F.col("key"))).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper")))
-    repeated = runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "keeper")
+    repeated = written(runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "keeper"), "repeated-lines")
     owner = [row_id.alias("id"), F.xxhash64(text).alias("t")]
     lines = source.select(*owner, F.posexplode(F.transform(_lines(text), line_key)).alias("at", "key")).filter(F.length("key") >= min_chars)
     drops = (

@@ -21,6 +21,9 @@ SAMPLE_CHARS = 20_000  # code points of a document of the sample, at most
 NEGATIVES = 12_000  # clean words in the training set, at most
 LANDMARKS = 160
 THRESHOLD = 0.7
+SURE = 0.75  # share of toxic texts among those with a run of letters, from which it is a first witness
+CLEAN_SHARE = 0.2  # a witness is at most this much as common in clean texts as in toxic ones
+BORDER = 0.3  # margin from which a word is a witness afterwards
 
 # Letters a-z are 1 to 26, bytes of other letters 27 to 58; all else but white space is left out, so
 # that a word with stops or signs put between its letters is the word.
@@ -204,7 +207,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 42) -> Machine:
 
     Only whole texts are labelled, so a toxic text is a bag of words of which at least one is an
     insult: its first witness is the word with the run of letters that tells the labels apart best,
-    later ones are the words with the largest margin. Clean texts give the negative words, those
+    later ones are the words with the largest margin. A toxic text without a clear witness teaches
+    nothing, as labels may be wrong. Clean texts give the negative words, those
     nearest to the border first. A subsequence kernel compares words; landmarks (witnesses and
     clean words) span the approximated feature space in which a linear machine is fitted. Its
     weights are then added up into one table over subsequences, so that scoring costs the same
@@ -216,28 +220,33 @@ def train(texts: list[str], toxic: list[int], seed: int = 42) -> Machine:
     y = np.array(toxic)
     fit = np.arange(len(y)) % 3 != 2
     bags: list[list[bytes]] = [[] for _ in texts]
-    row0 = 0
     for first, data, offsets in chunks(column):
         stream, rows, starts, lengths = letter_words(data, offsets)
         raw = stream.tobytes()
         for r, s, n in zip(rows.tolist(), starts.tolist(), lengths.tolist(), strict=True):
             bags[first + r].append(raw[s : s + n])
-        row0 = first
-    del row0
     bags = [list(dict.fromkeys(b)) for b in bags]
     pieces = [Counter(), Counter()]
     for i in np.flatnonzero(fit):
         pieces[y[i]].update({w[j : j + 4] for w in bags[i] for j in range(max(1, len(w) - 3))})
     n0, n1 = max(1, int((y[fit] == 0).sum())), max(1, int((y[fit] == 1).sum()))
 
-    def tells(piece: bytes) -> float:
-        p1, p0 = pieces[1][piece] / n1, pieces[0][piece] / n0
-        return p1 * np.log((p1 + 1 / n1) / (p0 + 1 / n1)) if p1 > p0 else 0.0
-
-    strength = {p: tells(p) for p in pieces[1]}
-    positive = [i for i in np.flatnonzero(fit & (y == 1)) if bags[i]]
-    witness = {i: max(bags[i], key=lambda w: max(strength.get(w[j : j + 4], 0.0) for j in range(max(1, len(w) - 3)))) for i in positive}
-    clean = sorted({w for i in np.flatnonzero(fit & (y == 0)) for w in bags[i]})
+    def surely(word: bytes) -> tuple[float, int]:
+        """How surely the best run of four letters in a word means the label, and how many texts say so."""
+        best = (0.0, 0)
+        for j in range(max(1, len(word) - 3)):
+            seen = pieces[1][word[j : j + 4]]
+            best = max(best, (seen / (seen + pieces[0][word[j : j + 4]] * n1 / n0 + 1), seen))
+        return best
+
+    held = [Counter(w for i in np.flatnonzero(fit & (y == v)) for w in bags[i]) for v in (0, 1)]
+    # A word that clean texts hold as well is no insult.
+    able = {w for w, seen in held[1].items() if held[0][w] * n1 <= CLEAN_SHARE * seen * n0}
+    positive = [i for i in np.flatnonzero(fit & (y == 1)) if any(w in able for w in bags[i])]
+    bags = {i: [w for w in bags[i] if w in able] for i in positive}
+    found = {i: max((surely(w), w) for w in bags[i]) for i in positive}
+    witness = {i: w for i, ((sure, _), w) in found.items() if sure >= SURE} or {i: w for i, (_, w) in found.items()}
+    clean = sorted(held[0])
     random = np.random.default_rng(seed)
     chosen = [clean[i] for i in random.permutation(len(clean))[: NEGATIVES // 2]]
     if not chosen or not positive:
@@ -262,17 +271,19 @@ def train(texts: list[str], toxic: list[int], seed: int = 42) -> Machine:
         kernel = apply_table(np.ascontiguousarray(features.T), stream, at[ids], lengths[ids])
         x = np.concatenate([kernel @ root, np.ones((len(ids), 1))], 1)
         target = np.concatenate([np.ones(len(insults)), -np.ones(len(chosen))])
-        weight = np.concatenate([[counts[w] / len(witness) for w in insults], np.full(len(chosen), 1 / len(chosen))]) * 1000
+        weight = np.concatenate([[counts[w] / len(witness) for w in insults], [held[0][w] / n0 for w in chosen]]) * 1000
         w = _squared_hinge(x, target, weight)
         table = ((root @ w[:-1]) @ features).astype(np.float32)
         margins = apply_table(table, stream, at[:-1], lengths) + w[-1]
         machine = Machine(table, float(w[-1]), 1.0, 0.0)
-        witness = {i: max(bags[i], key=lambda b: margins[index[b]]) for i in positive}
+        found = {i: max(bags[i], key=lambda b: margins[index[b]]) for i in positive}
+        witness = {i: w for i, w in found.items() if margins[index[w]] > BORDER} or witness
         near = sorted(clean, key=lambda b: -margins[index[b]])[: NEGATIVES // 4]
         chosen = list(dict.fromkeys(chosen[: NEGATIVES // 2] + near + chosen[NEGATIVES // 2 :]))[:NEGATIVES]
     kept = np.flatnonzero(~fit) if (~fit).sum() >= 20 and len(set(y[~fit])) == 2 else np.arange(len(y))
-    margin = machine.margins(column.take(pa.array(kept)))
-    machine.slope, machine.shift = _logistic(margin.astype(np.float64), y[kept])
+    margin = machine.margins(column.take(pa.array(kept))).astype(np.float64)
+    told = (y[kept] == 0) | (margin > np.quantile(margin[y[kept] == 0], 0.9))
+    machine.slope, machine.shift = _logistic(margin[told], y[kept][told])
     return machine
 
 

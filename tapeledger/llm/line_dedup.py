@@ -48,7 +48,7 @@ class LineRuns:
         known = self.runs().select(*KEY, F.lit(1).alias("known"))
         met = batch.join(known.hint("merge"), KEY, "left").withColumn("known", F.coalesce("known", F.lit(0)))
         met.sortWithinPartitions("known", *KEY).write.partitionBy("known").parquet(path)
-        kinds = {row[0] for row in self.spark.read.parquet(path).select("known").distinct().collect()}
+        kinds = {row[0] for row in self.spark.read.schema(f"{RUN_SCHEMA}, known int").parquet(path).select("known").distinct().collect()}
         if 0 in kinds:
             self.levels[0].append(f"{path}/known=0")
         if 1 in kinds:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +30,22 @@ VALUES = mixed(np.arange(256, dtype=np.uint64), 7)
 LOWER_VALUES = VALUES[LOWERED]
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        factors = np.full(size, base, dtype=np.uint64)
-        factors[:1] = 1
-        return np.cumprod(factors)
-
-    return run(BASE), run(INVERSE)
+# Kept in a plain dictionary: functions travel to the tasks with what they name.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
+    """Powers of the base and of its inverse modulo 2^64, ``n`` and one more at least."""
     size = CHUNK + 1
     while size < n + 1:
         size *= 2
-    return _powers(size)
+    if size not in _POWERS:
+        for big in [s for s in _POWERS if s > CHUNK + 1]:
+            del _POWERS[big]
+        factors = np.full((2, size), [[BASE], [INVERSE]], dtype=np.uint64)
+        factors[:, 0] = 1
+        _POWERS[size] = tuple(np.cumprod(factors, axis=1))
+    return _POWERS[size]
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeledger.functions.formats import classify_format, dir_name, is_readable
 from tapeledger.operators import layout as L
+from tapeledger.operators.digests import hashed_pieces
 from tapeledger.operators.manifests import check_all_lists, digest_rows
 from tapeledger.operators.ordered import attach, longest_set, number_rows
 from tapeledger.operators.repair import fix_rows, fix_summary, plan_shift
@@ -28,7 +29,7 @@ def check_lists(spark: SparkSession, root: str, recursive: bool = True) -> tuple
     manifest, bad_lines = read_manifests(spark, root, recursive)
     wanted = manifest.select("dir", "file_name", "kind").distinct()
     named = wanted.withColumn("path", F.concat_ws("/", "dir", "file_name"))
-    present = list_files(spark, root, recursive).join(named, "path").withColumn("format", classify_format(F.col("path")))
+    present = list_files(spark, root, recursive).drop("reason").join(named, "path").withColumn("format", classify_format(F.col("path")))
 
     none = {"stream": STREAM, "data_offset": "bigint", "data_len": "bigint", "reason": "string"}
     empty = {n: F.lit(None).cast(t) for n, t in none.items()}
@@ -40,7 +41,8 @@ def check_lists(spark: SparkSession, root: str, recursive: bool = True) -> tuple
 
     # MD5 needs all bytes, ST5 a WAV's audio; an FFP is in the header already read.
     hashing = (F.col("kind") == "md5") | ((F.col("kind") == "st5") & F.col("data_len").isNotNull())
-    every = union_all(by_bytes, probed)
+    # One look at each file: both kinds of entry below read it from here.
+    every = cut_lineage(union_all(by_bytes, probed))
     hashed = A.file_digests(every.filter(hashing).drop("reason"))
     rest = union_all(every.filter(~hashing), unread).withColumns(
         {"file_md5": F.lit(None).cast("string"), "st5": F.lit(None).cast("string")}
@@ -65,6 +67,7 @@ def check_torrents(
     file_size``. Returns ``files`` (a status each), ``verdicts``, ``extras``, ``roots`` and,
     unless ``quick``, ``pieces``. A quick check never opens a file.
     """
+    documents = cut_lineage(documents)
     roots = L.resolve_root(
         documents.select(*SET, "name", "is_single_file").join(given, SET), _folders(listing), listing.select("path")
     )
@@ -87,12 +90,8 @@ def check_torrents(
     spans = L.file_spans(checked, longest=longest)
     readable = spans.filter(F.col("status").isin("SIZE_OK", "PADDING"))
     slices = L.piece_slices(A.read_chunks(readable), F.col("piece_length"))
-    # Reading is the dear step: its result, twenty bytes a piece, is kept before it is used twice.
-    hashed = cut_lineage(
-        L.piece_digests(slices.filter(F.col("reason").isNull())).join(
-            slices.filter(F.col("reason").isNotNull()).select(*SET, "piece", "ordinal").distinct(), [*SET, "piece"], "full"
-        )
-    )
+    # Reading is the dear step: one pass gives digests and failures, a few bytes a piece, which are kept.
+    hashed = cut_lineage(hashed_pieces(slices).withColumnRenamed("digest", "sha1"))
     failed = hashed.filter(F.col("ordinal").isNotNull()).select(*SET, "ordinal", F.lit(True).alias("_failed")).distinct()
     judged = spans.join(failed, [*SET, "ordinal"], "left").withColumn(
         "status", F.when(F.col("_failed"), "UNREADABLE").otherwise(F.col("status"))
@@ -111,10 +110,13 @@ def check_torrents(
 
 def plan_repairs(inventory: DataFrame, direction: str = "backward", pad_tail: bool = False) -> tuple[DataFrame, DataFrame]:
     """Repair plan of every folder of a probed inventory: rows per file, and a summary per set."""
-    numbered = number_rows(
-        inventory.withColumn("set_id", dir_name(F.col("path"))), SET, ["path"]
-    ).select(*SET, "ordinal", "path", F.col("stream.total_frames").alias("frames"), "stream.sample_rate", "stream.channels", "stream.bits_per_sample")
-    longest = longest_set(numbered, SET)
+    shape = ("stream.sample_rate", "stream.channels", "stream.bits_per_sample")
+    # Headers are looked at once; the plan then works on this narrow table.
+    probed = cut_lineage(
+        inventory.select(dir_name(F.col("path")).alias("set_id"), "path", F.col("stream.total_frames").alias("frames"), *shape)
+    )
+    longest = longest_set(probed, SET)
+    numbered = number_rows(probed, SET, ["path"], longest=longest)
     plan = plan_shift(numbered, direction, pad_tail, longest)
     rows = fix_rows(plan, longest)
     return rows, fix_summary(plan, rows)

@@ -59,7 +59,9 @@ def resolve_trackers(specs: DataFrame, catalogue: DataFrame, keys: DataFrame, lo
     set refuses the set, whose rows then carry no URL.
     """
     entries = catalogue.withColumnRenamed("id", "spec").withColumn("_known", F.lit(True))
-    found = specs.join(entries, "spec", "left").join(keys.withColumnRenamed("id", "spec"), "spec", "left")
+    # An id with keys in several lists has one row all the same.
+    one_key = keys.groupBy(F.col("id").alias("spec")).agg(F.max("passkey").alias("passkey"))
+    found = specs.join(entries, "spec", "left").join(one_key, "spec", "left")
     is_url = F.contains("spec", F.lit("://"))
     url = F.when(is_url, F.col("spec")).otherwise(fill_passkey(F.col("announce"), F.col("passkey")))
     health = F.when(~is_url, F.col("health"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def joined_bytes(parts: Column, field: str) -> Column:
-    """Concatenate one binary field of an ordered array; linear however many parts there are."""
+    """Concatenate one binary field of an ordered array of short parts; linear however many there are."""
     few = F.aggregate(parts, F.lit(b""), lambda acc, p: F.concat(acc, p[field]))
     many = F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p[field])), ""))
     return F.when(F.size(parts) <= 8, few).otherwise(many)
@@ -57,11 +57,66 @@ def chained_sha1(parts: DataFrame, key: str, order: Sequence[str], data: str) ->
     )
 
 
-def tree_digest(pieces: DataFrame, keys: Sequence[str], index: str, digest: str, fan_in: int = 1024, levels: int = 3) -> DataFrame:
+def hashed_pieces(slices: DataFrame, algorithm: str = "sha1") -> DataFrame:
+    """Digest of each piece of a stream: ``set_id, piece, digest, ordinal``.
+
+    ``slices``: ``set_id, piece, piece_at, bytes, data``; no ``data`` stands for that many zeros. A
+    task walks a piece's slices in order and holds one batch of them, so a piece may be of any
+    size. Where slices carry a ``reason`` (and ``ordinal``) for not having been read, the piece has
+    a row for each such file and no digest.
+    """
+    told = "reason" in slices.columns
+    key_type = slices.schema["set_id"].dataType.simpleString()
+    kept = [F.col(c) for c in ("set_id", "piece", "piece_at", "bytes", "data")]
+    reason = F.col("reason") if told else F.lit(None).cast("string")
+    ordinal = F.col("ordinal").cast("long") if told else F.lit(None).cast("long")
+    zeros = bytes(1 << 16)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, hasher, bad, schema = None, None, set(), None
+        for batch in batches:
+            if schema is None:
+                schema = pa.schema([("set_id", batch.schema.field("set_id").type), ("piece", pa.int64()), ("digest", pa.string()), ("ordinal", pa.int64())])
+            sets, pieces, sizes = (batch.column(c).to_pylist() for c in ("set_id", "piece", "bytes"))
+            reasons, ordinals, data = batch.column("reason").to_pylist(), batch.column("ordinal").to_pylist(), batch.column("data")
+            done = []
+            for i, key in enumerate(zip(sets, pieces)):
+                if key != current:
+                    if current is not None:
+                        done += ended(current, hasher, bad)
+                    current, hasher, bad = key, hashlib.new(algorithm), set()
+                if reasons[i] is not None:
+                    bad.add(ordinals[i])
+                elif data[i].is_valid:
+                    hasher.update(data[i].as_buffer())
+                else:
+                    for at in range(0, sizes[i], len(zeros)):
+                        hasher.update(zeros[: sizes[i] - at])
+            yield packed(done, schema)
+        if current is not None:
+            yield packed(ended(current, hasher, bad), schema)
+
+    def ended(key, hasher, bad):
+        return [(*key, None, o) for o in sorted(bad)] if bad else [(*key, hasher.hexdigest(), None)]
+
+    def packed(rows, schema):
+        columns = list(zip(*rows)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return (
+        slices.select(*kept, reason.alias("reason"), ordinal.alias("ordinal"))
+        .repartition("set_id", "piece")
+        .sortWithinPartitions("set_id", "piece", "piece_at")
+        .mapInArrow(walk, f"set_id {key_type}, piece bigint, digest string, ordinal bigint")
+    )
+
+
+def tree_digest(pieces: DataFrame, keys: Sequence[str], index: str, digest: str, fan_in: int = 1 << 16, levels: int = 4) -> DataFrame:
     """Fold ordered piece digests into one per key, ``fan_in`` at a time.
 
     Two streams cut on the same grid are equal exactly when their trees are, and unlike one
-    long chain a tree is computed by many tasks.
+    long chain a tree is computed by many tasks. Four levels of 2^16 cover every piece number
+    there is, so a key always has one root.
     """
     level = pieces.select(*keys, F.col(index).alias("_i"), F.col(digest).alias("_d"))
     for _ in range(levels):
@@ -72,5 +127,4 @@ def tree_digest(pieces: DataFrame, keys: Sequence[str], index: str, digest: str,
             .agg(F.md5(F.array_join(F.transform(pairs, lambda p: p["_d"]), "")).alias("_d"))
             .withColumnRenamed("_g", "_i")
         )
-    # Past fan_in ** levels pieces a key keeps several roots, each told apart by its number.
-    return level.select(*keys, F.col("_i").alias("root"), F.col("_d").alias("tree_md5"))
+    return level.select(*keys, F.col("_d").alias("tree_md5"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeledger.functions.formats import base_name, dir_name, needs_attention
-from tapeledger.operators.digests import chained_sha1, joined_bytes, tree_digest
+from tapeledger.operators.digests import chained_sha1, hashed_pieces, joined_bytes, tree_digest
 from tapeledger.operators.ordered import scan_sets
 from tapeledger.session import union_all
 
@@ -68,7 +68,7 @@ def piece_slices(chunks: DataFrame, piece_length: int | Column) -> DataFrame:
     """Cut chunks of content (``set_id, start, length, is_pad, content``) at piece edges.
 
     ``start`` is the chunk's offset in the stream. A file may come as one chunk or as many.
-    The slices are cut before they are exploded, so no row carries its whole chunk along.
+    Padding has ``bytes`` and no ``data``, so zeros are never laid out. The slices are cut before they are exploded, so no row carries its whole chunk along.
     """
     size = (F.lit(piece_length) if isinstance(piece_length, int) else piece_length).cast("long")
     start, end = F.col("start"), F.col("start") + F.col("length")
@@ -77,10 +77,8 @@ def piece_slices(chunks: DataFrame, piece_length: int | Column) -> DataFrame:
     def slice_of(piece: Column) -> Column:
         begin = piece * size
         lo, hi = F.greatest(start, begin), F.least(end, begin + size)
-        data = F.when(
-            F.col("is_pad"), F.unhex(F.repeat(F.lit("00"), (hi - lo).cast("int")))
-        ).otherwise(F.substring("content", (lo - start + 1).cast("int"), (hi - lo).cast("int")))
-        return F.struct(piece.alias("piece"), (lo - begin).alias("piece_at"), data.alias("data"))
+        data = F.when(~F.col("is_pad"), F.substring("content", (lo - start + 1).cast("int"), (hi - lo).cast("int")))
+        return F.struct(piece.alias("piece"), (lo - begin).alias("piece_at"), (hi - lo).alias("bytes"), data.alias("data"))
 
     pieces = F.sequence(_piece_of(start, size), _piece_of(end - 1, size))
     return (
@@ -91,14 +89,9 @@ def piece_slices(chunks: DataFrame, piece_length: int | Column) -> DataFrame:
 
 
 def piece_digests(slices: DataFrame, algorithm: str = "sha1") -> DataFrame:
-    """Digest of each piece. A group holds one piece, so its size is bounded by construction."""
-    parts = F.array_sort(F.collect_list(F.struct("piece_at", "data")))
-    digest = {"sha1": F.sha1, "md5": F.md5}[algorithm]
-    return (
-        slices.groupBy(*SET, "piece")
-        .agg(parts.alias("_parts"))
-        .select(*SET, "piece", digest(joined_bytes(F.col("_parts"), "data")).alias(algorithm))
-    )
+    """Digest of each piece that could be read, whatever its length."""
+    found = hashed_pieces(slices, algorithm).filter(F.col("digest").isNotNull())
+    return found.select(*SET, "piece", F.col("digest").alias(algorithm))
 
 
 def set_audio_digest(slices: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tapeledger.functions.formats import base_name, dir_name, ffp
 from tapeledger.functions.names import manifest_kind, manifest_line, manifest_text
-from tapeledger.operators.ordered import number_rows, scan_sets, text_parts
+from tapeledger.operators.ordered import longest_set, number_rows, scan_sets, text_parts
 from tapeledger.session import union_all
 
 
@@ -132,18 +132,45 @@ def outcome_tally(
 
 
 def match_twins(inventory: DataFrame) -> DataFrame:
-    """FLAC and WAV of one stem in one folder; equal audio digests mean a lossless pair."""
+    """FLAC and WAV of one stem in one folder; equal audio digests mean a lossless pair.
+
+    One grouping by folder and stem. A stem that several files of one format share is ``AMBIGUOUS``:
+    one row, with the first name and the least digest of each format.
+    """
     stem = F.regexp_extract("file_name", r"(?s)^(.+)\.[^.]*$", 1)
+    kinds = {"flac": F.col("format") == "FLAC", "wav": F.col("format") == "WAV"}
+    found = (
+        inventory.filter(F.col("format").isin("FLAC", "WAV"))
+        .groupBy("dir", stem.alias("stem"))
+        .agg(*[
+            c
+            for name, of in kinds.items()
+            for c in (
+                F.count_if(of).alias(f"_{name}s"),
+                F.min(F.when(of, F.col("file_name"))).alias(f"{name}_name"),
+                F.min(F.when(of, F.col("audio_md5"))).alias(f"{name}_md5"),
+            )
+        ])
+        .filter("_flacs > 0 AND _wavs > 0")
+    )
+    flac, wav = F.col("flac_md5"), F.col("wav_md5")
+    verdict = (
+        F.when((F.col("_flacs") > 1) | (F.col("_wavs") > 1), "AMBIGUOUS")
+        .when(flac.isNull() | wav.isNull(), "UNCHECKED")
+        .when(flac == wav, "LOSSLESS")
+        .otherwise("DIFFERS")
+    )
+    return found.select("dir", "stem", "flac_name", "flac_md5", "wav_name", "wav_md5", verdict.alias("twin"))
 
-    def side(fmt: str, prefix: str) -> DataFrame:
-        return inventory.filter(F.col("format") == fmt).select(
-            "dir", stem.alias("stem"),
-            F.col("file_name").alias(f"{prefix}_name"), F.col("audio_md5").alias(f"{prefix}_md5"),
-        )
 
-    flac, wav = F.col("flac_md5"), F.col("wav_md5")
-    verdict = F.when(flac.isNull() | wav.isNull(), "UNCHECKED").when(flac == wav, "LOSSLESS").otherwise("DIFFERS")
-    return side("FLAC", "flac").join(side("WAV", "wav"), ["dir", "stem"]).withColumn("twin", verdict)
+def duplicate_audio(inventory: DataFrame) -> DataFrame:
+    """Every file whose audio another file has too, with how many have it; files without a digest are left out.
+
+    Copies are rows, never a list: counts are combined before they are shuffled, and the join on a
+    digest with very many files can be split.
+    """
+    copies = inventory.filter(F.col("audio_md5").isNotNull()).groupBy("audio_md5").agg(F.count(F.lit(1)).alias("copies"))
+    return inventory.join(copies.filter("copies > 1"), "audio_md5").select("dir", "file_name", "audio_md5", "copies")
 
 
 def classify_change(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -165,8 +192,11 @@ def classify_change(before: DataFrame, after: DataFrame) -> DataFrame:
     )
     gone = both.filter(F.col("a_in").isNull()).select("path", F.col("b_file").alias("file_md5"))
     come = both.filter(F.col("b_in").isNull()).select(F.col("path").alias("new_path"), F.col("a_file").alias("file_md5"))
-    gone = number_rows(gone, ["file_md5"], ["path"], "copy_no")
-    come = number_rows(come, ["file_md5"], ["new_path"], "copy_no")
+    # One measurement bounds both sides.
+    loose = both.filter(F.col("a_in").isNull() | F.col("b_in").isNull())
+    longest = longest_set(loose.select(F.coalesce("b_file", "a_file").alias("file_md5")), ["file_md5"])
+    gone = number_rows(gone, ["file_md5"], ["path"], "copy_no", longest)
+    come = number_rows(come, ["file_md5"], ["new_path"], "copy_no", longest)
     moved = gone.join(come, ["file_md5", "copy_no"], "full").select(
         "path",
         "new_path",

@@ -13,29 +13,35 @@ from tapeledger.plans import standins as S
 PIECE = 2048
 NAME = "'doc_' || CAST(doc_id AS STRING) || '.txt'"
 
-# Files of a set in stream order; some empty, some standing for padding.
+# Files of a set in stream order: every document, and besides some empty files and some that stand for padding.
 FILES = f"""
-SELECT source AS set_id, doc_id, {NAME} AS file_name, source || '/' || {NAME} AS path,
-       CASE WHEN doc_id % 67 = 9 THEN '' ELSE text END AS text, doc_id % 53 = 8 AS is_pad
-FROM {{documents}}"""
+SELECT source AS set_id, doc_id, {NAME} AS file_name, source || '/' || {NAME} AS path, text, false AS is_pad FROM {{documents}}
+UNION ALL SELECT source, doc_id, 'empty_' || {NAME}, source || '/empty_' || {NAME}, '', false FROM {{documents}} WHERE doc_id % 67 = 9
+UNION ALL SELECT source, doc_id, 'pad_' || {NAME}, source || '/pad_' || {NAME}, text, true FROM {{documents}} WHERE doc_id % 53 = 8"""
 
 # What lies on disk of the listed files: some are gone, longer, unreadable, or not files at all.
 ON_DISK = """doc_id % 89 <> 7"""
 UNREADABLE = "CASE WHEN doc_id % 101 = 9 THEN 'permission denied' END"
 
 
-def files(spark, sf_dir):
-    rows = S.select(spark, sf_dir, FILES)
-    longest = longest_set(rows.select("set_id"), ["set_id"])
-    sized = rows.withColumn("content", F.col("text").cast("binary")).withColumn("length", F.octet_length("text").cast("long"))
-    return number_rows(sized.drop("text"), ["set_id"], ["file_name"], longest=longest), longest
+def files(spark, sf_dir, keep="true"):
+    """Numbered files with their lengths; contents stay behind."""
+    rows = S.select(spark, sf_dir, FILES).filter(keep).withColumn("length", F.octet_length("text").cast("long")).drop("text")
+    longest = longest_set(rows, ["set_id"])
+    return number_rows(rows, ["set_id"], ["file_name"], longest=longest), longest
 
 
-def spans(spark, sf_dir):
-    rows, longest = files(spark, sf_dir)
+def spans(spark, sf_dir, keep="true"):
+    rows, longest = files(spark, sf_dir, keep)
     return L.file_spans(rows, longest=longest)
 
 
+def with_content(spark, sf_dir, laid):
+    """Contents join the finished layout by path, so no byte is sorted or numbered with its set."""
+    bytes_of = S.select(spark, sf_dir, FILES).filter("NOT is_pad").select("path", F.col("text").cast("binary").alias("content"))
+    return laid.join(bytes_of, "path", "left")
+
+
 def inventory(spark, sf_dir):
     listed = S.select(spark, sf_dir, FILES).filter(ON_DISK)
     return listed.select(
@@ -53,7 +59,7 @@ def prechecked(spark, sf_dir):
 
 def damaged(laid):
     """The same bytes with the middle one of some files replaced."""
-    hit = F.expr("doc_id % 97 = 5 AND length > 0")
+    hit = F.expr("doc_id % 97 = 5 AND length > 0 AND NOT is_pad")
     changed = F.expr(
         "concat(substring(content, 1, CAST(length div 2 AS INT)), X'21', substring(content, CAST(length div 2 AS INT) + 2))"
     )
@@ -63,8 +69,9 @@ def damaged(laid):
 def outcomes(spark, sf_dir):
     checked, laid = prechecked(spark, sf_dir)
     segments = L.piece_segments(checked, F.lit(PIECE))
-    expected = L.piece_digests(L.piece_slices(laid, PIECE))
-    actual = L.piece_digests(L.piece_slices(damaged(laid), PIECE))
+    full = with_content(spark, sf_dir, laid)
+    expected = L.piece_digests(L.piece_slices(full, PIECE))
+    actual = L.piece_digests(L.piece_slices(damaged(full), PIECE))
     return L.piece_outcomes(segments, expected, actual), segments, checked
 
 
@@ -101,19 +108,15 @@ def drafts(spark, sf_dir):
 
 def identity(spark, sf_dir):
     laid = spans(spark, sf_dir)
-    pieces = L.piece_digests(L.piece_slices(laid, 16384))
+    pieces = L.piece_digests(L.piece_slices(with_content(spark, sf_dir, laid), 16384))
     fixed = drafts(spark, sf_dir).withColumn("piece_length", F.lit(16384).cast("long"))
     listed = laid.select("set_id", "ordinal", "length", "is_pad", F.array("file_name").alias("path_parts"))
     return L.set_identity(fixed, listed, pieces)
 
 
 def audio_digest(spark, sf_dir):
-    real = S.select(spark, sf_dir, FILES).filter("NOT is_pad")
-    longest = longest_set(real.select("set_id"), ["set_id"])
-    sized = real.withColumn("content", F.col("text").cast("binary")).withColumn("length", F.octet_length("text").cast("long"))
-    numbered = number_rows(sized.drop("text"), ["set_id"], ["file_name"], longest=longest)
-    laid = L.file_spans(numbered, longest=longest)
-    return L.set_audio_digest(L.piece_slices(laid, PIECE))
+    laid = spans(spark, sf_dir, "NOT is_pad")
+    return L.set_audio_digest(L.piece_slices(with_content(spark, sf_dir, laid), PIECE))
 
 
 def extra_files(spark, sf_dir):
@@ -239,7 +242,7 @@ def cut(size, name="seg", source="spans"):
 
 
 SLICE = "CASE WHEN is_pad THEN repeat('00', CAST(bytes AS INT)) ELSE substr({h}, CAST(2 * from_byte + 1 AS INT), CAST(2 * bytes AS INT)) END"
-BAD_H = "CASE WHEN doc_id % 97 = 5 AND length > 0 THEN substr(h, 1, CAST(2 * (length // 2) AS INT)) || '21' || substr(h, CAST(2 * (length // 2) + 3 AS INT)) ELSE h END"
+BAD_H = "CASE WHEN doc_id % 97 = 5 AND length > 0 AND NOT is_pad THEN substr(h, 1, CAST(2 * (length // 2) AS INT)) || '21' || substr(h, CAST(2 * (length // 2) + 3 AS INT)) ELSE h END"
 
 PRECHECK = f"""
 inv AS (SELECT path, octet_length(encode(text)) + CASE WHEN doc_id % 71 = 6 THEN 1 ELSE 0 END AS size,
@@ -315,19 +318,19 @@ SELECT *, (total + piece_length - 1) // piece_length AS pieces FROM l""",
         f"WITH {BASE}, {cut(PIECE)} SELECT set_id, ordinal, piece, from_byte, piece_at, bytes FROM seg",
     ),
     "piece_digests": (
-        lambda spark, sf_dir: L.piece_digests(L.piece_slices(spans(spark, sf_dir), PIECE)),
+        lambda spark, sf_dir: L.piece_digests(L.piece_slices(with_content(spark, sf_dir, spans(spark, sf_dir)), PIECE)),
         f"WITH {BASE}, {cut(PIECE)} SELECT set_id, piece, sha1(unhex(string_agg({SLICE.format(h='h')}, '' ORDER BY piece_at))) AS sha1 FROM seg GROUP BY set_id, piece",
     ),
     "set_audio_digest": (
         audio_digest,
         f"""WITH f AS (SELECT *, hex(encode(text)) AS h, CAST(octet_length(encode(text)) AS BIGINT) AS length
-  FROM ({S.numbered(FILES + " WHERE NOT doc_id % 53 = 8", 'set_id', 'file_name')})),
+  FROM ({S.numbered(f"SELECT * FROM ({FILES}) x WHERE NOT is_pad", 'set_id', 'file_name')})),
 s AS (SELECT *, CAST(sum(length) OVER (PARTITION BY set_id ORDER BY ordinal) AS BIGINT) AS "end" FROM f),
 spans AS (SELECT *, "end" - length AS start FROM s), {cut(PIECE)},
 d0 AS (SELECT set_id, piece AS i, md5(unhex(string_agg({SLICE.format(h='h')}, '' ORDER BY piece_at))) AS d FROM seg GROUP BY ALL),
-d1 AS (SELECT set_id, i // 1024 AS k, md5(string_agg(d, '' ORDER BY i)) AS d FROM d0 GROUP BY ALL),
-d2 AS (SELECT set_id, k // 1024 AS j, md5(string_agg(d, '' ORDER BY k)) AS d FROM d1 GROUP BY ALL)
-SELECT set_id, j // 1024 AS root, md5(string_agg(d, '' ORDER BY j)) AS tree_md5 FROM d2 GROUP BY ALL""",
+d1 AS (SELECT set_id, i // 65536 AS k, md5(string_agg(d, '' ORDER BY i)) AS d FROM d0 GROUP BY ALL),
+d2 AS (SELECT set_id, md5(string_agg(d, '' ORDER BY k)) AS d FROM d1 GROUP BY ALL)
+SELECT set_id, md5(md5(d)) AS tree_md5 FROM d2""",
     ),
     "size_precheck": (
         lambda spark, sf_dir: prechecked(spark, sf_dir)[0].select("set_id", "ordinal", "path", "status", "expected", "actual", "reason"),

@@ -17,7 +17,8 @@ DIGESTS = f"""
 SELECT source AS set_id, source AS dir, {NAME} AS file_name, doc_id, {KIND} AS kind,
        CASE WHEN doc_id % 101 = 9 THEN NULL WHEN {KIND} = 'md5' THEN md5(text) ELSE md5({BODY}) END AS digest,
        CASE WHEN doc_id % 101 = 9 THEN 'unreadable' END AS error
-FROM {{documents}} WHERE doc_id % 89 <> 7"""
+FROM {{documents}}"""
+PRESENT = f"{DIGESTS} WHERE doc_id % 89 <> 7"
 
 # What the lists say: altered digests, upper case, comments, broken lines, both line ends.
 LINES = f"""
@@ -39,15 +40,17 @@ FROM (SELECT *, source || '/' || source || '.' || kind AS list_path,
                         ELSE md5({BODY}) END AS raw
             FROM {{documents}}))"""
 
-# Two snapshots; files that only one of them has were added or removed in between.
-BEFORE = f"""
+# Two snapshots of all files, and two between which some were added or removed.
+BEFORE_ALL = f"""
 SELECT source || '/' || {NAME} AS path, md5(text) AS file_md5, md5({BODY}) AS audio_md5
-FROM {{documents}} WHERE doc_id % 43 <> 7"""
-AFTER = f"""
+FROM {{documents}}"""
+BEFORE = f"{BEFORE_ALL} WHERE doc_id % 43 <> 7"
+AFTER_ALL = f"""
 SELECT CASE WHEN doc_id % 29 = 3 THEN 'moved/' ELSE '' END || source || '/' || {NAME} AS path,
        CASE WHEN doc_id % 31 = 4 OR doc_id % 37 = 5 THEN md5('new' || text) ELSE md5(text) END AS file_md5,
        CASE WHEN doc_id % 37 = 5 THEN md5({BODY} || 'x') ELSE md5({BODY}) END AS audio_md5
-FROM {{documents}} WHERE doc_id % 41 <> 6"""
+FROM {{documents}}"""
+AFTER = f"{AFTER_ALL} WHERE doc_id % 41 <> 6"
 
 # Files of one set in several formats, twins by stem.
 STEM = """'f' || CAST(l_partkey AS STRING) || '_' || CAST(l_suppkey AS STRING) || '_' || CAST(l_linenumber AS STRING)
@@ -82,12 +85,12 @@ CHECK_COLUMNS = ["dir", "list_path", "kind", "line_no", "file_name", "status", "
 
 def check(spark, sf_dir):
     good, _ = manifest(spark, sf_dir)
-    return M.check_manifest(good, S.select(spark, sf_dir, DIGESTS)).select(CHECK_COLUMNS)
+    return M.check_manifest(good, S.select(spark, sf_dir, PRESENT)).select(CHECK_COLUMNS)
 
 
 def check_all(spark, sf_dir):
     good, _ = manifest(spark, sf_dir)
-    checked = M.check_all_lists(good, S.select(spark, sf_dir, DIGESTS))
+    checked = M.check_all_lists(good, S.select(spark, sf_dir, PRESENT))
     return checked.select("dir", "list_path", "line_no", "label", "status")
 
 
@@ -98,7 +101,9 @@ def tally(spark, sf_dir):
 
 
 def audit_unchanged(spark, sf_dir):
-    return M.audio_unchanged(S.select(spark, sf_dir, BEFORE), S.select(spark, sf_dir, AFTER))
+    before = S.select(spark, sf_dir, BEFORE_ALL).withColumn("path", F.expr("regexp_extract(path, '[^/]*$', 0)"))
+    after = S.select(spark, sf_dir, AFTER_ALL).withColumn("path", F.expr("regexp_extract(path, '[^/]*$', 0)"))
+    return M.audio_unchanged(before, after)
 
 
 def complete(spark, sf_dir):
@@ -130,7 +135,7 @@ p AS (SELECT *, CASE WHEN kind = 'ffp' AND NOT contains(s, ':') THEN 'expected "
 m AS (SELECT dir, list_path, kind, line_no, name AS file_name, hash AS digest FROM p WHERE detail IS NULL)"""
 
 TWIN_CHECK = f"""{TWIN_PARSE},
-d AS ({S.plain(DIGESTS)}),
+d AS ({S.plain(PRESENT)}),
 r AS (SELECT m.*, CASE WHEN d.file_name IS NULL THEN 'MISSING' WHEN d.error IS NOT NULL THEN 'FAILED'
              WHEN m.digest = d.digest THEN 'OK' ELSE 'MISMATCH' END AS status,
         d.digest AS found, d.error AS problem
@@ -186,11 +191,17 @@ FROM ({S.numbered(DIGESTS, 'set_id', 'file_name')}) WHERE digest IS NOT NULL GRO
     ),
     "match_twins": (
         lambda spark, sf_dir: M.match_twins(S.select(spark, sf_dir, TWIN_FILES)),
-        f"""WITH t AS (SELECT *, regexp_extract(file_name, '^(.*)\\.[a-z]+$', 1) AS stem FROM ({S.plain(TWIN_FILES)}))
-SELECT f.dir, f.stem, f.file_name AS flac_name, f.audio_md5 AS flac_md5, w.file_name AS wav_name, w.audio_md5 AS wav_md5,
-  CASE WHEN f.audio_md5 IS NULL OR w.audio_md5 IS NULL THEN 'UNCHECKED'
-       WHEN f.audio_md5 = w.audio_md5 THEN 'LOSSLESS' ELSE 'DIFFERS' END AS twin
-FROM t f JOIN t w ON f.dir = w.dir AND f.stem = w.stem AND f.format = 'FLAC' AND w.format = 'WAV'""",
+        f"""WITH t AS (SELECT *, regexp_extract(file_name, '^(.*)\\.[a-z]+$', 1) AS stem FROM ({S.plain(TWIN_FILES)})),
+f AS (SELECT dir, stem, count(*) AS n, min(file_name) AS flac_name, min(audio_md5) AS flac_md5 FROM t WHERE format = 'FLAC' GROUP BY ALL),
+w AS (SELECT dir, stem, count(*) AS n, min(file_name) AS wav_name, min(audio_md5) AS wav_md5 FROM t WHERE format = 'WAV' GROUP BY ALL)
+SELECT f.dir, f.stem, flac_name, flac_md5, wav_name, wav_md5, CASE WHEN f.n > 1 OR w.n > 1 THEN 'AMBIGUOUS' WHEN flac_md5 IS NULL OR wav_md5 IS NULL THEN 'UNCHECKED'
+       WHEN flac_md5 = wav_md5 THEN 'LOSSLESS' ELSE 'DIFFERS' END AS twin
+FROM f JOIN w ON f.dir = w.dir AND f.stem = w.stem""",
+    ),
+    "duplicate_audio": (
+        lambda spark, sf_dir: M.duplicate_audio(S.select(spark, sf_dir, TWIN_FILES)),
+        f"""WITH t AS ({S.plain(TWIN_FILES)}), d AS (SELECT audio_md5, count(*) AS copies FROM t WHERE audio_md5 IS NOT NULL GROUP BY audio_md5 HAVING count(*) > 1)
+SELECT dir, file_name, audio_md5, copies FROM t JOIN d USING (audio_md5)""",
     ),
     "classify_change": (
         lambda spark, sf_dir: M.classify_change(S.select(spark, sf_dir, BEFORE), S.select(spark, sf_dir, AFTER)),
@@ -205,7 +216,8 @@ FROM g FULL JOIN n ON g.file_md5 = n.file_md5 AND g.k = n.k""",
     ),
     "audio_unchanged": (
         audit_unchanged,
-        f"""WITH {SNAPSHOTS} SELECT path, b.audio_md5 AS before_md5, a.audio_md5 AS after_md5,
-  CASE WHEN b.audio_md5 = a.audio_md5 THEN 'UNCHANGED' ELSE 'AUDIO_CHANGED' END AS verdict FROM b JOIN a USING (path)""",
+        f"""WITH b AS (SELECT *, split_part(path, '/', -1) AS name FROM ({S.plain(BEFORE_ALL)})), a AS (SELECT *, split_part(path, '/', -1) AS name FROM ({S.plain(AFTER_ALL)}))
+SELECT name AS path, b.audio_md5 AS before_md5, a.audio_md5 AS after_md5,
+  CASE WHEN b.audio_md5 = a.audio_md5 THEN 'UNCHANGED' ELSE 'AUDIO_CHANGED' END AS verdict FROM b JOIN a USING (name)""",
     ),
 }

@@ -158,13 +158,13 @@ QUERIES = {
     "read_wav_headers": (
         wav_headers,
         f"""WITH w AS (SELECT *, {SIZE} AS n, CASE WHEN broken THEN 'NOT_RIFF_WAVE' WHEN tag = 3 THEN 'NOT_PCM' END AS reason FROM ({S.plain(WAV_SHAPE)}))
-SELECT doc_id, CASE WHEN reason IS NULL THEN rate END AS sample_rate, CASE WHEN reason IS NULL THEN channels END AS channels, CASE WHEN reason IS NULL THEN bits END AS bits_per_sample,
+SELECT doc_id, CAST(CASE WHEN reason IS NULL THEN rate END AS BIGINT) AS sample_rate, CASE WHEN reason IS NULL THEN channels END AS channels, CASE WHEN reason IS NULL THEN bits END AS bits_per_sample,
   CASE WHEN reason IS NULL THEN n // (channels * (bits // 8)) END AS total_frames, CASE WHEN reason IS NULL THEN CAST(44 + CASE WHEN has_list THEN 14 ELSE 0 END AS BIGINT) END AS data_offset,
   CASE WHEN reason IS NULL THEN CAST(n AS BIGINT) END AS data_len, CASE WHEN reason IS NULL THEN md5(text) END AS st5, reason FROM w""",
     ),
     "read_flac_headers": (
         flac_headers,
-        f"""SELECT set_id, ordinal, CASE WHEN NOT broken THEN rate END AS sample_rate, CASE WHEN NOT broken THEN channels END AS channels, CASE WHEN NOT broken THEN bits END AS bits_per_sample,
+        f"""SELECT set_id, ordinal, CAST(CASE WHEN NOT broken THEN rate END AS BIGINT) AS sample_rate, CASE WHEN NOT broken THEN channels END AS channels, CASE WHEN NOT broken THEN bits END AS bits_per_sample,
   CASE WHEN NOT broken THEN nullif(frames, 0) END AS total_frames, CASE WHEN NOT broken AND digest NOT LIKE '0000000000%' THEN digest END AS audio_md5,
   CASE WHEN NOT broken THEN nullif(vendor, '') END AS encoder, CASE WHEN NOT broken THEN title END AS title, CASE WHEN NOT broken THEN brand END AS artist,
   CASE WHEN NOT broken THEN 2 END AS titles, CASE WHEN broken THEN 'NOT_FLAC_DATA' END AS reason FROM ({S.tracks_sql(FLAC_SHAPE)})""",

@@ -89,10 +89,10 @@ TURNS = "SELECT conv_id AS set_id, turn, role, text FROM {conversations}"
 
 
 def titles(spark, sf_dir):
-    """Every line a user wrote as a title, against every turn as a track."""
+    """Every line of every turn as a title, against every turn as a track."""
     rows = S.select(spark, sf_dir, TURNS)
     longest = longest_set(rows.select("set_id"), ["set_id"])
-    split = rows.filter("role = 'user'").select("set_id", "turn", F.posexplode(split_titles(F.col("text"))).alias("pos", "title"))
+    split = rows.select("set_id", "turn", F.posexplode(split_titles(F.col("text"))).alias("pos", "title"))
     lines = number_rows(split, ["set_id"], ["turn", "pos"], "title_no")
     tracks = number_rows(rows, ["set_id"], ["turn"], "track_number", longest=longest)
     one = F.col("track_number") + 1
@@ -232,7 +232,7 @@ FROM p JOIN shown USING (set_id)""",
         titles,
         f"""WITH x AS (SELECT set_id, turn, unnest(str_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10))) AS title,
     generate_subscripts(str_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)), 1) AS pos
-  FROM (SELECT set_id, turn, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM ({S.plain(TURNS)}) WHERE role = 'user') WHERE text <> ''),
+  FROM (SELECT set_id, turn, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM ({S.plain(TURNS)})) WHERE text <> ''),
 l AS (SELECT * FROM (SELECT set_id, title, row_number() OVER (PARTITION BY set_id ORDER BY turn, pos) AS n FROM x)),
 k AS (SELECT set_id, row_number() OVER (PARTITION BY set_id ORDER BY turn) AS n FROM ({S.plain(TURNS)})),
 r AS (SELECT set_id, coalesce(lines, 0) > tracks AS bad FROM (SELECT set_id, count(*) AS tracks FROM k GROUP BY 1) LEFT JOIN (SELECT set_id, count(*) AS lines FROM l GROUP BY 1) USING (set_id))

@@ -1,6 +1,6 @@
 """Row shapes the readers produce."""
 
-STREAM = "struct<sample_rate:int,channels:int,bits_per_sample:int,total_frames:bigint,audio_md5:string>"
+STREAM = "struct<sample_rate:bigint,channels:int,bits_per_sample:int,total_frames:bigint,audio_md5:string>"
 
 # What one look at a file's leading bytes tells.
 PROBE_FIELDS = (

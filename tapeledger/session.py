@@ -12,13 +12,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names; a scratch one only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    known = context.getCheckpointDir()
     if configured:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not known:
             context.setCheckpointDir(configured)
         return configured
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
+    if known:
+        return known
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def audit_report(results: DataFrame, path: str, run_date: str) -> None:
-    """Persist per-file results (or totals, or provenance) under their run date."""
-    dated = results.withColumn("run_date", F.lit(run_date).cast("date"))
-    dated.write.mode("append").partitionBy("run_date").parquet(path)
+def audit_report(results: DataFrame, path: str, run_date: str, run_id: str = "audit") -> None:
+    """Persist per-file results (or totals, or provenance) under their run date and run.
+
+    A run owns its partition: writing it again replaces its rows and leaves other runs alone, so
+    a rerun or a retry changes nothing.
+    """
+    dated = results.withColumns({"run_date": F.lit(run_date).cast("date"), "run_id": F.lit(run_id)})
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "run_id").parquet(path)
 
 
 def render_provenance(prov: DataFrame) -> DataFrame:

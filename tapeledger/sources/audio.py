@@ -131,13 +131,14 @@ def probe(files: DataFrame) -> DataFrame:
 
 
 def _inventoried(files: DataFrame, bare: bool) -> tuple[DataFrame, DataFrame]:
-    good, bad = split_readable(files, bare)
+    unlisted = files.filter(F.col("reason").isNotNull()).select("path", F.lit(None).cast("string").alias("format"), "reason")
+    good, bad = split_readable(files.filter(F.col("reason").isNull()).drop("reason"), bare)
     probed = probe(good)
     failed = probed.filter(F.col("reason").isNotNull())
     shape = ["path", "format", "reason"]
     return (
         probed.filter(F.col("reason").isNull()).drop("reason"),
-        union_sets(bad.select(shape), failed.select(shape)),
+        union_sets(bad.select(shape), failed.select(shape), unlisted),
     )
 
 

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tapeledger.session import union_all
+from tapeledger.session import cut_lineage, union_all
+
+# Bytes of file contents a task hands on at a time.
+FLUSH_BYTES = 1 << 25
 
 
 def locate(path: str):
@@ -32,50 +35,56 @@ def open_path(path: str):
     return store.open_input_file(inside)
 
 
-LISTED = "path string, file_size bigint, is_dir boolean"
+LISTED = "path string, file_size bigint, is_dir boolean, reason string"
 
 
-def _listing(path: str, recursive: bool) -> Iterator[tuple[str, int | None, bool]]:
-    store, inside, before = locate(path)
-    info = store.get_file_info(inside)
-    if info.type != fs.FileType.Directory:
-        size = info.size if info.type == fs.FileType.File else None
-        yield before + inside, size, False
-        return
-    for entry in store.get_file_info(fs.FileSelector(inside, recursive=recursive)):
-        is_dir = entry.type == fs.FileType.Directory
-        yield before + entry.path, None if is_dir else entry.size, is_dir
+def _listing(path: str) -> Iterator[tuple[str, int | None, bool, str | None]]:
+    """A file itself, or what a folder holds; one that cannot be listed is a row with the reason."""
+    try:
+        store, inside, before = locate(path)
+        info = store.get_file_info(inside)
+        if info.type != fs.FileType.Directory:
+            size = info.size if info.type == fs.FileType.File else None
+            yield before + inside, size, False, None
+            return
+        for entry in store.get_file_info(fs.FileSelector(inside)):
+            is_dir = entry.type == fs.FileType.Directory
+            yield before + entry.path, None if is_dir else entry.size, is_dir, None
+    except (OSError, ValueError) as e:
+        yield path, None, False, f"UNLISTED: {e}"
 
 
-def list_files(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
-    """``path, file_size`` of every file under the given folders, and of files given themselves.
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            rows = _listing(path)
+            while chunk := list(islice(rows, 10_000)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*chunk), (pa.string(), pa.int64(), pa.bool_(), pa.string()))],
+                    names=["path", "file_size", "is_dir", "reason"],
+                )
+
 
-    Folders are listed by tasks: the given ones first, then each of their subfolders on its
-    own, so neither the driver nor one task holds a collection's listing. Empty files are
-    listed too, which the binary file source leaves out. A path that is not there has no size.
+def list_files(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
+    """``path, file_size, reason`` of every file under the given folders, and of files given themselves.
+
+    Folders are listed level by level, every folder of a level by a task of its own choice of
+    rows, so neither the driver nor one task holds a collection's listing however it is nested;
+    the driver sees one count per level. The levels are kept in the checkpoint folder, so the call
+    lists once and later plans read the result. Empty files are listed too, which the binary
+    file source leaves out. A path that is not there has no size; a folder that cannot be listed
+    is a row with a ``reason``, and the rest is listed all the same.
     """
     given = [paths] if isinstance(paths, str) else list(paths)
-
-    def lister(deep: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for path in batch.column("path").to_pylist():
-                    rows = _listing(path, deep)
-                    while chunk := list(islice(rows, 10_000)):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, t) for c, t in zip(zip(*chunk), (pa.string(), pa.int64(), pa.bool_()))],
-                            names=["path", "file_size", "is_dir"],
-                        )
-
-        return run
-
-    seeds = spark.createDataFrame([(p,) for p in given], "path string").repartition(len(given))
-    top = seeds.mapInArrow(lister(False), LISTED)
-    found = top.filter("NOT is_dir")
-    if recursive:
-        deeper = top.filter("is_dir").select("path").repartition("path").mapInArrow(lister(True), LISTED)
-        found = union_all(found, deeper.filter("NOT is_dir"))
-    return found.select("path", "file_size")
+    folders = spark.createDataFrame([(p,) for p in given], "path string")
+    found, wide = [], max(len(given), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    while True:
+        level = cut_lineage(folders.repartition(wide, "path").mapInArrow(_listed, LISTED))
+        found.append(level.filter("NOT is_dir"))
+        folders = level.filter("is_dir").select("path")
+        if not recursive or folders.limit(1).count() == 0:
+            break
+    return union_all(*found).select("path", "file_size", "reason")
 
 
 def read_exact(f, n: int) -> bytes:
@@ -107,14 +116,30 @@ def map_files(files: DataFrame, read: Callable[[dict, object], dict], fields: st
         except (ValueError, OSError) as e:
             return {"reason": str(e) or "UNREADABLE"}
 
+    def fits(found: dict) -> dict:
+        """What was found, or the reason why it has no place in the columns."""
+        try:
+            for n in names:
+                pa.array([found.get(n)], type=arrow.field(n).type)
+        except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError) as e:
+            return {"reason": f"BAD_VALUE: {e}"}
+        return found
+
+    def batch_of(part: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
+        columns = [part.column(c) for c in kept] + [pa.array([r.get(n) for r in found], type=arrow.field(n).type) for n in names]
+        return pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Flushed by bytes: a row may bring megabytes, and a batch of them more than a task holds.
         for batch in batches:
-            found = [look(row) for row in batch.to_pylist()]
-            columns = [batch.column(c) for c in kept] + [
-                pa.array([r.get(n) for r in found], type=arrow.field(n).type) for n in names
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow
-            )
+            first, found, held = 0, [], 0
+            for at in range(batch.num_rows):
+                found.append(fits(look(batch.slice(at, 1).to_pylist()[0])))
+                held += sum(len(v) for v in found[-1].values() if isinstance(v, bytes))
+                if held >= FLUSH_BYTES:
+                    yield batch_of(batch.slice(first, len(found)), found)
+                    first, found, held = at + 1, [], 0
+            if found:
+                yield batch_of(batch.slice(first, len(found)), found)
 
     return files.mapInArrow(run, out)

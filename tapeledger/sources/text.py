@@ -15,7 +15,8 @@ from tapeledger.operators.ordered import first_occurrence, number_rows
 from tapeledger.session import union_all
 
 
-LIST_GLOB = "*.{ffp,md5,st5,FFP,MD5,ST5}"
+# In any mixture of cases.
+LIST_GLOB = "*.{[fF][fF][pP],[mM][dD]5,[sS][tT]5}"
 
 
 def plain_path(address: Column) -> Column:

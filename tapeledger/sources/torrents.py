@@ -128,7 +128,7 @@ def decode_torrents(binary: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_torrents(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """Every ``.torrent`` in the given folders; ``set_id`` is its path."""
-    listed = list_files(spark, paths).filter(F.col("path").endswith(".torrent"))
+    listed = list_files(spark, paths).drop("reason").filter(F.col("path").endswith(".torrent"))
     return decode_torrents(listed.select(F.col("path").alias("set_id"), "path"))
 
 

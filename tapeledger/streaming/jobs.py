@@ -41,9 +41,15 @@ def job_state(events: DataFrame) -> DataFrame:
 
 
 def batch_progress(events: DataFrame) -> DataFrame:
-    """Jobs done of jobs submitted; a cancelled job counts as done."""
-    done, total = F.count_if(F.col("kind").isin(TERMINAL)), F.count_if(F.col("kind") == "STARTED")
-    return events.groupBy("batch_id").agg(done.alias("done"), total.alias("submitted"))
+    """Jobs done of jobs submitted; a cancelled job counts as done, and a job with two ends once.
+
+    Jobs are told apart before they are counted, which takes two groupings: for batches, and for the
+    events a stream has written so far.
+    """
+    jobs = events.groupBy(*JOB).agg(
+        F.bool_or(F.col("kind").isin(TERMINAL)).alias("_ended"), F.bool_or(F.col("kind") == "STARTED").alias("_started")
+    )
+    return jobs.groupBy("batch_id").agg(F.count_if("_ended").alias("done"), F.count_if("_started").alias("submitted"))
 
 
 def cancelled_rows(events: DataFrame) -> DataFrame:

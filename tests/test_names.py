@@ -6,26 +6,26 @@ from pyspark.sql import functions as F
 from tapeledger.functions import names as N
 
 TRACKS = {
-    "ph2000-04-20d1t01.shn": ("ph", "2000-04-20", "LONG", 1, 1, None, "shn"),
-    "gd1973-02-09d1t01bertha.shn": ("gd", "1973-02-09", "LONG", 1, 1, "bertha", "shn"),
-    "gd77-05-08d1t01.flac": ("gd", "1977-05-08", "SHORT", 1, 1, None, "flac"),
-    "jgb1987-01-25d2t14.flac": ("jgb", "1987-01-25", "LONG", 2, 14, None, "flac"),
-    "u21983-02-23d1t05.flac": ("u2", "1983-02-23", "LONG", 1, 5, None, "flac"),
-    "ph2000-04-20t07.flac": ("ph", "2000-04-20", "LONG", None, 7, None, "flac"),
-    "gd30-05-08t100.flac": ("gd", "2030-05-08", "SHORT", None, 100, None, "flac"),
-    "gd31-05-08t1.flac": ("gd", "1931-05-08", "SHORT", None, 1, None, "flac"),
-    "tä-x1977-05-08t01.flac": ("tä-x", "1977-05-08", "LONG", None, 1, None, "flac"),
-    "1977-05-08d1t01.flac": None,
-    "gd1977-05-08.txt": None,
-    "gd1977-13-08t01.flac": None,
-    "gd1977-02-30t01.flac": None,
-    "gd1977-5-8t01.flac": None,
-    "gd1977-05-08t01": None,
-    "gd1977-05-08t01.": None,
-    "gd.x1977-05-08t01.flac": None,
-    "gd1977-05-08dt01.flac": None,
-    "gd1977-05-08t4294967296.flac": None,
-    "gd1977-05-08t01.flac\n": None,
+    "fe2004-10-06d1t01.shn": ("fe", "2004-10-06", "LONG", 1, 1, None, "shn"),
+    "ow1984-11-17d1t01overture.shn": ("ow", "1984-11-17", "LONG", 1, 1, "overture", "shn"),
+    "ow86-07-19d1t01.flac": ("ow", "1986-07-19", "SHORT", 1, 1, None, "flac"),
+    "nim1991-03-14d2t14.flac": ("nim", "1991-03-14", "LONG", 2, 14, None, "flac"),
+    "k91994-06-30d1t05.flac": ("k9", "1994-06-30", "LONG", 1, 5, None, "flac"),
+    "fe2004-10-06t07.flac": ("fe", "2004-10-06", "LONG", None, 7, None, "flac"),
+    "ow30-07-19t100.flac": ("ow", "2030-07-19", "SHORT", None, 100, None, "flac"),
+    "ow31-07-19t1.flac": ("ow", "1931-07-19", "SHORT", None, 1, None, "flac"),
+    "tä-x1986-07-19t01.flac": ("tä-x", "1986-07-19", "LONG", None, 1, None, "flac"),
+    "1986-07-19d1t01.flac": None,
+    "ow1986-07-19.txt": None,
+    "ow1986-13-08t01.flac": None,
+    "ow1986-02-30t01.flac": None,
+    "ow1986-7-9t01.flac": None,
+    "ow1986-07-19t01": None,
+    "ow1986-07-19t01.": None,
+    "ow.x1986-07-19t01.flac": None,
+    "ow1986-07-19dt01.flac": None,
+    "ow1986-07-19t4294967296.flac": None,
+    "ow1986-07-19t01.flac\n": None,
 }
 
 
@@ -47,12 +47,12 @@ def test_track_names(spark):
 @pytest.mark.parametrize(
     "folder, want",
     [
-        ("gd1969-01-25.sbd.kaplan.7923.sbeok.shnf", (["sbd", "kaplan", "7923", "sbeok"], "shnf")),
-        ("ph2003-04-20.flac16", ([], "flac16")),
-        ("ph2003-04-20", ([], None)),
-        ("gd77-05-08.flac", (["flac"], None)),
-        ("ph2003-04-20x.flac16", None),
-        ("2003-04-20.flac16", None),
+        ("ow1992-09-05.sbd.halsey.31807.sbeok.shnf", (["sbd", "halsey", "31807", "sbeok"], "shnf")),
+        ("fe2005-10-06.flac16", ([], "flac16")),
+        ("fe2005-10-06", ([], None)),
+        ("ow86-07-19.flac", (["flac"], None)),
+        ("fe2005-10-06x.flac16", None),
+        ("2005-10-06.flac16", None),
     ],
 )
 def test_folders(spark, folder, want):
@@ -66,13 +66,13 @@ def test_small_ones(spark):
         N.slug(F.lit("Loud Legs 2!")).alias("g"),
         N.track_label(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(7)).alias("l1"),
         N.track_label(F.lit(1), F.lit(12), F.lit(7)).alias("l2"),
-        N.info_file_name(F.lit("folder"), F.lit("gd77-05-08d1t01.flac")).alias("i1"),
+        N.info_file_name(F.lit("folder"), F.lit("ow86-07-19d1t01.flac")).alias("i1"),
         N.info_file_name(F.lit("folder"), F.lit("x.flac")).alias("i2"),
-        N.info_file_name(F.lit("ph2003-04-20.flac16"), F.lit("x.flac")).alias("i3"),
-        N.destination_name(F.lit("a/gd77-05-08.d1t01.flac"), "wav").alias("d"),
+        N.info_file_name(F.lit("fe2005-10-06.flac16"), F.lit("x.flac")).alias("i3"),
+        N.destination_name(F.lit("a/ow86-07-19.d1t01.flac"), "wav").alias("d"),
         N.default_output(F.lit("/x/show/")).alias("o"),
     ).first()
-    assert tuple(r) == ("abc_-.1", "loudlegs2", "t07", "d1t12", "gd77-05-08.txt", "folder.txt", "ph2003-04-20.txt", "a/gd77-05-08.d1t01.wav", "/x/show.torrent")
+    assert tuple(r) == ("abc_-.1", "loudlegs2", "t07", "d1t12", "ow86-07-19.txt", "folder.txt", "fe2005-10-06.txt", "a/ow86-07-19.d1t01.wav", "/x/show.torrent")
 
 
 HASH = "81e1447c2e9989a2ece5b94b4ccf2958"

@@ -17,11 +17,11 @@ def tag_table(spark, rows):
 
 def test_changes_and_edits(spark):
     before = tag_table(spark, [("s", 0, {"title": "a", "artist": "x"}), ("s", 1, {})])
-    edit = tag_table(spark, [("s", 0, {"title": "a", "artist": "", "date": "1977"}), ("s", 1, {"genre": ""})])
+    edit = tag_table(spark, [("s", 0, {"title": "a", "artist": "", "date": "1986"}), ("s", 1, {"genre": ""})])
     got = [tuple(r) for r in G.tag_changes(before, edit).orderBy("ordinal", "field_no").collect()]
-    assert [(g[1], *g[3:]) for g in got] == [(0, "ARTIST", "x", ""), (0, "DATE", None, "1977"), (1, "GENRE", None, "")]
+    assert [(g[1], *g[3:]) for g in got] == [(0, "ARTIST", "x", ""), (0, "DATE", None, "1986"), (1, "GENRE", None, "")]
     after = G.apply_edits(before, edit).orderBy("ordinal").collect()
-    assert (after[0].title, after[0].artist, after[0].date, after[1].genre) == ("a", None, "1977", None)
+    assert (after[0].title, after[0].artist, after[0].date, after[1].genre) == ("a", None, "1986", None)
 
 
 def test_show_values(spark, any_split):
@@ -34,10 +34,10 @@ def test_show_values(spark, any_split):
     for r in G.show_disagreements(tags).orderBy("value_no").collect():
         listed.setdefault(r.field, []).append(r.value)
     assert listed == {"ARTIST": ["b", "a"], "COMMENT": ["c4", "c5", "c6", "c0", "c1", "c2", "c3"]}
-    folders = spark.createDataFrame([("s", "gd77-05-08.flac16"), ("e", "gd1969-01-25")], "set_id string, folder string")
+    folders = spark.createDataFrame([("s", "ow86-07-19.flac16"), ("e", "ow1992-09-05")], "set_id string, folder string")
     seeded = {r.set_id: r for r in G.seed_show(tags, folders).collect()}
-    assert (seeded["s"].artist, seeded["s"].album, seeded["s"].date) == ("", None, "1977-05-08")
-    assert (seeded["e"].artist, seeded["e"].date) == (None, "1969-01-25")
+    assert (seeded["s"].artist, seeded["s"].album, seeded["s"].date) == ("", None, "1986-07-19")
+    assert (seeded["e"].artist, seeded["e"].date) == (None, "1992-09-05")
 
 
 def test_positions_skip_other_formats(spark, any_split):
@@ -63,19 +63,19 @@ def setlist(spark, tracks):
 
 CD = 44100
 TRACKS = [
-    ("gd77-05-08d1t01.flac", "Long Title", 60 * CD, True),
-    ("gd77-05-08d1t02.flac", None, 4800 * CD, True),
+    ("ow86-07-19d1t01.flac", "Long Title", 60 * CD, True),
+    ("ow86-07-19d1t02.flac", None, 4800 * CD, True),
     ("x.flac", "", None, True),
-    ("gd77-05-08d1t03.flac", "b", 6000 * CD, False),
+    ("ow86-07-19d1t03.flac", "b", 6000 * CD, False),
 ]
 
 
 def test_setlist_text(spark, any_split):
     runs = setlist(spark, TRACKS)
-    show = spark.createDataFrame([("s", "Band", "1977-05-08", None, "Town", "sbd")], "set_id string, artist string, date string, album string, location string, comment string")
+    show = spark.createDataFrame([("s", "Band", "1986-07-19", None, "Town", "sbd")], "set_id string, artist string, date string, album string, location string, comment string")
     text = "".join(r.text for r in L.render_setlists(runs, show, signature="by hand").orderBy("part").collect())
     assert text == "\r\n".join(
-        ["Band", "1977-05-08", "Town", "", "Source: sbd", "", "Disc 1 [81:00]", "d1t01  Long Title   1:00", "d1t02  (no title)  80:00", "",
+        ["Band", "1986-07-19", "Town", "", "Source: sbd", "", "Disc 1 [81:00]", "d1t01  Long Title   1:00", "d1t02  (no title)  80:00", "",
          "Other [0:00]", "t03  (no title)   ?:??", "", "Disc 1 [100:00]", "d1t03  b           100:00", "", "Total: 181:00", "", "by hand", ""]
     )
     totals = [(r.disc, r.tracks, r.too_long) for r in L.disc_totals(runs).orderBy("run_no").collect()]
@@ -83,7 +83,7 @@ def test_setlist_text(spark, any_split):
 
 
 def test_short_tracks_add_up_before_rounding(spark):
-    runs = setlist(spark, [(f"gd77-05-08t0{i}.flac", "x", int(0.4 * CD), True) for i in range(3)])
+    runs = setlist(spark, [(f"ow86-07-19t0{i}.flac", "x", int(0.4 * CD), True) for i in range(3)])
     show = spark.createDataFrame([("s", None, None, None, None, None)], "set_id string, artist string, date string, album string, location string, comment string")
     lines = [r.line for r in L.setlist_lines(runs, show).orderBy("line_no").collect()]
     assert lines == ["", "Source: ", "", "t00  x   0:00", "t01  x   0:00", "t02  x   0:00", "", "Total: 0:01"]
@@ -93,35 +93,35 @@ def test_setlist_problems(spark):
     runs = setlist(spark, TRACKS)
     inventory = spark.createDataFrame([("s", "x.wav", "WAV"), ("s", "x.flac", "FLAC")], "set_id string, file_name string, format string")
     tags = tag_table(spark, [("s", 0, {"artist": "a"}), ("s", 1, {"artist": "b"})])
-    plan = spark.createDataFrame([("s", "d", "gd77-05-08.txt")], "set_id string, dir string, info_file string")
-    texts = spark.createDataFrame([("d", "gd77-05-08.txt"), ("d", "old.TXT"), ("d", "a.md5"), ("e", "x.txt")], "dir string, file_name string")
+    plan = spark.createDataFrame([("s", "d", "ow86-07-19.txt")], "set_id string, dir string, info_file string")
+    texts = spark.createDataFrame([("d", "ow86-07-19.txt"), ("d", "old.TXT"), ("d", "a.md5"), ("e", "x.txt")], "dir string, file_name string")
     got = sorted(tuple(r)[1:] for r in L.setlist_problems(inventory, runs, tags, runs, L.other_text_files(plan, texts)).collect())
     assert got == [
-        ("DISAGREES", "ARTIST"), ("MISSING_TITLE", "gd77-05-08d1t02.flac"), ("MISSING_TITLE", "x.flac"), ("NOT_FLAC", "x.wav"),
+        ("DISAGREES", "ARTIST"), ("MISSING_TITLE", "ow86-07-19d1t02.flac"), ("MISSING_TITLE", "x.flac"), ("NOT_FLAC", "x.wav"),
         ("NO_LENGTH", "x.flac"), ("OTHER_TEXT", "old.TXT"), ("TOO_LONG", "disc 1"),
     ]
 
 
 def test_rename(spark, any_split):
-    files = [("s", i, f"d/{n}") for i, n in enumerate(["a.flac", "gd1973-02-09d1t01bertha.SHN", "noext", "gd1977-05-08d2t04.flac", "e.flac", "f.flac"])]
+    files = [("s", i, f"d/{n}") for i, n in enumerate(["a.flac", "ow1984-11-17d1t01overture.SHN", "noext", "ow1986-07-19d2t04.flac", "e.flac", "f.flac"])]
     df = spark.createDataFrame(files, "set_id string, ordinal long, path string")
     fields = spark.createDataFrame(
-        [("s", "gd1977-05-08.x", None, None, " 2 ", False), ("n", "folder", None, "1977-05-08", "", False), ("d", "folder", "gd", "1977-02-30", "", None), ("x", "gd77-05-08", "", None, "two", True)],
+        [("s", "ow1986-07-19.x", None, None, " 2 ", False), ("n", "folder", None, "1986-07-19", "", False), ("d", "folder", "ow", "1986-02-30", "", None), ("x", "ow86-07-19", "", None, "two", True)],
         "set_id string, folder string, band string, date string, disc string, short_year boolean",
     )
     spec = R.name_spec(fields)
     got = {r.set_id: (r.band, r.date, r.disc, r.error) for r in spec.collect()}
-    assert got["s"] == ("gd", dt.date(1977, 5, 8), 2, None)
+    assert got["s"] == ("ow", dt.date(1986, 7, 19), 2, None)
     assert (got["n"][3], got["d"][3], got["x"][3]) == ("NO_BAND", "BAD_DATE", "NO_BAND")
     plan = R.rename_collisions(R.rename_target(df, spec))
     by_ordinal = {r.ordinal: (r.to_path, r.status) for r in plan.collect()}
-    assert by_ordinal[0] == ("d/gd1977-05-08d2t01.flac", "CHANGED")
-    assert by_ordinal[1] == ("d/gd1977-05-08d2t02bertha.SHN", "CHANGED")
-    assert by_ordinal[2][0] == "d/gd1977-05-08d2t03."
-    assert by_ordinal[3] == ("d/gd1977-05-08d2t04.flac", "UNCHANGED")
-    disk = spark.createDataFrame([("d/gd1977-05-08d2t01.flac",), ("d/gd1977-05-08d2t04.flac",)], "path string")
+    assert by_ordinal[0] == ("d/ow1986-07-19d2t01.flac", "CHANGED")
+    assert by_ordinal[1] == ("d/ow1986-07-19d2t02overture.SHN", "CHANGED")
+    assert by_ordinal[2][0] == "d/ow1986-07-19d2t03."
+    assert by_ordinal[3] == ("d/ow1986-07-19d2t04.flac", "UNCHANGED")
+    disk = spark.createDataFrame([("d/ow1986-07-19d2t01.flac",), ("d/ow1986-07-19d2t04.flac",)], "path string")
     conflicts = R.rename_conflicts(plan, disk)
-    assert [r.to_path for r in conflicts.collect()] == ["d/gd1977-05-08d2t01.flac"]
+    assert [r.to_path for r in conflicts.collect()] == ["d/ow1986-07-19d2t01.flac"]
     assert [(r.changed, r.refused) for r in R.rename_verdict(plan, conflicts).collect()] == [(5, "TARGET_EXISTS")]
 
 

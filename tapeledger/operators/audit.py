@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeledger.functions.formats import classify_format, dir_name, is_readable
+from tapeledger.functions.names import parse_track_name
 from tapeledger.operators import layout as L
 from tapeledger.operators.digests import hashed_pieces
 from tapeledger.operators.manifests import check_all_lists, digest_rows
@@ -19,6 +20,7 @@ from tapeledger.sources.text import read_manifests
 from tapeledger.sources.torrents import torrent_files, torrent_pieces
 
 SET = ["set_id"]
+VERSION = "2"
 
 
 def check_lists(spark: SparkSession, root: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -120,3 +122,50 @@ def plan_repairs(inventory: DataFrame, direction: str = "backward", pad_tail: bo
     plan = plan_shift(numbered, direction, pad_tail, longest)
     rows = fix_rows(plan, longest)
     return rows, fix_summary(plan, rows)
+
+
+def audit_collection(
+    spark: SparkSession, root: str, direction: str = "nearest", pad_tail: bool = True, recursive: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One audit of everything under ``root``: findings, totals and provenance.
+
+    Findings are rows ``section, set_id, path, status, detail``: LIST (each entry of each checksum
+    list), LIST_LINE (lines no list can have), UNUSED (files and folders that could not be read, with
+    the reason), REPAIR (each set's boundaries: REFUSED, ALIGNED, FIXED or PARTLY_FIXED) and NAME
+    (whether a file's name says band, date and track). A bad folder, file or line is a row and stops
+    nothing. Totals count findings by section, set and status. Write each with ``audit_report``.
+    """
+    checked, bad_lines = check_lists(spark, root, recursive)
+    inventory, unused = A.scan_inventory(spark, root, recursive)
+    inventory = cut_lineage(inventory)
+    _, summary = plan_repairs(inventory, direction, pad_tail)
+    none = F.lit(None).cast("string")
+
+    def section(rows: DataFrame, name: str, set_id, path, status, detail) -> DataFrame:
+        values = {"set_id": set_id, "path": path, "status": status, "detail": detail}
+        return rows.select(F.lit(name).alias("section"), *[c.cast("string").alias(n) for n, c in values.items()])
+
+    path, moved = F.col("path"), F.coalesce("boundaries_moved", F.lit(0))
+    repaired = (
+        F.when(F.col("refused").isNotNull(), "REFUSED")
+        .when((moved == 0) & (F.coalesce("tail_padding", F.lit(0)) == 0) & F.col("fully_fixed"), "ALIGNED")
+        .when(F.col("fully_fixed"), "FIXED")
+        .otherwise("PARTLY_FIXED")
+    )
+    named = parse_track_name(F.regexp_extract(path, "[^/]*$", 0)).isNotNull()
+    found = cut_lineage(
+        union_all(
+            section(checked, "LIST", F.col("dir"), F.concat_ws("/", "dir", "file_name"), F.col("status"), F.col("error")),
+            section(bad_lines, "LIST_LINE", dir_name(F.col("list_path")), F.col("list_path"), F.lit("BAD_LINE"), F.col("detail")),
+            section(unused, "UNUSED", dir_name(path), path, F.lit("UNUSED"), F.col("reason")),
+            section(summary, "REPAIR", F.col("set_id"), F.col("set_id"), repaired, F.col("refused")),
+            section(inventory, "NAME", dir_name(path), path, F.when(named, "NAMED").otherwise("OTHER"), none),
+        )
+    )
+    totals = found.groupBy("section", "set_id", "status").agg(F.count(F.lit(1)).alias("findings"))
+    made = found.groupBy("section").agg(F.count(F.lit(1)).alias("findings")).select(
+        F.lit("audit").alias("operation"), F.lit(root).alias("input"), F.col("section").alias("output"),
+        F.lit("tapeledger").alias("agent"), F.lit(VERSION).alias("version"), none.alias("tool_path"), none.alias("sha256"),
+        F.array(F.lit(direction), F.lit(str(pad_tail))).alias("argv"),
+    )
+    return found, totals, made

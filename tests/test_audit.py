@@ -93,3 +93,23 @@ def test_repair_plan_of_a_folder(spark, tmp_path):
     rows, summary = U.plan_repairs(inventory)
     assert [(r.new_frames, r.touched) for r in rows.orderBy("ordinal").collect()] == [(5880, True), (11763, True)]
     assert [(r.feasible, r.fully_fixed, r.boundaries_moved) for r in summary.collect()] == [(True, False, 1)]
+
+
+def test_a_collection_with_a_bad_folder(spark, tmp_path):
+    good, bad = tmp_path / "vault" / "good", tmp_path / "vault" / "bad"
+    good.mkdir(parents=True)
+    bad.mkdir()
+    a, w = flac(), wav()
+    (good / "ow1986-07-19t01.flac").write_bytes(a)
+    (good / "b.wav").write_bytes(w)
+    (good / "x.md5").write_text(f"{md5(a)}  ow1986-07-19t01.flac\n{md5(b'no')}  b.wav\n")
+    (bad / "broken.wav").write_bytes(b"RIFF")
+    (bad / "x.md5").write_text("not a line\n")
+    found, totals, made = U.audit_collection(spark, str(tmp_path / "vault"))
+    got = {(r.section, r.path.rsplit("/", 1)[1], r.status) for r in found.collect()}
+    assert got >= {
+        ("LIST", "ow1986-07-19t01.flac", "OK"), ("LIST", "b.wav", "MISMATCH"), ("LIST_LINE", "x.md5", "BAD_LINE"), ("UNUSED", "broken.wav", "UNUSED"),
+        ("NAME", "ow1986-07-19t01.flac", "NAMED"), ("NAME", "b.wav", "OTHER"),
+    }
+    assert any(r[:2] == ("REPAIR", "good") for r in got) and not any(r[:2] == ("REPAIR", "bad") for r in got)
+    assert totals.agg(F.sum("findings")).first()[0] == found.count() and {r.output for r in made.collect()} == {r[0] for r in got}

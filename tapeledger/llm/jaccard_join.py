@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeledger.llm.common import quoted, read, written
-from tapeledger.llm.components import components
+from tapeledger.llm.components import components, hooked
 from tapeledger.llm.wordhash import SHINGLE, chunks, mixed, shingles, words
 
 NUMBER, OF = 3, 4  # two sets are linked at a Jaccard similarity of NUMBER / OF or more
@@ -17,8 +19,11 @@ SLICE = 1 << 14
 MASK_BITS = 1 << 20  # bits of the mask of wanted ids, whatever their number
 NO_ID = -(1 << 63)
 ORDERS = (11, 12)  # salts of the token orders
+STARS = 8  # orders by hash under which sets are first brought together
+EARLY_ROUNDS = 2  # verifications of two pairs a component, before that of all pairs left
+EXTRA = 20  # one further prefix token in so many, and one further shared token asked for
 
-TOKEN_ROWS = "token long, id long, n int, place int"
+TOKEN_ROWS = "token long, id long, n int, e int, place int"
 
 
 def _sets(column, k: int):
@@ -55,7 +60,7 @@ def _summaries(nodes: DataFrame, k: int) -> DataFrame:
                 names=["id", "n", "s1", "s2", "counts"],
             )
         if seen:
-            parts = [counts[i : i + SLICE].astype(np.int32).tobytes() for i in range(0, COUNTERS, SLICE)]
+            parts = [zlib.compress(counts[i : i + SLICE].astype(np.int32).tobytes(), 1) for i in range(0, COUNTERS, SLICE)]
             at = pa.array(range(len(parts)), pa.int64())
             yield pa.RecordBatch.from_arrays([at, pa.nulls(len(parts), pa.int64()), at, at, pa.array(parts, pa.binary())], names=["id", "n", "s1", "s2", "counts"])
 
@@ -73,7 +78,7 @@ def _frequency_classes(summaries: DataFrame) -> np.ndarray:
         total = {}
         for batch in batches:
             for at, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts = np.frombuffer(part.as_buffer(), np.int32).astype(np.int64)
+                counts = np.frombuffer(zlib.decompress(part.as_buffer()), np.int32).astype(np.int64)
                 total[at] = total[at] + counts if at in total else counts
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["id", "counts"])
 
@@ -92,114 +97,192 @@ def _ordered(tokens: np.ndarray, classes: np.ndarray, salt: int) -> np.ndarray:
     return tokens[np.argsort(rank)]
 
 
+def _least(n: int) -> int:
+    """The smallest size of a set similar to one of ``n``, which is the least they share."""
+    return (NUMBER * n + OF - 1) // OF
+
+
 def _prefix(n: int) -> int:
-    return n - (NUMBER * n + OF - 1) // OF + 1
+    """Similar sets share a token of so many first ones, in any order."""
+    return n - _least(n) + 1
+
+
+def _long_prefix(n: int) -> int:
+    """Similar sets share at least ``1 + m // EXTRA`` tokens of so many first ones, if the smaller has ``m``."""
+    return n - _least(n) + 1 + n // EXTRA
 
 
-def _token_batch(rows: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
-    """Rows of ``TOKEN_ROWS`` for (id, prefix in order, set size)."""
-    sizes = [len(p) for _, p, _ in rows]
-    token = np.concatenate([p for _, p, _ in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
-    ids = np.repeat(np.array([i for i, _, _ in rows], np.int64), sizes)
-    n = np.repeat(np.array([x for _, _, x in rows], np.int32), sizes)
-    place = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]) if rows else np.zeros(0, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids), pa.array(n), pa.array(place)], names=["token", "id", "n", "place"])
+def _token_batch(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of ``TOKEN_ROWS`` for (id, set size, shared tokens, tokens in order)."""
+    sizes = [len(t) for *_, t in rows]
+    each = lambda i, kind: np.repeat(np.array([r[i] for r in rows], kind), sizes)
+    token = np.concatenate([t for *_, t in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
+    place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]) if rows else np.zeros(0, np.int32)
+    columns = [token, each(0, np.int64), each(1, np.int32), each(2, np.int32), place]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "id", "n", "e", "place"])
 
 
-def _prefixes_of_texts(nodes: DataFrame, classes, k: int) -> DataFrame:
-    """Prefix tokens under the first order of one row a set and task."""
+def _alive(nodes: DataFrame, sized: DataFrame, classes, k: int) -> DataFrame:
+    """Ids whose sets share enough prefix tokens with others to be similar to one: a necessary condition.
+
+    Only token and id are shuffled, for one row a set and task; in a prefix longer by some, as many
+    more tokens must be shared, which a passage common to two texts that differ otherwise is not.
+    """
 
     def run(batches):
         table, seen = classes.value, set()
         for batch in batches:
-            ids, held, rows = batch.column(0).to_pylist(), 0, []
+            ids, held, size = batch.column(0).to_pylist(), [], 0
             for row, tokens in _sets(batch.column(1), k):
-                if not len(tokens):
-                    continue
                 signature = _signature(tokens)
-                if signature in seen:
+                if not len(tokens) or signature in seen:
                     continue
                 seen.add(signature)
-                rows.append((ids[row], _ordered(tokens, table, ORDERS[0])[: _prefix(len(tokens))], len(tokens)))
-                held += len(tokens)
-                if held > 1_000_000:
-                    yield _token_batch(rows)
-                    held, rows = 0, []
-            yield _token_batch(rows)
+                held.append((ids[row], _ordered(tokens, table, ORDERS[0])[: _long_prefix(len(tokens))]))
+                size += len(held[-1][1])
+                if size > 1_000_000:
+                    yield _pairs(held)
+                    held, size = [], 0
+            yield _pairs(held)
 
-    return nodes.mapInArrow(run, TOKEN_ROWS)
+    rows = nodes.mapInArrow(run, "token long, id long")
+    shared = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1").groupBy("id").count()
+    need = 1 + F.floor((NUMBER * F.col("n") + OF - 1) / OF).cast("long") / EXTRA
+    sizes = sized.groupBy("id").agg(F.min("n").alias("n"))
+    return shared.join(sizes, "id").filter(F.col("count") >= F.floor(need)).select("id")
 
 
-def _prefixes_of_sets(sets: DataFrame, classes, salt: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            rows, held = [], 0
-            for i, n, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                tokens = np.frombuffer(part.as_buffer(), np.uint64)
-                rows.append((i, _ordered(tokens, classes.value, salt)[: _prefix(n)], n))
-                held += n
-                if held > 1_000_000:
-                    yield _token_batch(rows)
-                    held, rows = 0, []
-            yield _token_batch(rows)
+def _pairs(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    token = np.concatenate([p for _, p in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
+    ids = np.repeat(np.array([i for i, _ in rows], np.int64), [len(p) for _, p in rows])
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids)], names=["token", "id"])
+
+
+def _lists(batch: pa.RecordBatch):
+    """Id, set size and shared tokens of each row."""
+    for i, n, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        yield i, n, part.values.to_numpy().view(np.uint64)
+
+
+def _held(batches, rows_of):
+    """Batches of token rows of bounded size."""
+    for batch in batches:
+        rows, size = [], 0
+        for i, n, tokens in _lists(batch):
+            rows.append((i, n, len(tokens), rows_of(n, tokens)))
+            size += len(rows[-1][3])
+            if size > 1_000_000:
+                yield _token_batch(rows)
+                rows, size = [], 0
+        yield _token_batch(rows)
+
+
+def _prefixes(sets: DataFrame, classes, salt: int) -> DataFrame:
+    """Prefix tokens of each set under one order; tokens that no other set has need no place in it."""
+    first = lambda n, tokens: _ordered(tokens, classes.value, salt)[: len(tokens) - _least(n) + 1]
+    return sets.mapInArrow(lambda batches: _held(batches, first), TOKEN_ROWS)
+
 
-    return sets.mapInArrow(run, TOKEN_ROWS)
+def _smallest(sets: DataFrame) -> DataFrame:
+    """The first token of each set under each of ``STARS`` orders by hash, made different between the orders."""
+
+    def firsts(n: int, tokens: np.ndarray) -> np.ndarray:
+        return np.array([mixed(tokens, 200 + o).min() for o in range(STARS)], np.uint64) ^ np.arange(STARS, dtype=np.uint64) if len(tokens) else tokens
+
+    return sets.mapInArrow(lambda batches: _held(batches, firsts), TOKEN_ROWS)
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
     """Rows whose token more than one row has."""
-    more = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
-    return written(rows.join(more.hint("shuffle_hash"), "token"), name)
+    return written(rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1").drop("m"), name)
+
+
+def _near(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose id is not in ``ids``, by a bit mask of fixed size."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(MASK_BITS))
+    cell, bit = (slot / 32).cast("int"), F.pmod(slot, F.lit(32)).cast("int")
+    bits = ids.select(cell.alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
+    mask = F.broadcast(bits.groupBy("cell").agg(F.bit_or("bits").alias("mask")))
+    hit = F.call_function("shiftright", F.col("mask"), bit).bitwiseAND(F.lit(1)) == 1
+    return rows.withColumn("cell", cell).join(mask, "cell").filter(hit).select(*rows.columns)
 
 
 def _wanted(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``nodes`` with an id in ``ids``: first by a bit mask of fixed size, then exactly."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(MASK_BITS))
-    cells = ids.select((bit / 32).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(id), {MASK_BITS}), 32) as int))").alias("bits"))
-    mask = F.broadcast(cells.groupBy("cell").agg(F.bit_or("bits").alias("mask")))
-    near = nodes.withColumn("cell", (bit / 32).cast("int")).join(mask, "cell").filter(f"shiftright(mask, cast(pmod(pmod(xxhash64(id), {MASK_BITS}), 32) as int)) & 1 = 1")
-    return near.select(*nodes.columns).join(ids, "id", "left_semi")
+    """Rows of ``nodes`` with an id in ``ids``."""
+    return _near(nodes, ids).join(ids, "id", "left_semi")
 
 
 def _token_sets(nodes: DataFrame, k: int) -> DataFrame:
+    """Every token of every set, a row each, and the number of the set among those of its id."""
+
     def run(batches):
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
+            ids, rows, size = batch.column(0).to_pylist(), [], 0
             for row, tokens in _sets(batch.column(1), k):
-                if len(tokens):
-                    out.append((ids[row], len(tokens), tokens.tobytes()))
-            i, n, t = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(t, pa.binary())], names=["id", "n", "tokens"])
+                rows.append((ids[row], len(tokens), _signature(tokens)[0], tokens))
+                size += len(tokens)
+                if size > 1_000_000:
+                    yield pack(rows)
+                    rows, size = [], 0
+            yield pack(rows)
 
-    return nodes.mapInArrow(run, "id long, n int, tokens binary")
+    def pack(rows):
+        sizes = [len(t) for *_, t in rows]
+        token = np.concatenate([t for *_, t in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
+        each = lambda i, kind: pa.array(np.repeat(np.array([r[i] for r in rows], kind), sizes))
+        return pa.RecordBatch.from_arrays([pa.array(token), each(0, np.int64), each(1, np.int32), each(2, np.int64)], names=["token", "id", "n", "sid"])
+
+    return nodes.mapInArrow(run, "token long, id long, n int, sid long")
+
+
+def _able_sets(nodes: DataFrame, sized: DataFrame, k: int) -> DataFrame:
+    """Sets without the tokens that no other of them has; those with too few left are left out.
+
+    What two sets share is among these tokens, so they bound the similarity to any other set: an
+    altered copy whose altered runs are its own falls out here, whatever it is a copy of.
+    """
+    rows = _token_sets(nodes, k)
+    if not sized.groupBy("id").count().filter("count > 1").limit(1).count():
+        rows = rows.withColumn("sid", F.lit(0).cast("long"))  # each id has one set
+    shared = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1")
+    sets = shared.groupBy("id", "n", "sid").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    return sets.filter(OF * F.size("tokens") >= NUMBER * F.col("n")).select("id", "n", "tokens")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (``u``, ``v``) whose sets are similar enough, by counting what they share."""
-    left = sets.select(F.col("id").alias("u"), F.col("tokens").alias("tokens_u"))
-    right = sets.select(F.col("id").alias("v"), F.col("tokens").alias("tokens_v"))
+    pairs = written(pairs.select("u", "v"), "pairs")
+
+    def side(name: str) -> DataFrame:
+        mine = _near(sets, pairs.select(F.col(name).alias("id")))
+        return mine.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("tokens").alias(f"tokens_{name}"))
 
     def run(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if len(y) < len(x):
-                    x, y = y, x
+            for n, m, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = a.values.to_numpy(), b.values.to_numpy()
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
-                keep.append(OF * both >= NUMBER * (len(x) + len(y) - both))
+                keep.append(OF * both >= NUMBER * (n + m - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "tokens_u", "tokens_v")
+    joined = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "tokens_u", "tokens_v")
     return joined.mapInArrow(run, "u long, v long")
 
 
-def _stars(shared: DataFrame) -> DataFrame:
-    """Each row whose first token others have too, with the smallest id of those."""
-    first = shared.filter("place = 0").select("token", "id")
-    hub = first.groupBy("token").agg(F.min("id").alias("hub"))
-    return first.join(hub, "token").filter("id > hub").select(F.col("id").alias("u"), F.col("hub").alias("v"))
+def _stars(firsts: DataFrame) -> DataFrame:
+    """Each set with the sets most like it that can hold a group together.
+
+    Of the sets with one first token, the centre is the one with the fewest tokens of its own, the
+    original of altered copies if it is there. A set is paired with a centre it meets under half of
+    the orders or more.
+    """
+    centre = firsts.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("e"), "id", "n", "e")).alias("c"))
+    met = firsts.join(centre, "token").filter(F.col("id") != F.col("c.id"))
+    able = (OF + NUMBER) * F.least(F.col("e"), F.col("c.e")) >= NUMBER * (F.col("n") + F.col("c.n"))
+    pairs = met.filter(able).groupBy(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).count()
+    return pairs.filter(F.col("count") >= STARS // 2).select("u", "v")
 
 
 def _candidates(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -213,7 +296,7 @@ def _candidates(shared: DataFrame, labels: DataFrame) -> DataFrame:
     mixed_tokens = known.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("token")
     rows = known.join(mixed_tokens, "token", "left_semi")
     x, y = rows.alias("x"), rows.alias("y")
-    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    rest = F.least(F.col("x.e") - F.col("x.place"), F.col("y.e") - F.col("y.place"))
     able = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.id") > F.col("y.id"))
@@ -221,7 +304,32 @@ def _candidates(shared: DataFrame, labels: DataFrame) -> DataFrame:
         & (OF * F.least("x.n", "y.n") >= NUMBER * F.greatest("x.n", "y.n"))
         & ((OF + NUMBER) * rest >= NUMBER * (F.col("x.n") + F.col("y.n")))
     )
-    return x.join(y, able).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
+    found = x.join(y, able).groupBy(F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.col("x.c").alias("cu"), F.col("y.c").alias("cv"))
+    return found.agg((F.count(F.lit(1)) / F.min(F.col("x.n") + F.col("y.n"))).alias("shared"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> list[DataFrame]:
+    """Links that hold together what similar pairs of different components hold together.
+
+    In early rounds two pairs of each component are verified, the one that shares most prefix tokens
+    for its size and the one with the smallest component; components found similar are merged, so that most pairs within large groups of near copies
+    need no verification. Then all pairs still between two components are verified.
+    """
+    found = []
+    for _ in range(EARLY_ROUNDS):
+        ends = pairs.select("u", "v", "cu", "cv", "shared", F.explode(F.array("cu", "cv")).alias("c"))
+        pair = F.struct("u", "v", "cu", "cv")
+        chosen = ends.groupBy("c").agg(F.max_by(pair, "shared").alias("a"), F.min_by(pair, F.col("cu") + F.col("cv")).alias("b"))
+        best = written(chosen.select(F.explode(F.array("a", "b")).alias("p")).select("p.*").distinct(), "best")
+        links = written(_verified(best, sets).distinct().join(best, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v")), "links")
+        found.append(links)
+        if links.limit(1).count() == 0:
+            break
+        merged = hooked(links)
+        for side in ("cu", "cv"):
+            pairs = pairs.join(merged.select(F.col("node").alias(side), F.col("component").alias("m")), side, "left").withColumn(side, F.coalesce("m", side)).drop("m")
+        pairs = written(pairs.filter("cu <> cv").join(best.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
+    return [*found, _verified(pairs, sets)]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -236,10 +344,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal sets are one to begin with. Tokens are put in two global orders, both by classes of
     estimated frequency (counted over all texts in a sketch of fixed size, so that passages common to
     many texts come last) and within a class by different hashes. Two similar sets share a token
-    in their prefixes under every order. First, sets are compared with the smallest id that has the
-    same first token, under either order, which ties large groups of near copies together without
-    forming their pairs. Then all pairs of different components that share prefix tokens under the
-    first order are intersected with those under the second, and verified. The driver sees the
+    in their prefixes under every order. Sets that share too few tokens with all others go no
+    further. Then sets are compared with the most central one that has the same first token, which
+    ties large groups of near copies together without forming their pairs. Last, all pairs of different components that share prefix tokens under the
+    first order are intersected with those under the second, and verified, two pairs a
+    component at a time first. The driver sees the
     sketch (of fixed size) and counts.
     """
     spark = df.sparkSession
@@ -251,17 +360,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = sized.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("v"))
     equal = written(sized.join(groups, ["n", "s1", "s2"]).filter("id > v").select(F.col("id").alias("u"), "v").distinct(), "equal")
 
-    first = _shared(_prefixes_of_texts(nodes, classes, k), "prefixes")
-    sets = written(_token_sets(_wanted(nodes, first.select("id").distinct()), k), "sets")
-    second = _shared(_prefixes_of_sets(sets, classes, ORDERS[1]), "prefixes")
+    alive = written(_alive(nodes, sized, classes, k), "alive")
+    sets = written(_able_sets(_wanted(nodes, alive), sized, k), "sets")
+    first = _shared(_prefixes(sets, classes, ORDERS[0]), "prefixes")
+    second = _shared(_prefixes(sets, classes, ORDERS[1]), "prefixes")
 
-    stars = _stars(first).unionAll(_stars(second)).distinct()
+    stars = _stars(_smallest(sets))
     early = written(_verified(stars.join(equal, ["u", "v"], "left_anti"), sets), "links").unionAll(equal.select("u", "v"))
-    labels = written(components(early).withColumnRenamed("node", "id"), "labels")
-    both = _candidates(first, labels).join(_candidates(second, labels), ["u", "v"], "left_semi")
-    late = _verified(both, sets)
-    tied = labels.filter("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
-    final = components(tied.unionAll(late)).withColumnRenamed("node", "id")
+    labels = written(hooked(early).withColumnRenamed("node", "id"), "labels")
+    both = written(_candidates(first, labels).join(_candidates(second, labels), ["u", "v"], "left_semi"), "candidates")
+    tied = early
+    for links in _linked(both, sets):
+        tied = tied.unionAll(links)
+    final = components(tied).withColumnRenamed("node", "id")
 
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     out = sized.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))

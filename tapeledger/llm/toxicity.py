@@ -52,14 +52,20 @@ def _cells(codes: np.ndarray, triple: tuple) -> np.ndarray:
     return (codes[:, i].astype(np.int32) * LETTERS + codes[:, j]) * LETTERS + codes[:, k]
 
 
-def expand(words: list[bytes]) -> np.ndarray:
-    """Feature vectors of the gap-weighted subsequence kernel of order three, normalised, one row a word."""
-    out = np.zeros((len(words), LETTERS**3), np.float32)
+def expand(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature vectors of the gap-weighted subsequence kernel of order three, normalised, one row a word.
+
+    Returns the features that some word has, and a column of values for each.
+    """
+    found: list[tuple[int, int, float]] = []
     for r, word in enumerate(words):
         codes = np.frombuffer(word.ljust(3, b"\0"), np.uint8)[None, :LONGEST]
-        for t in TRIPLES[min(len(word), LONGEST)]:
-            out[r, _cells(codes, t)[0]] += t[3]
-    return out
+        found += [(r, int(_cells(codes, t)[0]), t[3]) for t in TRIPLES[min(len(word), LONGEST)]]
+    rows, cells, values = (np.array(x) for x in zip(*found, strict=True))
+    features, at = np.unique(cells, return_inverse=True)
+    out = np.zeros((len(words), len(features)), np.float32)
+    np.add.at(out, (rows, at), values)
+    return features, out
 
 
 def _by_length(lengths: np.ndarray):
@@ -70,21 +76,23 @@ def _by_length(lengths: np.ndarray):
             yield n, order[bounds[n - 1] : bounds[n]]
 
 
-def apply_table(table: np.ndarray, stream: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def apply_table(table: np.ndarray, stream: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
     """Sum of ``table`` over the subsequences of each word: its inner product with the machine's weight vector.
 
-    ``table`` is a vector over the features, or one row a feature and a column a landmark.
+    ``table`` is a vector over the features, or has a column for each landmark and, by ``rows``, a row
+    for each feature that landmarks have.
     """
     out = np.zeros((len(starts), *table.shape[1:]), np.float32)
     padded = np.concatenate([stream, np.zeros(LONGEST, np.uint8)])
     for n, which in _by_length(lengths):
-        for part in np.array_split(which, len(which) // 50_000 + 1):
+        for part in np.array_split(which, len(which) // 20_000 + 1):
             codes = padded[starts[part][:, None] + np.arange(max(n, 3))]
             if n < 3:
                 codes = np.where(np.arange(3) < n, codes, 0)
             total = out[part]
             for t in TRIPLES[n]:
-                total += np.float32(t[3]) * table[_cells(codes, t)]
+                cells = _cells(codes, t)
+                total += np.float32(t[3]) * table[cells if rows is None else rows[cells]]
             out[part] = total
     return out
 
@@ -261,19 +269,23 @@ def train(texts: list[str], toxic: list[int], seed: int = 42) -> Machine:
         counts = Counter(witness.values())
         insults = sorted(counts, key=lambda w: (-counts[w], w))
         marks = list(dict.fromkeys(insults[: LANDMARKS * 3 // 4] + chosen[-LANDMARKS // 4 :]))
-        features = expand(marks)
+        cells, features = expand(marks)
         gram = (features @ features.T).astype(np.float64)
         values, vectors = np.linalg.eigh(gram)
         good = values > 1e-4 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
         members = insults + chosen
         ids = np.array([index[w] for w in members])
-        kernel = apply_table(np.ascontiguousarray(features.T), stream, at[ids], lengths[ids])
+        lookup = np.zeros(LETTERS**3, np.int32)
+        lookup[cells] = np.arange(1, len(cells) + 1)
+        by_feature = np.concatenate([np.zeros((1, len(marks)), np.float32), features.T])
+        kernel = apply_table(by_feature, stream, at[ids], lengths[ids], lookup)
         x = np.concatenate([kernel @ root, np.ones((len(ids), 1))], 1)
         target = np.concatenate([np.ones(len(insults)), -np.ones(len(chosen))])
         weight = np.concatenate([[counts[w] / len(witness) for w in insults], [held[0][w] / n0 for w in chosen]]) * 1000
         w = _squared_hinge(x, target, weight)
-        table = ((root @ w[:-1]) @ features).astype(np.float32)
+        table = np.zeros(LETTERS**3, np.float32)
+        table[cells] = (root @ w[:-1]) @ features
         margins = apply_table(table, stream, at[:-1], lengths) + w[-1]
         machine = Machine(table, float(w[-1]), 1.0, 0.0)
         found = {i: max(bags[i], key=lambda b: margins[index[b]]) for i in positive}

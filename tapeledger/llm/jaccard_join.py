@@ -208,8 +208,11 @@ def _near(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _wanted(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``nodes`` with an id in ``ids``."""
-    return _near(nodes, ids).join(ids, "id", "left_semi")
+    """Rows of ``nodes`` with an id in ``ids``, each once there.
+
+    An inner join, as a semi join would be pushed below the mask and shuffle all rows.
+    """
+    return _near(nodes, ids).join(ids, "id")
 
 
 def _token_sets(nodes: DataFrame, k: int) -> DataFrame:

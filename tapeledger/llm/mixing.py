@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeledger.llm.common import WORD, packed, quoted, read, unpacked, written
@@ -11,7 +11,7 @@ OURS = ["size", "source_size", "target", "copies", "taken"]
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 42
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 5_000
 SOURCE = ["source_key", "no_source"]
 
 
@@ -41,6 +41,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return table.select("source", "source_size", "n_docs", F.when(most <= share, most.cast("double")).otherwise(share).alias("target"))
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -50,6 +54,7 @@ def mix(
     cap: int = CAP,
     seed: int = SEED,
     block_rows: int = BLOCK_ROWS,
+    size_col: str | None = None,
 ) -> DataFrame:
     """How often each document enters a mixture of the sources, by systematic sampling.
 
@@ -62,12 +67,15 @@ def mix(
     ``cap`` times. Null texts have size 0, a null source is a source of its own, repeated rows count
     each, an empty table gives an empty table, and a source without words has target 0.
 
+    All columns of ``df`` go through one shuffle. Where only the numbers are wanted, pass narrow rows
+    with a column of sizes (``size_col``) in place of texts.
+
     A running number in a source is the number within a block of about ``block_rows`` documents
     plus the sizes of earlier blocks, so the largest source is sorted by many tasks.
     """
     columns = df.columns
     r = F.col("r")
-    size = F.regexp_count(F.coalesce(r[text_col], F.lit("")), F.lit(WORD)).cast("long")
+    size = word_count(r[text_col]) if size_col is None else r[size_col]
     keyed = packed(df).select("r", r[source_col].alias("source"), size.alias("size"))
     targets = source_targets(keyed.select("source", "size"), weights, cap)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
@@ -99,8 +107,8 @@ def emitted(mixed: DataFrame) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    return mix(docs, size_col="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -122,7 +130,7 @@ step(k, level) AS (
   SELECT k + 1, (SELECT (max(total) - coalesce(sum(3 * source_size) FILTER (WHERE 3 * source_size <= level * weight), 0)) / sum(weight) FILTER (WHERE 3 * source_size > level * weight) FROM s, t)
   FROM step WHERE k < 30),
 g AS (SELECT source, source_size, CASE WHEN 3 * source_size <= level * weight THEN (3 * source_size)::DOUBLE ELSE level * weight END AS target,
-  ceil(n_docs / 50000.0)::BIGINT AS blocks, (('0x' || substr(md5('42/' || coalesce(source, '')), 1, 3))::BIGINT + 0.5::DOUBLE) / 4096 AS u
+  ceil(n_docs / 5000.0)::BIGINT AS blocks, (('0x' || substr(md5('42/' || coalesce(source, '')), 1, 3))::BIGINT + 0.5::DOUBLE) / 4096 AS u
   FROM s, (SELECT level FROM step WHERE k = 30)),
 n AS (SELECT d.doc_id, d.size, g.source_size, g.target, u, CASE WHEN g.source_size > 0 THEN least(g.target / g.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
   row_number() OVER (PARTITION BY d.source ORDER BY ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT % blocks, d.size, d.doc_id) AS nth

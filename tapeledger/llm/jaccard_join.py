@@ -122,6 +122,12 @@ def _token_batch(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "id", "n", "e", "place"])
 
 
+def _of_several(rows: DataFrame) -> DataFrame:
+    """Rows whose token more than one id has; an id that repeats it does not count twice."""
+    same = Window.partitionBy("token")
+    return rows.withColumns({"a": F.min("id").over(same), "b": F.max("id").over(same)}).filter("a < b").drop("a", "b")
+
+
 def _alive(nodes: DataFrame, sized: DataFrame, classes, k: int) -> DataFrame:
     """Ids whose sets share enough prefix tokens with others to be similar to one: a necessary condition.
 
@@ -146,7 +152,7 @@ def _alive(nodes: DataFrame, sized: DataFrame, classes, k: int) -> DataFrame:
             yield _pairs(held)
 
     rows = nodes.mapInArrow(run, "token long, id long")
-    shared = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1").groupBy("id").count()
+    shared = _of_several(rows).groupBy("id").count()
     need = 1 + F.floor((NUMBER * F.col("n") + OF - 1) / OF).cast("long") / EXTRA
     sizes = sized.groupBy("id").agg(F.min("n").alias("n"))
     return shared.join(sizes, "id").filter(F.col("count") >= F.floor(need)).select("id")
@@ -193,8 +199,8 @@ def _smallest(sets: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """Rows whose token more than one row has."""
-    return written(rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1").drop("m"), name)
+    """Rows whose token more than one id has."""
+    return written(_of_several(rows), name)
 
 
 def _near(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -239,16 +245,18 @@ def _token_sets(nodes: DataFrame, k: int) -> DataFrame:
 
 
 def _able_sets(nodes: DataFrame, sized: DataFrame, k: int) -> DataFrame:
-    """Sets without the tokens that no other of them has; those with too few left are left out.
+    """Sets without the tokens that no other id has; those with too few left are left out.
 
     What two sets share is among these tokens, so they bound the similarity to any other set: an
-    altered copy whose altered runs are its own falls out here, whatever it is a copy of.
+    altered copy whose altered runs are its own falls out here, whatever it is a copy of. Repeated
+    rows of an id are one set, each token once.
     """
     rows = _token_sets(nodes, k)
-    if not sized.groupBy("id").count().filter("count > 1").limit(1).count():
+    repeated = sized.groupBy("id").count().filter("count > 1").limit(1).count() > 0
+    if not repeated:
         rows = rows.withColumn("sid", F.lit(0).cast("long"))  # each id has one set
-    shared = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1")
-    sets = shared.groupBy("id", "n", "sid").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    gathered = (F.collect_set if repeated else F.collect_list)("token")
+    sets = _of_several(rows).groupBy("id", "n", "sid").agg(F.sort_array(gathered).alias("tokens"))
     return sets.filter(OF * F.size("tokens") >= NUMBER * F.col("n")).select("id", "n", "tokens")
 
 

@@ -156,6 +156,17 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert got == {(5, None), (9, None), (12, None), (None, None), (20, 20)}
 
 
+def test_near_duplicates_of_a_table_united_with_itself(spark):
+    """Repeated rows count once: sets that share 60 of 80 shingles (0.6), or 42 (0.36), stay apart."""
+    run = words(13, 64)
+    rows = [(1, f"{run} {words(14, 20)}"), (2, f"{run} {words(15, 20)}"), (3, f"{words(16, 38)} {' '.join(run.split()[:46])}"), *MESSY[3:]]
+    rows = [(i + 100 * (n > 2), t) for n, (i, t) in enumerate(rows)]
+    twice = rows + rows + rows[:1]
+    got = jaccard_join.near_duplicates(table(spark, twice).repartition(3))
+    want = plain.near_duplicates(twice)
+    assert sorted(map(tuple, got.collect()), key=str) == want and {(1, 80, 1), (2, 80, 2), (3, 80, 3)} <= set(want)
+
+
 def test_chains_of_near_copies(spark):
     """Neighbours are linked and far ones not, so the group only holds by many links."""
     base = words(20, 400).split()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeledger.llm.common import quoted, read, written
+from tapeledger.llm.common import packed, quoted, read, written
 from tapeledger.llm.components import components, hooked
 from tapeledger.llm.wordhash import SHINGLE, chunks, mixed, shingles, words
 
@@ -396,10 +396,21 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates, that of the smallest id, with the columns of ``docs``."""
-    found = near_duplicates(docs)
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[quoted("doc_id")] == gone["gone_id"], "left_anti")
+    """One row of each group of near duplicates, that of the smallest id (null first), with the columns of ``docs``.
+
+    Rows of a repeated id are told apart: if there are any, rows are numbered in a table, and these
+    numbers are the nodes.
+    """
+    node = F.coalesce(F.col(quoted("doc_id")).cast("long"), F.lit(NO_ID)).alias("id")
+    if not docs.select(node).groupBy("id").count().filter("count > 1").limit(1).count():
+        found = near_duplicates(docs)
+        gone = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone_id")).distinct()
+        return docs.join(gone, docs[quoted("doc_id")] == gone["gone_id"], "left_anti")
+    rows = written(packed(docs).withColumn("id", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select("id", F.col("r")["text"].alias("text")), "id")
+    order = F.struct(F.col("r")["doc_id"].cast("long").alias("doc_id"), "id")  # a null comes first
+    kept = found.join(rows.select("id", order.alias("o")), "id").groupBy("component_id").agg(F.min("o").alias("o"))
+    return rows.join(kept.select(F.col("o.id").alias("id")), "id", "left_semi").select("r.*")
 
 
 QUERIES = {"op4_jaccard_join": (op4_jaccard_join, None)}

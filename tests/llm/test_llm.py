@@ -167,6 +167,16 @@ def test_near_duplicates_of_a_table_united_with_itself(spark):
     assert sorted(map(tuple, got.collect()), key=str) == want and {(1, 80, 1), (2, 80, 2), (3, 80, 3)} <= set(want)
 
 
+def test_stage_keeps_one_row_of_a_group_where_ids_repeat(spark):
+    a, b, c = words(30, 80), words(31, 80), words(32, 80)
+    rows = [(3, a + " x"), (5, a), (5, b), (7, c), (7, c + " y"), (7, c), (None, words(33, 80)), (None, words(33, 80) + " z"), (None, None), (None, None)]
+    docs = table(spark, rows)
+    got = jaccard_join.jaccard_stage(spark, docs, DATA)
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, (r.text or "")[:20]) for r in got.collect())
+    assert kept == Counter({(3, a[:20]): 1, (5, b[:20]): 1, (7, c[:20]): 1, (None, words(33, 80)[:20]): 1, (None, ""): 2})
+
+
 def test_chains_of_near_copies(spark):
     """Neighbours are linked and far ones not, so the group only holds by many links."""
     base = words(20, 400).split()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeledger.functions.formats import is_padding
 from tapeledger.functions.tags import announce_tiers
 from tapeledger.schemas import TORRENT_FIELDS
+from tapeledger.session import union_all
 from tapeledger.sources.opening import list_files, map_files
 
 
@@ -127,9 +128,12 @@ def decode_torrents(binary: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_torrents(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    """Every ``.torrent`` in the given folders; ``set_id`` is its path."""
-    listed = list_files(spark, paths).drop("reason").filter(F.col("path").endswith(".torrent"))
-    return decode_torrents(listed.select(F.col("path").alias("set_id"), "path"))
+    """Every ``.torrent`` in the given folders, ``set_id`` being its path; those refused, with folders that cannot be listed."""
+    listed = list_files(spark, paths)
+    found = listed.filter(F.col("reason").isNull() & F.col("path").endswith(".torrent"))
+    documents, refused = decode_torrents(found.select(F.col("path").alias("set_id"), "path"))
+    unlisted = listed.filter(F.col("reason").isNotNull()).select(F.col("path").alias("set_id"), "path", "reason")
+    return documents, union_all(refused, unlisted)
 
 
 def torrent_files(documents: DataFrame) -> DataFrame:

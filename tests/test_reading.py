@@ -14,6 +14,7 @@ from tapeledger.sources import opening
 from tapeledger.sources.audio import read_chunks, scan_inventory
 from tapeledger.sources.opening import list_files, map_files
 from tapeledger.sources.text import read_manifests
+from tapeledger.sources.torrents import read_torrents
 
 
 def wav(rate, frames=10):
@@ -107,3 +108,12 @@ def test_small_rules(spark):
     assert [tuple(r) for r in submission_order(df).collect()] == [("a", 0), ("a", 2), ("b", 1)]
     r = spark.range(1).select(bytes_per_frame(F.lit(2), F.lit(16)).alias("a"), bytes_per_frame(F.lit(1), F.lit(20)).alias("b")).first()
     assert (r.a, r.b) == (4, 3)
+
+
+def test_a_folder_that_cannot_be_listed_is_among_the_refused_torrents(spark, tmp_path):
+    (tmp_path / "good.torrent").write_bytes(b"d4:infod4:name1:xee")
+    (tmp_path / "bad.torrent").write_bytes(b"junk")
+    documents, refused = read_torrents(spark, [str(tmp_path), "nowhere://host/folder"])
+    assert [r.set_id.rsplit("/", 1)[1] for r in documents.collect()] == ["good.torrent"]
+    got = {r.set_id.rsplit("/", 1)[1]: r.reason for r in refused.collect()}
+    assert got.keys() == {"bad.torrent", "folder"} and got["folder"].startswith("UNLISTED")

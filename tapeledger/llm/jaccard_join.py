@@ -23,7 +23,7 @@ STARS = 8  # orders by hash under which sets are first brought together
 EARLY_ROUNDS = 2  # verifications of two pairs a component, before that of all pairs left
 EXTRA = 20  # one further prefix token in so many, and one further shared token asked for
 
-TOKEN_ROWS = "token long, id long, n int, e int, place int"
+TOKEN_ROWS = "token long, id long, n int, e int, place int, deal int"
 
 
 def _sets(column, k: int):
@@ -118,14 +118,37 @@ def _token_batch(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch
     each = lambda i, kind: np.repeat(np.array([r[i] for r in rows], kind), sizes)
     token = np.concatenate([t for *_, t in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
     place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]) if rows else np.zeros(0, np.int32)
-    columns = [token, each(0, np.int64), each(1, np.int32), each(2, np.int32), place]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "id", "n", "e", "place"])
+    columns = [token, each(0, np.int64), each(1, np.int32), each(2, np.int32), place, _dealt(token, each(0, np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "id", "n", "e", "place", "deal"])
+
+
+def _dealt(token: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Per row: 0 if its token has one id in the batch; else 1 for one row of the token and -2 or less for all others.
+
+    Rows below 0 are known to share their token and need not meet its other rows.
+    """
+    deal = np.zeros(len(token), np.int32)
+    if not len(token):
+        return deal
+    order = np.argsort(token, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
+    several = np.minimum.reduceat(ids[order], starts) < np.maximum.reduceat(ids[order], starts)
+    known = order[np.repeat(several, np.diff(np.append(starts, len(token))))]
+    deal[known] = -2 - (mixed(ids[known].view(np.uint64), 31) >> np.uint64(34)).astype(np.int32)
+    deal[order[starts[several]]] = 1
+    return deal
 
 
 def _of_several(rows: DataFrame) -> DataFrame:
-    """Rows whose token more than one id has; an id that repeats it does not count twice."""
-    same = Window.partitionBy("token")
-    return rows.withColumns({"a": F.min("id").over(same), "b": F.max("id").over(same)}).filter("a < b").drop("a", "b")
+    """Rows whose token more than one id has; an id that repeats it does not count twice.
+
+    Of a token that a batch holds several times, one row goes to the task that compares the token's
+    ids; the others are dealt over all tasks, so a token of very many sets is a row a batch there.
+    """
+    same = Window.partitionBy("token", F.least("deal", F.lit(0)))
+    shared = (F.col("deal") < 0) | (F.col("top") > 0) | (F.col("a") < F.col("b"))
+    found = rows.withColumns({"a": F.min("id").over(same), "b": F.max("id").over(same), "top": F.max("deal").over(same)})
+    return found.filter(shared).drop("a", "b", "top", "deal")
 
 
 def _alive(nodes: DataFrame, sized: DataFrame, classes, k: int) -> DataFrame:
@@ -151,7 +174,7 @@ def _alive(nodes: DataFrame, sized: DataFrame, classes, k: int) -> DataFrame:
                     held, size = [], 0
             yield _pairs(held)
 
-    rows = nodes.mapInArrow(run, "token long, id long")
+    rows = nodes.mapInArrow(run, "token long, id long, deal int")
     shared = _of_several(rows).groupBy("id").count()
     need = 1 + F.floor((NUMBER * F.col("n") + OF - 1) / OF).cast("long") / EXTRA
     sizes = sized.groupBy("id").agg(F.min("n").alias("n"))
@@ -161,7 +184,7 @@ def _alive(nodes: DataFrame, sized: DataFrame, classes, k: int) -> DataFrame:
 def _pairs(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     token = np.concatenate([p for _, p in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
     ids = np.repeat(np.array([i for i, _ in rows], np.int64), [len(p) for _, p in rows])
-    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids)], names=["token", "id"])
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids), pa.array(_dealt(token, ids))], names=["token", "id", "deal"])
 
 
 def _lists(batch: pa.RecordBatch):
@@ -195,7 +218,7 @@ def _smallest(sets: DataFrame) -> DataFrame:
     def firsts(n: int, tokens: np.ndarray) -> np.ndarray:
         return np.array([mixed(tokens, 200 + o).min() for o in range(STARS)], np.uint64) ^ np.arange(STARS, dtype=np.uint64) if len(tokens) else tokens
 
-    return sets.mapInArrow(lambda batches: _held(batches, firsts), TOKEN_ROWS)
+    return sets.mapInArrow(lambda batches: _held(batches, firsts), TOKEN_ROWS).drop("deal")
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
@@ -239,9 +262,11 @@ def _token_sets(nodes: DataFrame, k: int) -> DataFrame:
         sizes = [len(t) for *_, t in rows]
         token = np.concatenate([t for *_, t in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
         each = lambda i, kind: pa.array(np.repeat(np.array([r[i] for r in rows], kind), sizes))
-        return pa.RecordBatch.from_arrays([pa.array(token), each(0, np.int64), each(1, np.int32), each(2, np.int64)], names=["token", "id", "n", "sid"])
+        ids = each(0, np.int64)
+        columns = [pa.array(token), ids, each(1, np.int32), each(2, np.int64), pa.array(_dealt(token, ids.to_numpy()))]
+        return pa.RecordBatch.from_arrays(columns, names=["token", "id", "n", "sid", "deal"])
 
-    return nodes.mapInArrow(run, "token long, id long, n int, sid long")
+    return nodes.mapInArrow(run, "token long, id long, n int, sid long, deal int")
 
 
 def _able_sets(nodes: DataFrame, sized: DataFrame, k: int) -> DataFrame:

@@ -177,6 +177,20 @@ def test_stage_keeps_one_row_of_a_group_where_ids_repeat(spark):
     assert kept == Counter({(3, a[:20]): 1, (5, b[:20]): 1, (7, c[:20]): 1, (None, words(33, 80)[:20]): 1, (None, ""): 2})
 
 
+def test_rows_of_a_frequent_token_are_dealt_over_tasks():
+    token = pa.array([7] * 900 + [8, 9, 9, 5]).to_numpy()
+    ids = pa.array([*range(900), 1, 2, 2, 3]).to_numpy()
+    deal = jaccard_join._dealt(token, ids)
+    assert list(deal[900:]) == [0, 0, 0, 0]  # one id each, if twice
+    assert sorted(set(deal[:900]))[-1] == 1 and (deal[:900] == 1).sum() == 1 and len(set(deal[:900])) > 800 and (deal[:900] < 0).sum() == 899
+
+
+def test_tokens_of_several_ids(spark):
+    rows = [(7, 1, 0), (7, 1, 0), (8, 1, 0), (8, 2, 0), (9, 5, 1), (9, 6, -4), (9, 7, -5), (9, 8, 0), (6, 1, 0)]
+    got = jaccard_join._of_several(spark.createDataFrame(rows, "token long, id long, deal int"))
+    assert sorted(map(tuple, got.collect())) == [(8, 1), (8, 2), (9, 5), (9, 6), (9, 7), (9, 8)]
+
+
 def test_chains_of_near_copies(spark):
     """Neighbours are linked and far ones not, so the group only holds by many links."""
     base = words(20, 400).split()

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from tapeledger.functions.formats import classify_format, dir_name, is_readable
 from tapeledger.functions.names import parse_track_name
+from tapeledger.functions.tags import TAG_FIELDS, edit_for_track
 from tapeledger.operators import layout as L
+from tapeledger.operators import tags as G
 from tapeledger.operators.digests import hashed_pieces
 from tapeledger.operators.manifests import check_all_lists, digest_rows
 from tapeledger.operators.ordered import attach, longest_set, number_rows
+from tapeledger.operators.quality import torrent_violations
 from tapeledger.operators.repair import fix_rows, fix_summary, plan_shift
 from tapeledger.schemas import STREAM
 from tapeledger.session import cut_lineage, union_all
 from tapeledger.sources import audio as A
 from tapeledger.sources.opening import list_files
 from tapeledger.sources.text import read_manifests
-from tapeledger.sources.torrents import torrent_files, torrent_pieces
+from tapeledger.sources.torrents import read_torrents, rule_columns, torrent_files, torrent_pieces
 
 SET = ["set_id"]
 VERSION = "2"
@@ -124,20 +127,53 @@ def plan_repairs(inventory: DataFrame, direction: str = "backward", pad_tail: bo
     return rows, fix_summary(plan, rows)
 
 
+def plan_tags(inventory: DataFrame) -> DataFrame:
+    """Every tag field a probed file would change: ``path, field, before, after``; ``field`` is null where none would.
+
+    A folder's files get the show's fields of its first tagged file, the date from the folder's name
+    if that has none, their own title, place and count. Files that carry no tags are left out.
+    """
+    tagged = A.read_tags(inventory).filter(F.col("tag_status") == "OK")
+    rows = cut_lineage(tagged.select(dir_name(F.col("path")).alias("set_id"), "path", "format", *TAG_FIELDS))
+    longest = longest_set(rows, SET)
+    rows = cut_lineage(number_rows(rows, SET, ["path"], longest=longest))
+    folders = rows.select(*SET).distinct().withColumn("folder", F.regexp_extract("set_id", "[^/]*$", 0))
+    show = G.seed_show(rows, folders).select(*SET, *[F.col(f).alias(f"show_{f}") for f in TAG_FIELDS])
+    own = rows.select(*SET, "ordinal", "format", "title")
+    joined = attach(G.track_position(own, longest), show, SET, "inner", longest=longest)
+    edit = edit_for_track({f: F.col(f"show_{f}") for f in TAG_FIELDS}, F.col("title"), F.col("track_number"), F.col("track_total"))
+    changes = G.tag_changes(rows, joined.select(*SET, "ordinal", edit.alias("e")).select(*SET, "ordinal", "e.*"))
+    return rows.select(*SET, "ordinal", "path").join(changes, [*SET, "ordinal"], "left").select("path", "field", "before", "after")
+
+
 def audit_collection(
-    spark: SparkSession, root: str, direction: str = "nearest", pad_tail: bool = True, recursive: bool = True
+    spark: SparkSession, root: str, direction: str = "nearest", pad_tail: bool = True, recursive: bool = True, quick: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One audit of everything under ``root``: findings, totals and provenance.
 
     Findings are rows ``section, set_id, path, status, detail``: LIST (each entry of each checksum
     list), LIST_LINE (lines no list can have), UNUSED (files and folders that could not be read, with
-    the reason), REPAIR (each set's boundaries: REFUSED, ALIGNED, FIXED or PARTLY_FIXED) and NAME
-    (whether a file's name says band, date and track). A bad folder, file or line is a row and stops
+    reason), REPAIR (each set's boundaries: REFUSED, ALIGNED, FIXED or PARTLY_FIXED), NAME
+    (whether a file's name says band, date and track), TORRENT (each torrent's files, looked for
+    beside it, with a status each; its verdict, bad pieces and files it does not list; torrents REFUSED, with the
+    reason; ``quick`` compares sizes only) and TAG (each tag field a file would change, from and to;
+    UNCHANGED and NOT_TAGGABLE files). A bad folder, file or line is a row and stops
     nothing. Totals count findings by section, set and status. Write each with ``audit_report``.
     """
     checked, bad_lines = check_lists(spark, root, recursive)
     inventory, unused = A.scan_inventory(spark, root, recursive)
     inventory = cut_lineage(inventory)
+    documents, refused = read_torrents(spark, root, recursive)
+    documents = cut_lineage(documents)
+    listed = torrent_files(documents)
+    broken = cut_lineage(torrent_violations(rule_columns(documents), listed).filter(F.col("rule").isNotNull()))
+    sound = documents.join(broken.select(*SET).distinct(), SET, "left_anti")
+    beside = sound.select(*SET, dir_name(F.col("set_id")).alias("given"))
+    listing = list_files(spark, root, recursive).filter(F.col("reason").isNull())
+    torrents = check_torrents(sound, beside, listing, quick)
+    roots = torrents["roots"]
+    files = torrents["files"].select(*SET, "ordinal", "status").join(listed.select(*SET, "ordinal", "path"), [*SET, "ordinal"])
+    files = files.join(roots.select(*SET, "root"), SET).withColumn("path", F.concat_ws("/", "root", "path"))
     _, summary = plan_repairs(inventory, direction, pad_tail)
     none = F.lit(None).cast("string")
 
@@ -152,6 +188,10 @@ def audit_collection(
         .when(F.col("fully_fixed"), "FIXED")
         .otherwise("PARTLY_FIXED")
     )
+    set_id, change = F.col("set_id"), F.concat_ws(" ", "field", F.lit(":"), F.coalesce("before", F.lit("")), F.lit("->"), "after")
+    untagged = A.read_tags(inventory).filter(F.col("tag_status") != "OK")
+    plan = plan_tags(inventory)
+    pieces = [] if quick else [section(torrents["bad_pieces"], "TORRENT", set_id, set_id, F.lit("BAD_PIECE"), F.col("piece"))]
     named = parse_track_name(F.regexp_extract(path, "[^/]*$", 0)).isNotNull()
     found = cut_lineage(
         union_all(
@@ -160,6 +200,15 @@ def audit_collection(
             section(unused, "UNUSED", dir_name(path), path, F.lit("UNUSED"), F.col("reason")),
             section(summary, "REPAIR", F.col("set_id"), F.col("set_id"), repaired, F.col("refused")),
             section(inventory, "NAME", dir_name(path), path, F.when(named, "NAMED").otherwise("OTHER"), none),
+            section(refused, "TORRENT", set_id, path, F.lit("REFUSED"), F.col("reason")),
+            section(broken, "TORRENT", set_id, set_id, F.lit("REFUSED"), F.col("rule")),
+            section(roots.filter("refused IS NOT NULL"), "TORRENT", set_id, set_id, F.lit("REFUSED"), F.col("refused")),
+            section(files, "TORRENT", set_id, path, F.col("status"), none),
+            section(torrents["verdicts"], "TORRENT", set_id, set_id, F.col("verdict"), F.col("needs_attention")),
+            section(torrents["extras"], "TORRENT", set_id, path, F.lit("EXTRA"), none),
+            *pieces,
+            section(plan, "TAG", dir_name(path), path, F.when(F.col("field").isNull(), "UNCHANGED").otherwise("CHANGE"), F.when(F.col("field").isNotNull(), change)),
+            section(untagged, "TAG", dir_name(path), path, F.col("tag_status"), none),
         )
     )
     totals = found.groupBy("section", "set_id", "status").agg(F.count(F.lit(1)).alias("findings"))

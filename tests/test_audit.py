@@ -113,3 +113,24 @@ def test_a_collection_with_a_bad_folder(spark, tmp_path):
     }
     assert any(r[:2] == ("REPAIR", "good") for r in got) and not any(r[:2] == ("REPAIR", "bad") for r in got)
     assert totals.agg(F.sum("findings")).first()[0] == found.count() and {r.output for r in made.collect()} == {r[0] for r in got}
+
+
+def test_a_collection_with_torrents_and_tags(spark, tmp_path):
+    root = tmp_path / "vault"
+    for name, files in {"s": [("1", 20_000), ("2", 20_000)], "bad": [("1", 40_000)]}.items():
+        doc = torrent(root, name, files)
+        (root / f"{name}.torrent").write_bytes(doc)
+    (root / "s" / "2").unlink()
+    (root / "bad" / "1").write_bytes(b"x" * 40_000)
+    (root / "junk.torrent").write_bytes(b"junk")
+    (root / "zero.torrent").write_bytes(bencode({"info": {"name": "z", "piece length": 0, "pieces": b"", "length": 1}}))
+    (root / "a.flac").write_bytes(flac())
+    (root / "b.wav").write_bytes(wav())
+    found, totals, made = U.audit_collection(spark, str(root))
+    got = {(r.section, r.set_id.rsplit("/", 1)[1], r.path.rsplit("/", 1)[1], r.status) for r in found.collect()}
+    assert got >= {
+        ("TORRENT", "s.torrent", "2", "MISSING"), ("TORRENT", "s.torrent", "s.torrent", "INCOMPLETE"), ("TORRENT", "bad.torrent", "1", "CORRUPT"),
+        ("TORRENT", "bad.torrent", "bad.torrent", "BAD_PIECE"), ("TORRENT", "junk.torrent", "junk.torrent", "REFUSED"),
+        ("TORRENT", "zero.torrent", "zero.torrent", "REFUSED"), ("TAG", "vault", "a.flac", "CHANGE"), ("TAG", "vault", "b.wav", "NOT_TAGGABLE"),
+    }
+    assert totals.agg(F.sum("findings")).first()[0] == found.count() and {r.output for r in made.collect()} >= {"TORRENT", "TAG"}

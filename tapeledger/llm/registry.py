@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["line_dedup", "mixing", "exact_dedup", "jaccard_join", "html_text", "substring_dedup", "chat", "toxicity", "quality", "decontaminate", "byte_bpe", "word_runs"]
+MODULES = ["line_dedup", "mixing", "exact_dedup", "jaccard_join", "html_text", "substring_dedup", "chat", "toxicity", "quality", "decontaminate", "byte_bpe", "word_runs", "prefix_trie"]
 
 
 def all_queries() -> dict:

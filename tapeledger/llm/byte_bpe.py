@@ -19,8 +19,9 @@ from tapeledger.llm.common import packed, read, unpacked
 from tapeledger.llm.wordhash import utf8
 
 PART = 1 << 16  # code points of a text that are split at a time, or up to the next safe place
+FRESH = 1 << 14  # new pieces that are tokenised together
 GROUP = 1 << 20  # bytes of texts that are put together before their ids go out
-TABLE_BYTES = 1 << 24  # bytes of distinct pieces whose ids a task keeps
+TABLE_CHARS = 1 << 21  # code points of distinct pieces whose ids a task keeps
 ENCODED = ["ids", "starts"]
 DECODED = ["decoded", "decoded_text"]
 LOST = "�".encode()  # what an id outside the vocabulary decodes to
@@ -104,9 +105,17 @@ class Encoder:
 
     def forget(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.held = 0
-        self.flat = None
+
+    def learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), FRESH):
+            some = pieces[at : at + FRESH]
+            self.numbers.update(zip(some, range(len(self.numbers), len(self.numbers) + len(some)), strict=True))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self.lengths = np.concatenate([self.lengths, np.array([len(i) for i in ids], np.int64)])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32)])
+            self.held += sum(map(len, some))
 
     def split(self, text: str) -> Iterable[str]:
         """Matches of the pattern in a text, which is split in parts that begin where a match must."""
@@ -122,27 +131,20 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each text has."""
-        if self.held > TABLE_BYTES:
+        if self.held > TABLE_CHARS:
             self.forget()
         pieces, sizes = [], []
         for text in texts:
             before = len(pieces)
             pieces.extend(self.split(text))
             sizes.append(len(pieces) - before)
-        fresh = list({p for p in pieces if p not in self.numbers})
-        if fresh:
-            self.numbers.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
-            self.ids.extend(e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))
-            self.held += sum(map(len, fresh))
-            lengths = np.array([len(i) for i in self.ids], np.int64)
-            flat = np.fromiter(chain.from_iterable(self.ids), np.int32, int(lengths.sum()))
-            self.flat = (np.cumsum(lengths) - lengths, lengths, flat)
+        self.learn(list({p for p in pieces if p not in self.numbers}))
         if not pieces:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         which = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
-        begins, lengths, flat = self.flat
-        upto = np.concatenate([[0], np.cumsum(lengths[which])])[np.concatenate([[0], np.cumsum(sizes)])]
-        return flat[spread(begins[which], lengths[which])], np.diff(upto)
+        begins, lengths = np.cumsum(self.lengths) - self.lengths, self.lengths[which]
+        upto = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return self.flat[spread(begins[which], lengths)], np.diff(upto)
 
 
 def _groups(column) -> Iterator[tuple[int, int]]:

@@ -47,7 +47,7 @@ def test_random_strings(encoder, alphabet):
 
 def test_long_texts_are_cut_where_no_match_can_cross(encoder, monkeypatch):
     monkeypatch.setattr(byte_bpe, "PART", 7)
-    monkeypatch.setattr(byte_bpe, "TABLE_BYTES", 50)
+    monkeypatch.setattr(byte_bpe, "TABLE_CHARS", 50)
     rng = random.Random(4)
     for _ in range(20):
         check(encoder, ["".join(rng.choice("ab1'\n  ,é") for _ in range(rng.randint(0, 200))) for _ in range(20)])

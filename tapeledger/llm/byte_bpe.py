@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -174,14 +175,15 @@ def _starts(table: ByteTable, ids: np.ndarray, counts: np.ndarray) -> np.ndarray
     return points - np.repeat(base, counts)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """All rows and columns of ``df`` plus ``ids`` and ``starts``: the tokens of each text and where they begin.
 
     Each match of ``pattern`` is merged for itself by the ranks of the file at ``ranks_path`` (read by the
     driver; the tokenizer, of the size of the vocabulary, travels to the tasks). No special tokens: their
     strings are text like any other. ``starts`` counts code points from 0; a token that begins within
     a character begins at that character. A null or empty text has no tokens; repeated rows are encoded
-    each; columns of ``df`` named as ours are replaced; an empty table gives an empty table.
+    each; columns of ``df`` named as ours are replaced; an empty table gives an empty table. ``decoded`` adds
+    what ``decode`` makes of the ids, in the same task.
 
     There is no shuffle. Long texts are split in parts at white space that no match can cross, so memory
     grows with the longest run without any and with the ids of one text.
@@ -189,10 +191,14 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text")
     spark = df.sparkSession
     tokenizer = build_tokenizer(load_ranks(ranks_path))
     sent = spark.sparkContext.broadcast(tokenizer.to_str())
-    rows = packed(df)
+    rows, ours = packed(df), [*ENCODED, *DECODED] if decoded else ENCODED
     schema = rows.select("r").schema.add("ids", ArrayType(IntegerType())).add("starts", ArrayType(IntegerType()))
+    if decoded:
+        schema = schema.add("decoded", "binary").add("decoded_text", "string")
 
     def run(batches):
+        # Spark runs a task a core; threads of the library's own would only hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         made = Tokenizer.from_str(sent.value)
         encoder, table = Encoder(made, pattern), ByteTable(made.get_vocab())
         for batch in batches:
@@ -200,9 +206,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text")
             for a, b in _groups(column):
                 ids, counts = encoder.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
                 columns = [batch.column(0).slice(a, b - a), _lists(ids, counts), _lists(_starts(table, ids, counts), counts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["r", *ENCODED])
+                if decoded:
+                    upto = np.concatenate([[0], np.cumsum(counts)])
+                    found = [table.joined(ids[i:j]).tobytes() for i, j in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                    columns += [pa.array(found, pa.binary()), pa.array([raw.decode("utf-8", "replace") for raw in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["r", *ours])
 
-    return unpacked(rows.mapInArrow(run, schema), df.columns, ENCODED)
+    return unpacked(rows.mapInArrow(run, schema), df.columns, ours)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -249,9 +259,8 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    decoded = decode(encoded, path).select("doc_id", "ids", "decoded")
-    return decoded.select(
+    both = encode(docs, path, public_tokenizers.PATTERN, decoded=True)
+    return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

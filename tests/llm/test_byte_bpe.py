@@ -75,6 +75,8 @@ def test_texts_of_all_kinds_come_back(spark):
         text = r.text or ""
         assert r.ids == PLAIN.encode_ordinary(text) and r.starts == starts_of(text, r.ids)
         assert bytes(r.decoded) == text.encode() and r.decoded_text == text and r["odd name"] == 2
+    at_once = byte_bpe.encode(spark.createDataFrame(rows, SCHEMA), PATH, public_tokenizers.PATTERN, decoded=True)
+    assert sorted(map(str, at_once.select(back.columns).collect())) == sorted(map(str, got))
     nothing = byte_bpe.encode(spark.createDataFrame([], SCHEMA), PATH, public_tokenizers.PATTERN)
     assert byte_bpe.decode(nothing, PATH).count() == 0
 

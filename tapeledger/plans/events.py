@@ -8,6 +8,8 @@ from tapeledger.operators.manifests import parse_manifests
 from tapeledger.plans import manifests as P
 from tapeledger.plans import standins as S
 from tapeledger.streaming import jobs as J
+from tapeledger.streaming import stalls
+from tapeledger.streaming import windows as W
 
 EVENTS = """
 SELECT user_id % 20 AS batch_id, user_id AS job_id, event_id, ts,
@@ -38,6 +40,38 @@ def landed(spark, sf_dir):
     return J.stream_manifest_check(digests, manifest)
 
 
+# What became of jobs, by batch; some events carry no time.
+OUTCOMES = """
+SELECT user_id % 20 AS batch_id, CASE WHEN event_id % 97 <> 5 THEN ts END AS ts, CASE event_type WHEN 'signup' THEN 'STARTED' WHEN 'purchase' THEN 'FINISHED'
+  WHEN 'error' THEN 'CANCELLED' ELSE 'PROGRESS' END AS outcome
+FROM {events}"""
+SLIDE = 900  # seconds; windows of four slides
+GAP = 2700  # seconds without an event that end a session
+PATIENCE = 43200  # seconds a job may take
+
+
+def tumbling(spark, sf_dir):
+    return W.outcome_windows(S.select(spark, sf_dir, OUTCOMES), f"{SLIDE} seconds")
+
+
+def sliding(spark, sf_dir):
+    return W.outcome_windows(S.select(spark, sf_dir, OUTCOMES), f"{4 * SLIDE} seconds", f"{SLIDE} seconds", ["batch_id"])
+
+
+def sessions(spark, sf_dir):
+    return W.outcome_sessions(S.select(spark, sf_dir, OUTCOMES), GAP, ["batch_id"], ["FINISHED", "CANCELLED"])
+
+
+def stalled(spark, sf_dir):
+    found = stalls.stalled_jobs(events(spark, sf_dir, BROKEN), f"{PATIENCE} seconds")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "deadline", "ended_at")})
+
+
+def at(number: str) -> str:
+    """A time from whole seconds."""
+    return f"make_timestamp(CAST({number} AS BIGINT) * 1000000)"
+
+
 TWIN_BROKEN = f"WITH e AS ({S.plain(BROKEN)})"
 RANKED = f"""
 WITH e AS ({S.plain(EVENTS)}),
@@ -70,4 +104,28 @@ FROM j WHERE terminals <> 1 OR started IS NULL OR started > ended""",
 SELECT m.dir, list_path, m.kind, line_no, m.file_name, CASE WHEN digest = actual THEN 'OK' ELSE 'MISMATCH' END AS status
 FROM m JOIN d ON m.dir = d.dir AND m.file_name = d.file_name AND m.kind = d.kind""",
     ),
+    "outcome_windows": (
+        tumbling,
+        f"""WITH o AS ({S.plain(OUTCOMES)}), w AS (SELECT epoch_us(ts) // {SLIDE * 1000000} AS k, outcome, count(*) AS n FROM o WHERE ts IS NOT NULL GROUP BY ALL)
+SELECT {at(f"k * {SLIDE}")} AS window_start, {at(f"(k + 1) * {SLIDE}")} AS window_end, outcome, n FROM w""",
+    ),
+    "outcome_windows_sliding": (
+        sliding,
+        f"""WITH o AS ({S.plain(OUTCOMES)}), w AS (SELECT epoch_us(ts) // {SLIDE * 1000000} - back AS k, batch_id, outcome, count(*) AS n FROM o, range(4) r(back) WHERE ts IS NOT NULL GROUP BY ALL)
+SELECT {at(f"k * {SLIDE}")} AS window_start, {at(f"(k + 4) * {SLIDE}")} AS window_end, batch_id, outcome, n FROM w""",
+    ),
+    "outcome_sessions": (
+        sessions,
+        f"""WITH o AS ({S.plain(OUTCOMES)}),
+g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY batch_id ORDER BY ts)) <= {GAP * 1000000} THEN 0 ELSE 1 END AS fresh FROM o WHERE ts IS NOT NULL),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY batch_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM g)
+SELECT batch_id, min(ts) AS session_start, max(ts) + INTERVAL {GAP} SECONDS AS session_end, count(*) AS n,
+  count(*) FILTER (WHERE outcome = 'FINISHED') AS n_finished, count(*) FILTER (WHERE outcome = 'CANCELLED') AS n_cancelled FROM i GROUP BY batch_id, island""",
+    ),
+    "stalled_jobs": (
+        stalled,
+        f"""{TWIN_BROKEN}, j AS (SELECT batch_id, job_id, min(ts) FILTER (WHERE kind = 'STARTED') AS started_at, min(ts) FILTER (WHERE kind IN ('FINISHED', 'CANCELLED')) AS ended_at FROM e GROUP BY ALL),
+d AS (SELECT *, started_at + INTERVAL {PATIENCE} SECONDS AS deadline FROM j)
+SELECT batch_id, job_id, started_at, deadline, ended_at FROM d WHERE coalesce(ended_at > deadline, deadline < (SELECT max(ts) FROM e))""",
+    ),
 }

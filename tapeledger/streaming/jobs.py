@@ -57,13 +57,13 @@ def cancelled_rows(events: DataFrame) -> DataFrame:
     return job_state(events).filter(F.col("state") == "CANCELLED").select(*JOB, "output", "ts")
 
 
-def terminal_once(events: DataFrame) -> DataFrame:
-    """Jobs that break the contract: one terminal event, and a start before it."""
+def _ends_and_starts() -> list[Column]:
     ends = F.when(F.col("kind").isin(TERMINAL), F.col("ts"))
     starts = F.when(F.col("kind") == "STARTED", F.col("ts"))
-    per_job = events.groupBy(*JOB).agg(
-        F.count(ends).alias("terminals"), F.min(ends).alias("_end"), F.min(starts).alias("_start")
-    )
+    return [F.count(ends).alias("terminals"), F.min(ends).alias("_end"), F.min(starts).alias("_start")]
+
+
+def _violations(per_job: DataFrame) -> DataFrame:
     violation = (
         F.when(F.col("terminals") == 0, "NO_TERMINAL")
         .when(F.col("terminals") > 1, "SEVERAL_TERMINALS")
@@ -73,6 +73,22 @@ def terminal_once(events: DataFrame) -> DataFrame:
     return per_job.select(*JOB, "terminals", violation.alias("violation")).filter(F.col("violation").isNotNull())
 
 
+def terminal_once(events: DataFrame) -> DataFrame:
+    """Jobs that break the contract: one terminal event, and a start before it."""
+    return _violations(events.groupBy(*JOB).agg(*_ends_and_starts()))
+
+
+def terminal_once_closed(events: DataFrame, keep: str = "1 hour") -> DataFrame:
+    """``terminal_once`` for streams that never end: a job is judged once, ``keep`` after its last event.
+
+    An event delivered twice (same job, kind and ``ts``) within ``keep`` counts once; a job that is silent for longer
+    than ``keep`` and then goes on is judged anew. Append mode: rows come when the watermark, ``keep``
+    behind the newest event, has passed the job, and its state goes with them.
+    """
+    once = events.withWatermark("ts", keep).dropDuplicatesWithinWatermark([*JOB, "kind", "ts"])
+    return _violations(once.groupBy(*JOB, F.session_window("ts", keep).alias("_w")).agg(*_ends_and_starts()))
+
+
 def stream_manifest_check(digests: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files checked as they land: a stream of ``dir, file_name, kind, digest, error`` against
     the entries that name them. An inner join: only a batch run can say a file never came."""

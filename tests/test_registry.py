@@ -1,4 +1,7 @@
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -60,6 +63,24 @@ def test_every_query_has_a_twin():
     assert all_queries().keys() <= queries().keys() and all_queries().keys() <= oracle_sql().keys()
 
 
+@pytest.mark.parametrize("gone", [["tapeledger/llm", "corpus_pipeline.py"], ["tapeledger/llm"], ["corpus_pipeline.py"]])
+def test_the_library_stands_without_the_text_operators(tmp_path, gone):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.isdir(f"{root}/tapeledger/llm"):
+        pytest.skip("they are not here")
+    skip = [g for g in gone if g.endswith(".py")]
+    shutil.copytree(f"{root}/tapeledger", tmp_path / "tapeledger", ignore=shutil.ignore_patterns("__pycache__", *["llm"] * ("tapeledger/llm" in gone)))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if name not in skip:
+            shutil.copy(f"{root}/{name}", tmp_path / name)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    own = len(all_queries())
+    listed = int(out.stdout.split()[0])
+    assert listed == own if "tapeledger/llm" in gone else listed > own
+
+
 @pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_agrees(spark, plain, name):
     agree(spark, plain, DATA, name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,25 +78,44 @@ def hashed_pieces(slices: DataFrame, algorithm: str = "sha1") -> DataFrame:
         for batch in batches:
             if schema is None:
                 schema = pa.schema([("set_id", batch.schema.field("set_id").type), ("piece", pa.int64()), ("digest", pa.string()), ("ordinal", pa.int64())])
-            sets, pieces, sizes = (batch.column(c).to_pylist() for c in ("set_id", "piece", "bytes"))
-            reasons, ordinals, data = batch.column("reason").to_pylist(), batch.column("ordinal").to_pylist(), batch.column("data")
             done = []
-            for i, key in enumerate(zip(sets, pieces)):
+            for a, b in stretches(batch):
+                key = (batch.column("set_id")[a].as_py(), batch.column("piece")[a].as_py())
                 if key != current:
                     if current is not None:
                         done += ended(current, hasher, bad)
                     current, hasher, bad = key, hashlib.new(algorithm), set()
-                if reasons[i] is not None:
-                    bad.add(ordinals[i])
-                elif data[i].is_valid:
-                    hasher.update(data[i].as_buffer())
-                else:
-                    for at in range(0, sizes[i], len(zeros)):
-                        hasher.update(zeros[: sizes[i] - at])
+                part = batch.slice(a, b - a)
+                fed(hasher, part, bad)
             yield packed(done, schema)
         if current is not None:
             yield packed(ended(current, hasher, bad), schema)
 
+    def stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        """First and last row (excluded) of each piece in a batch."""
+        codes = batch.column("set_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        pieces = batch.column("piece").to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero((np.diff(codes, prepend=codes[:1] - 1) != 0) | (np.diff(pieces, prepend=pieces[:1] - 1) != 0)).tolist() if len(codes) else []
+        yield from zip(starts, [*starts[1:], len(codes)])
+
+    def fed(hasher, part: pa.RecordBatch, bad: set) -> None:
+        """The bytes of a piece's slices, which lie one after the other in the column."""
+        data, reasons = part.column("data"), part.column("reason")
+        if reasons.null_count < len(reasons):
+            bad.update(o for o, r in zip(part.column("ordinal").to_pylist(), reasons.to_pylist()) if r is not None)
+        elif data.null_count == 0:
+            _, offsets, content = data.buffers()
+            ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(data.type) else np.int32)
+            if content is not None:
+                hasher.update(memoryview(content)[ends[data.offset] : ends[data.offset + len(data)]])
+        else:
+            for size, slice_ in zip(part.column("bytes").to_pylist(), data):
+                if slice_.is_valid:
+                    hasher.update(slice_.as_buffer())
+                else:
+                    for at in range(0, size, len(zeros)):
+                        hasher.update(zeros[: size - at])
+
     def ended(key, hasher, bad):
         return [(*key, None, o) for o in sorted(bad)] if bad else [(*key, hasher.hexdigest(), None)]
 

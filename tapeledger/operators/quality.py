@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeledger.functions.formats import (
     MAX_DECLARED_PIECE,
+    dir_name,
     is_noise,
     path_violation,
     piece_count,
 )
 from tapeledger.session import union_all
+from tapeledger.sources.opening import list_tree
 
 
 def rule(name: str, broken: Column) -> Column:
@@ -96,8 +98,8 @@ def draft_violations(drafts: DataFrame, files: DataFrame, pieces: DataFrame) ->
 def selection_report(listing: DataFrame, include_all: bool = False) -> DataFrame:
     """Left-out entries of ``set_id, path, name, kind, entries`` with the reason.
 
-    A symbolic link refuses its whole set. An object store shows neither links nor empty
-    folders, so those two come only from a listing that has them.
+    A symbolic link refuses its whole set. A folder is empty if it holds neither a folder nor a kept file.
+    ``disk_selection`` makes such a listing; an object store shows neither links nor empty folders.
     """
     noise = (F.col("kind") == "file") & is_noise(F.col("name")) & F.lit(not include_all)
     reason = (
@@ -106,3 +108,36 @@ def selection_report(listing: DataFrame, include_all: bool = False) -> DataFrame
         .when(noise, "NOISE")
     )
     return listing.select("set_id", "path", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def folder_contents(tree: DataFrame, include_all: bool = False) -> DataFrame:
+    """The rows of a listing (``set_id, path, name, kind, reason``) with ``entries`` and ``files_below`` of folders.
+
+    ``entries`` are the folders and kept files directly in a folder, ``files_below`` the kept files at any depth:
+    every file counts once in each folder above it, partially added up before the shuffle. Noise is not
+    kept unless all is; a folder that could not be listed has null counts.
+    """
+    kept = (F.col("kind") == "dir") | ((F.col("kind") == "file") & (~is_noise(F.col("name")) | F.lit(include_all)))
+    steps = F.split(F.substr("path", F.length("set_id") + 1), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.concat("set_id", F.array_join(F.slice(steps, 1, n), "/")))
+    listed = tree.filter(F.col("reason").isNull())
+    lifted = listed.filter(kept).select("set_id", "kind", dir_name(F.col("path")).alias("_parent"), F.explode(above).alias("path"))
+    counts = lifted.groupBy("set_id", "path").agg(
+        F.count_if(F.col("path") == F.col("_parent")).alias("entries"), F.count_if(F.col("kind") == "file").alias("files_below")
+    )
+    unlisted = tree.filter(F.col("reason").isNotNull()).select("set_id", "path", F.lit(True).alias("_unlisted")).distinct()
+    folders = listed.filter(F.col("kind") == "dir").join(counts, ["set_id", "path"], "left").join(unlisted, ["set_id", "path"], "left")
+    number = lambda c: F.when(F.col("_unlisted").isNull(), F.coalesce(F.col(c), F.lit(0).cast("long"))).alias(c)
+    none = lambda c: F.lit(None).cast("long").alias(c)
+    shape = ["set_id", "path", "name", "kind"]
+    return union_all(
+        folders.select(*shape, number("entries"), number("files_below")),
+        listed.filter(F.col("kind") != "dir").select(*shape, none("entries"), none("files_below")),
+    )
+
+
+def disk_selection(spark: SparkSession, roots, include_all: bool = False) -> DataFrame:
+    """``selection_report`` of folders as they are on disk, and folders that cannot be listed with the reason."""
+    tree = list_tree(spark, roots)
+    left_out = selection_report(folder_contents(tree, include_all), include_all)
+    return union_all(left_out, tree.filter(F.col("reason").isNotNull()).select("set_id", "path", "reason"))

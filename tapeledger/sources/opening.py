@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 from collections.abc import Callable, Iterator
 from itertools import islice
 from urllib.parse import quote
@@ -17,6 +18,8 @@ from tapeledger.session import cut_lineage, union_all
 
 # Bytes of file contents a task hands on at a time.
 FLUSH_BYTES = 1 << 25
+# What a value without a place in its column raises.
+UNFIT = (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError)
 
 
 def locate(path: str):
@@ -65,6 +68,63 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+TREE = "set_id string, path string, name string, kind string, file_size bigint, reason string"
+
+
+def _entries(root: str, path: str) -> Iterator[tuple]:
+    """What a folder holds, links told apart; nothing is followed."""
+    try:
+        store, inside, before = locate(path)
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(inside) as held:
+                for entry in held:
+                    kind = "symlink" if entry.is_symlink() else "dir" if entry.is_dir() else "file"
+                    size = entry.stat().st_size if kind == "file" else None
+                    yield root, f"{before}{inside.rstrip('/')}/{entry.name}", entry.name, kind, size, None
+            return
+        for entry in store.get_file_info(fs.FileSelector(inside)):
+            kind = "dir" if entry.type == fs.FileType.Directory else "file"
+            yield root, before + entry.path, entry.base_name, kind, entry.size if kind == "file" else None, None
+    except (OSError, ValueError) as e:
+        yield root, path, path.rstrip("/").rsplit("/", 1)[-1], "dir", None, f"UNLISTED: {e}"
+
+
+def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = pa.schema([(n, pa.int64() if n == "file_size" else pa.string()) for n in ("set_id", "path", "name", "kind", "file_size", "reason")])
+    for batch in batches:
+        for root, path in zip(batch.column("set_id").to_pylist(), batch.column("path").to_pylist()):
+            rows = _entries(root, path)
+            while chunk := list(islice(rows, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*chunk), kinds)], schema=kinds)
+
+
+def _address(root: str) -> str:
+    """A root as the paths below it begin."""
+    try:
+        _, inside, before = locate(root)
+        return before + inside.rstrip("/")
+    except (OSError, ValueError):
+        return root.rstrip("/")
+
+
+def list_tree(spark: SparkSession, roots) -> DataFrame:
+    """``set_id`` (the root's full path), ``path, name, kind, file_size, reason`` of everything below the roots.
+
+    ``kind`` is file, dir or symlink (local folders only; object stores have none). Links are not followed,
+    so a link to a folder above it does no harm. A folder that cannot be listed has a second row, with a
+    ``reason``. Listed level by level like ``list_files``.
+    """
+    given = [_address(r) for r in ([roots] if isinstance(roots, str) else roots)]
+    folders = spark.createDataFrame([(r, r) for r in given], "set_id string, path string")
+    found, wide = [], max(len(given), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    while True:
+        level = cut_lineage(folders.repartition(wide, "path").mapInArrow(_entered, TREE))
+        found.append(level)
+        folders = level.filter("kind = 'dir' AND reason IS NULL").select("set_id", "path")
+        if folders.limit(1).count() == 0:
+            return union_all(*found)
+
+
 def list_files(spark: SparkSession, paths, recursive: bool = True) -> DataFrame:
     """``path, file_size, reason`` of every file under the given folders, and of files given themselves.
 
@@ -107,34 +167,43 @@ def map_files(files: DataFrame, read: Callable[[dict, object], dict], fields: st
     arrow = to_arrow_schema(out)
     names = added.names
 
-    def look(row: dict) -> dict:
+    def look(row: dict, content: bytes | None) -> dict:
         try:
-            if row.get("content") is not None:
-                return read(row, io.BytesIO(row["content"]))
+            if content is not None:
+                return read(row, io.BytesIO(content))
             with open_path(row["path"]) as f:
                 return read(row, f)
         except (ValueError, OSError) as e:
             return {"reason": str(e) or "UNREADABLE"}
 
-    def fits(found: dict) -> dict:
+    def columns_of(found: list[dict]) -> list[pa.Array]:
+        return [pa.array([r.get(n) for r in found], type=arrow.field(n).type) for n in names]
+
+    def fits(row: dict) -> dict:
         """What was found, or the reason why it has no place in the columns."""
         try:
-            for n in names:
-                pa.array([found.get(n)], type=arrow.field(n).type)
-        except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError) as e:
+            columns_of([row])
+        except UNFIT as e:
             return {"reason": f"BAD_VALUE: {e}"}
-        return found
+        return row
 
     def batch_of(part: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
-        columns = [part.column(c) for c in kept] + [pa.array([r.get(n) for r in found], type=arrow.field(n).type) for n in names]
+        # By column; row by row only to find out which of them does not fit.
+        try:
+            added = columns_of(found)
+        except UNFIT:
+            added = columns_of([fits(row) for row in found])
+        columns = [part.column(c) for c in kept] + added
         return pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Flushed by bytes: a row may bring megabytes, and a batch of them more than a task holds.
         for batch in batches:
+            told = batch.select(kept).to_pylist() if kept else [{}] * batch.num_rows
+            contents = batch.column("content") if "content" in batch.schema.names else [None] * batch.num_rows
             first, found, held = 0, [], 0
-            for at in range(batch.num_rows):
-                found.append(fits(look(batch.slice(at, 1).to_pylist()[0])))
+            for at, (row, content) in enumerate(zip(told, contents)):
+                found.append(look(row, content.as_py() if content is not None else None))
                 held += sum(len(v) for v in found[-1].values() if isinstance(v, bytes))
                 if held >= FLUSH_BYTES:
                     yield batch_of(batch.slice(first, len(found)), found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder: computed once, read by column, its size known to later plans."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # Spark 4.1 lets a union claim its inputs' partitioning. Adaptive execution may then re-plan the
 # inputs apart, and a grouping that skipped its shuffle on the strength of that claim sees one
 # key in several tasks. Off, a grouping after a union always shuffles.

@@ -6,13 +6,13 @@ where they stand: file, offset of the split in it, place in the split.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeledger.functions.names import slug, strip_space
 from tapeledger.operators.manifests import parse_manifests
-from tapeledger.operators.ordered import first_occurrence, number_rows
-from tapeledger.session import union_all
+from tapeledger.operators.ordered import first_occurrence
+from tapeledger.session import stored, union_all
 
 
 # In any mixture of cases.
@@ -27,7 +27,10 @@ def plain_path(address: Column) -> Column:
 def read_lines(
     spark: SparkSession, paths, line_sep: str | None = "\n", glob: str | None = None, recursive: bool = False
 ) -> DataFrame:
-    """``list_path, line_no, line``; line numbers start at 1 and count every line."""
+    """``list_path, line_no, line``; line numbers start at 1 and count every line.
+
+    The text is read once, when this is called, and kept in the checkpoint folder.
+    """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if line_sep is not None:
         reader = reader.option("lineSep", line_sep)
@@ -39,8 +42,21 @@ def read_lines(
         F.monotonically_increasing_id().alias("_at"),
         F.col("value").alias("line"),
     )
-    numbered = number_rows(rows, ["list_path"], ["_from", "_at"], "line_no")
-    return numbered.select("list_path", (F.col("line_no") + 1).alias("line_no"), "line")
+    return number_lines(stored(rows, "lines"))
+
+
+def number_lines(rows: DataFrame) -> DataFrame:
+    """Lines of ``list_path, _from`` (start of the split of the file), ``_at`` and ``line`` with their numbers.
+
+    A task reads a split from its first line to its last, so ``_at`` grows by one from line to line of a
+    split. A line's number is its place in its split and the lines of earlier splits of the file, which are
+    known from one row a split; lines are neither sorted nor shuffled, unless there are more
+    splits than Spark broadcasts.
+    """
+    splits = rows.groupBy("list_path", "_from").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.partitionBy("list_path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    begins = stored(splits.select("list_path", "_from", (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")), "splits")
+    return rows.join(begins, ["list_path", "_from"]).select("list_path", (F.col("_at") + F.col("_shift") + 1).alias("line_no"), "line")
 
 
 def read_manifests(spark: SparkSession, paths, recursive: bool = False) -> tuple[DataFrame, DataFrame]:

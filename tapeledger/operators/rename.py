@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeledger.functions.binding import let
@@ -15,6 +15,7 @@ from tapeledger.functions.names import (
     render_track_name,
 )
 from tapeledger.operators.ordered import attach
+from tapeledger.session import union_all
 
 SET = ["set_id"]
 
@@ -81,12 +82,47 @@ def rename_collisions(plan: DataFrame) -> DataFrame:
     )
 
 
+def judged_plan(plan: DataFrame, inventory: DataFrame) -> DataFrame:
+    """``plan`` (``set_id, ordinal, from_path, to_path``) with ``status`` and ``conflict``, in one pass over paths.
+
+    Every path is a row for each way it is met: as a target, as a source of its set, as a file on disk.
+    One shuffle by path brings these together; nothing is joined. A target is in conflict if it is a
+    changed name, is on disk, and no file of its set leaves it.
+    """
+    role = lambda path, is_target: F.struct(F.col(path).alias("path"), F.lit(is_target).alias("is_target"))
+    met = plan.select(*SET, "ordinal", "from_path", F.explode(F.array(role("to_path", True), role("from_path", False))).alias("m"))
+    met = met.select(*SET, "ordinal", "from_path", "m.path", "m.is_target", F.lit(False).alias("on_disk"))
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in met.schema.fields}
+    disk = inventory.filter(F.col("path").isNotNull()).select(
+        *[empty[c] for c in (*SET, "ordinal", "from_path")], "path", F.lit(False).alias("is_target"), F.lit(True).alias("on_disk")
+    )
+    by_path, in_set = Window.partitionBy("path"), Window.partitionBy("path", *SET)
+    seen = union_all(met, disk).withColumns(
+        {
+            "_disk": F.max("on_disk").over(by_path),
+            "_uses": F.count_if("is_target").over(in_set),
+            "_left": F.max(~F.col("is_target") & ~F.col("on_disk")).over(in_set),
+        }
+    )
+    status = F.when(F.col("_uses") > 1, "COLLISION").when(F.col("path") == F.col("from_path"), "UNCHANGED").otherwise("CHANGED")
+    conflict = (status == "CHANGED") & F.col("_disk") & ~F.col("_left")
+    return seen.filter("is_target").select(*SET, "ordinal", "from_path", F.col("path").alias("to_path"), status.alias("status"), conflict.alias("conflict"))
+
+
 def rename_conflicts(plan: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Targets that exist on disk and are not themselves being renamed, in sets free of collisions."""
-    targets = plan.filter(F.col("status") == "CHANGED").select(*SET, "ordinal", F.col("to_path").alias("path"))
-    taken = targets.join(inventory.select("path").distinct(), "path", "left_semi")
-    sources = plan.select(*SET, F.col("from_path").alias("path"))
-    return taken.join(sources, [*SET, "path"], "left_anti").select(*SET, "ordinal", F.col("path").alias("to_path"))
+    """Changed targets that exist on disk and are not themselves being renamed."""
+    return judged_plan(plan, inventory).filter("conflict").select(*SET, "ordinal", "to_path")
+
+
+def rename_report(plan: DataFrame, inventory: DataFrame) -> DataFrame:
+    """``rename_verdict`` from plan and inventory alone."""
+    counts = judged_plan(plan, inventory).groupBy(*SET).agg(
+        F.count_if(F.col("status") == "CHANGED").alias("changed"),
+        F.count_if(F.col("status") == "COLLISION").alias("colliding"),
+        F.min(F.when(F.col("conflict"), F.col("to_path"))).alias("conflict"),
+    )
+    refused = F.when(F.col("colliding") > 0, "COLLISION").when(F.col("conflict").isNotNull(), "TARGET_EXISTS")
+    return counts.withColumn("refused", refused)
 
 
 def rename_verdict(plan: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -101,13 +101,13 @@ def collisions(spark, sf_dir):
 
 
 def conflicts(spark, sf_dir):
-    plan, rows = collisions(spark, sf_dir)
-    return R.rename_conflicts(plan, spark.sql(EXISTING, base=rows))
+    rows, _ = S.names(spark, sf_dir)
+    return R.rename_conflicts(spark.sql(PLAN, base=rows), spark.sql(EXISTING, base=rows))
 
 
 def verdicts(spark, sf_dir):
-    plan, rows = collisions(spark, sf_dir)
-    return R.rename_verdict(plan, R.rename_conflicts(plan, spark.sql(EXISTING, base=rows)))
+    rows, _ = S.names(spark, sf_dir)
+    return R.rename_report(spark.sql(PLAN, base=rows), spark.sql(EXISTING, base=rows))
 
 
 # Paths where a file and a folder share the start of their names.

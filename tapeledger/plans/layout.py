@@ -9,6 +9,7 @@ from tapeledger.operators import layout as L
 from tapeledger.operators import quality as Q
 from tapeledger.operators.ordered import longest_set, number_rows
 from tapeledger.plans import standins as S
+from tapeledger.session import stored
 
 PIECE = 2048
 NAME = "'doc_' || CAST(doc_id AS STRING) || '.txt'"
@@ -67,7 +68,9 @@ def damaged(laid):
 
 
 def outcomes(spark, sf_dir):
-    checked, laid = prechecked(spark, sf_dir)
+    """Spans and the size check are read by every branch, so they are kept; contents are not."""
+    laid = stored(spans(spark, sf_dir), "spans")
+    checked = stored(L.size_precheck(laid, inventory(spark, sf_dir)), "checked")
     segments = L.piece_segments(checked, F.lit(PIECE))
     full = with_content(spark, sf_dir, laid)
     expected = L.piece_digests(L.piece_slices(full, PIECE))

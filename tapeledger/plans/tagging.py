@@ -11,6 +11,7 @@ from tapeledger.operators import setlist as L
 from tapeledger.operators import tags as G
 from tapeledger.operators.ordered import attach, longest_set, number_rows
 from tapeledger.plans import standins as S
+from tapeledger.session import stored
 from tapeledger.sources.text import split_titles
 
 FIELDS = list(T.TAG_FIELDS)
@@ -105,12 +106,16 @@ def titles(spark, sf_dir):
 def runs(spark, sf_dir):
     """Tracks with a disc number that comes and goes, in runs."""
     rows, longest = S.tags(spark, sf_dir)
+    return in_runs(rows, longest), rows, longest
+
+
+def in_runs(rows, longest):
     flac = number_rows(rows.filter("format = 'FLAC'").drop("track_number"), ["set_id"], ["ordinal"], "place", longest=longest)
     named = flac.select(
         "set_id", F.col("place").alias("ordinal"), (F.col("place") + 1).alias("track_number"), "title", "frames", "sample_rate",
         F.expr(FILE_NAME).alias("file_name"), is_cdda(F.col("sample_rate"), F.lit(2), F.lit(16)).alias("is_cdda"),
     )
-    return L.disc_runs(L.label_tracks(named), longest), rows, longest
+    return L.disc_runs(L.label_tracks(named), longest)
 
 
 FILE_NAME = """CASE WHEN l_partkey % 3 = 0 THEN 'gd1977-05-08d1t' || CAST(10 + l_partkey % 5 AS STRING) || '.flac'
@@ -145,9 +150,12 @@ def text_files(spark, sf_dir):
 
 
 def problems(spark, sf_dir):
-    numbered, rows, _ = runs(spark, sf_dir)
+    """The numbered tags are read by every rule, so they are kept; rules about single files need no runs."""
+    rows, longest = S.tags(spark, sf_dir)
+    rows = stored(rows, "tags")
     inventory = rows.withColumn("file_name", F.expr(FILE_NAME))
-    return L.setlist_problems(inventory, numbered, rows.filter("format = 'FLAC'"), numbered, text_files(spark, sf_dir))
+    flac = inventory.filter("format = 'FLAC'")
+    return L.setlist_problems(inventory, flac, flac, in_runs(rows, longest), text_files(spark, sf_dir))
 
 
 def rendered(spark, sf_dir):

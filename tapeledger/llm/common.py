@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,9 @@ def new_table(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_PLACES: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and it outlives lost executors."""
     spark = df.sparkSession
@@ -51,7 +55,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PLACES[table] = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once everything that reads them is written itself."""
+    for table in tables:
+        path = _PLACES.pop(table, None)
+        if path is not None:
+            java = table.sparkSession._jvm
+            place = java.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -9,18 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeledger.llm.common import packed, quoted, read, written
+from tapeledger.llm.common import dropped, packed, quoted, read, written
 from tapeledger.llm.components import components, hooked
 from tapeledger.llm.wordhash import SHINGLE, chunks, mixed, shingles, words
 
 NUMBER, OF = 3, 4  # two sets are linked at a Jaccard similarity of NUMBER / OF or more
 COUNTERS = 1 << 20  # counters of the frequency sketch, whatever the size of the corpus
 SLICE = 1 << 14
-MASK_BITS = 1 << 20  # bits of the mask of wanted ids, whatever their number
+MASK_BITS = (1 << 20, 1 << 27)  # fewest and most bits of the mask of wanted ids; eight for each of them in between
 NO_ID = -(1 << 63)
 ORDERS = (11, 12)  # salts of the token orders
 STARS = 8  # orders by hash under which sets are first brought together
 EARLY_ROUNDS = 2  # verifications of two pairs a component, before that of all pairs left
+HELD = 400_000  # token rows a task puts together
 EXTRA = 20  # one further prefix token in so many, and one further shared token asked for
 
 TOKEN_ROWS = "token long, id long, n int, e int, place int, deal int"
@@ -151,34 +152,34 @@ def _of_several(rows: DataFrame) -> DataFrame:
     return found.filter(shared).drop("a", "b", "top", "deal")
 
 
-def _alive(nodes: DataFrame, sized: DataFrame, classes, k: int) -> DataFrame:
-    """Ids whose sets share enough prefix tokens with others to be similar to one: a necessary condition.
+def _alive(nodes: DataFrame, sized: DataFrame, groups: DataFrame, classes, k: int) -> DataFrame:
+    """One id of each set that shares enough prefix tokens with other sets to be similar to one: a necessary condition.
 
-    Only token and id are shuffled, for one row a set and task; in a prefix longer by some, as many
+    Only token and signature are shuffled, for one row a set and task: equal sets, in whatever
+    tasks, are one set here, so a token that only copies of one text have is not shared. In a prefix longer by some, as many
     more tokens must be shared, which a passage common to two texts that differ otherwise is not.
     """
 
     def run(batches):
         table, seen = classes.value, set()
         for batch in batches:
-            ids, held, size = batch.column(0).to_pylist(), [], 0
-            for row, tokens in _sets(batch.column(1), k):
+            held, size = [], 0
+            for _, tokens in _sets(batch.column(0), k):
                 signature = _signature(tokens)
                 if not len(tokens) or signature in seen:
                     continue
                 seen.add(signature)
-                held.append((ids[row], _ordered(tokens, table, ORDERS[0])[: _long_prefix(len(tokens))]))
+                held.append((signature[0], _ordered(tokens, table, ORDERS[0])[: _long_prefix(len(tokens))]))
                 size += len(held[-1][1])
-                if size > 1_000_000:
+                if size > HELD:
                     yield _pairs(held)
                     held, size = [], 0
             yield _pairs(held)
 
-    rows = nodes.mapInArrow(run, "token long, id long, deal int")
-    shared = _of_several(rows).groupBy("id").count()
+    rows = nodes.select("text").mapInArrow(run, "token long, id long, deal int")
+    shared = _of_several(rows).groupBy("id").count().withColumnRenamed("id", "s1")
     need = 1 + F.floor((NUMBER * F.col("n") + OF - 1) / OF).cast("long") / EXTRA
-    sizes = sized.groupBy("id").agg(F.min("n").alias("n"))
-    return shared.join(sizes, "id").filter(F.col("count") >= F.floor(need)).select("id")
+    return shared.join(groups, "s1").filter(F.col("count") >= F.floor(need)).select(F.col("v").alias("id")).distinct()
 
 
 def _pairs(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -200,7 +201,7 @@ def _held(batches, rows_of):
         for i, n, tokens in _lists(batch):
             rows.append((i, n, len(tokens), rows_of(n, tokens)))
             size += len(rows[-1][3])
-            if size > 1_000_000:
+            if size > HELD:
                 yield _token_batch(rows)
                 rows, size = [], 0
         yield _token_batch(rows)
@@ -227,8 +228,11 @@ def _shared(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _near(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose id is not in ``ids``, by a bit mask of fixed size."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(MASK_BITS))
+    """``rows`` without most of those whose id is not in ``ids`` (a written table), by a bit mask of bounded size."""
+    wanted, (bits, most) = 8 * ids.count(), MASK_BITS
+    while bits < min(wanted, most):
+        bits *= 2
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
     cell, bit = (slot / 32).cast("int"), F.pmod(slot, F.lit(32)).cast("int")
     bits = ids.select(cell.alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
     mask = F.broadcast(bits.groupBy("cell").agg(F.bit_or("bits").alias("mask")))
@@ -253,7 +257,7 @@ def _token_sets(nodes: DataFrame, k: int) -> DataFrame:
             for row, tokens in _sets(batch.column(1), k):
                 rows.append((ids[row], len(tokens), _signature(tokens)[0], tokens))
                 size += len(tokens)
-                if size > 1_000_000:
+                if size > HELD:
                     yield pack(rows)
                     rows, size = [], 0
             yield pack(rows)
@@ -314,7 +318,8 @@ def _stars(firsts: DataFrame) -> DataFrame:
     original of altered copies if it is there. A set is paired with a centre it meets under half of
     the orders or more.
     """
-    centre = firsts.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("e"), "id", "n", "e")).alias("c"))
+    firsts = written(firsts, "firsts")
+    centre = written(firsts.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("e"), "id", "n", "e")).alias("c")), "centres")
     met = firsts.join(centre, "token").filter(F.col("id") != F.col("c.id"))
     able = (OF + NUMBER) * F.least(F.col("e"), F.col("c.e")) >= NUMBER * (F.col("n") + F.col("c.n"))
     pairs = met.filter(able).groupBy(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).count()
@@ -329,7 +334,7 @@ def _candidates(shared: DataFrame, labels: DataFrame) -> DataFrame:
     the threshold asks for are not formed.
     """
     known = shared.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    mixed_tokens = known.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("token")
+    mixed_tokens = written(known.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").select("token"), "mixed")
     rows = known.join(mixed_tokens, "token", "left_semi")
     x, y = rows.alias("x"), rows.alias("y")
     rest = F.least(F.col("x.e") - F.col("x.place"), F.col("y.e") - F.col("y.place"))
@@ -377,7 +382,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with the links of all its rows; null ids are one node too, before all others, and its id stays
     null. No row is left out; an empty table gives an empty table; other columns are ignored.
 
-    Equal sets are one to begin with. Tokens are put in two global orders, both by classes of
+    Equal sets are one set. Tokens are put in two global orders, both by classes of
     estimated frequency (counted over all texts in a sketch of fixed size, so that passages common to
     many texts come last) and within a class by different hashes. Two similar sets share a token
     in their prefixes under every order. Sets that share too few tokens with all others go no
@@ -393,21 +398,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     summaries = written(_summaries(nodes, k), "summaries")
     classes = spark.sparkContext.broadcast(_frequency_classes(summaries))
     sized = summaries.filter("n IS NOT NULL").select("id", "n", "s1", "s2")
-    groups = sized.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("v"))
+    groups = written(sized.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("v")), "groups")
     equal = written(sized.join(groups, ["n", "s1", "s2"]).filter("id > v").select(F.col("id").alias("u"), "v").distinct(), "equal")
 
-    alive = written(_alive(nodes, sized, classes, k), "alive")
+    alive = written(_alive(nodes, sized, groups, classes, k), "alive")
     sets = written(_able_sets(_wanted(nodes, alive), sized, k), "sets")
     first = _shared(_prefixes(sets, classes, ORDERS[0]), "prefixes")
     second = _shared(_prefixes(sets, classes, ORDERS[1]), "prefixes")
+    dropped(alive, groups)
 
     stars = _stars(_smallest(sets))
     early = written(_verified(stars.join(equal, ["u", "v"], "left_anti"), sets), "links").unionAll(equal.select("u", "v"))
     labels = written(hooked(early).withColumnRenamed("node", "id"), "labels")
     both = written(_candidates(first, labels).join(_candidates(second, labels), ["u", "v"], "left_semi"), "candidates")
+    dropped(first, second, labels)
     tied = early
     for links in _linked(both, sets):
         tied = tied.unionAll(links)
+    tied = written(tied, "tied")
+    dropped(sets, both)
     final = components(tied).withColumnRenamed("node", "id")
 
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

@@ -14,7 +14,7 @@ from tapeledger.llm.wordhash import CHUNK, VALUES, mixed, powers, utf8
 
 LENGTH = 100  # bytes of a repeat
 GRAM = 32  # bytes by which suffixes are sampled
-BLOCK = 1_000_000  # sampled suffixes reduced together before they are shuffled
+BLOCK = 200_000  # rows reduced together before they are shuffled: seven numbers each, sorted, so some 40 MB in a task
 HOT = 512  # contexts of one gram in a block from which the gram is dealt over SALTS tasks
 SALTS = 64
 MASK_BITS = 1 << 20
@@ -95,6 +95,18 @@ def sampled_suffixes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return part[fresh], gram[place[fresh]], content, place[fresh], first, last
 
 
+def _sorted(held: list[tuple], n: int, keys) -> list[np.ndarray]:
+    """What was gathered as one sorted column after the other; ``held`` is emptied first, so rows are in memory once and a half."""
+    cols = []
+    for i in range(n):
+        cols.append(np.concatenate([part[i] for part in held]))
+    held.clear()
+    order = np.lexsort(keys(cols))
+    for i in range(n):
+        cols[i] = cols[i][order]
+    return cols
+
+
 def _suffix_rows(batches):
     """Sampled suffixes of all texts, those of equal context reduced to the first of a block.
 
@@ -105,10 +117,7 @@ def _suffix_rows(batches):
     held, count = [], 0
 
     def flush():
-        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        h, r, lead, more, ids, dups, at = cols
-        order = np.lexsort((at, dups, ids, more, lead, r, h))
-        h, r, lead, more, ids, dups, at = (c[order] for c in cols)
+        h, r, lead, more, ids, dups, at = _sorted(held, 7, lambda c: (c[6], c[5], c[4], c[3], c[2], c[1], c[0]))
         new_gram = np.concatenate([[True], h[1:] != h[:-1]])
         new = new_gram.copy()
         new[1:] |= (r[1:] != r[:-1]) | (lead[1:] != lead[:-1]) | (more[1:] != more[:-1])
@@ -132,7 +141,7 @@ def _suffix_rows(batches):
             count += len(gram)
             if count >= BLOCK:
                 yield from flush()
-                held, count = [], 0
+                count = 0
     if count:
         yield from flush()
 
@@ -215,10 +224,7 @@ def _window_rows(batches):
     held, count = [], 0
 
     def flush():
-        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-        h, g, ids, dups, at = cols
-        order = np.lexsort((at, dups, ids, g, h))
-        h, g, ids, dups, at = (c[order] for c in cols)
+        h, g, ids, dups, at = _sorted(held, 5, lambda c: (c[4], c[3], c[2], c[1], c[0]))
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         yield batch_of(h[new], g[new], ids[new], dups[new], at[new], np.zeros(int(new.sum()), np.int64))
@@ -259,7 +265,7 @@ def _window_rows(batches):
                 count += len(part)
                 if count >= BLOCK:
                     yield from flush()
-                    held, count = [], 0
+                    count = 0
     if count:
         yield from flush()
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tapeledger.llm.common import quoted, read
 from tapeledger.llm.wordhash import IS_SPACE, LOWERED, chunks
@@ -152,12 +154,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     edits away, both with A-Z lower-cased and white space runs as one space. Each item is cut into
     one piece more than that budget; a match leaves one piece unharmed, so exact hits of pieces give
     all candidates, which Myers' bit-parallel distance verifies. ``match_end`` counts code points
-    of the normalised document up to the end of the best match. Null and empty documents and items
+    of the normalised document up to the end of the best match; ``item_id`` is of any type. Null and empty documents and items
     match nothing; repeated documents give a row each, repeated items one. The items are searched
     for in blocks of bounded size, with one pass over the documents each; nothing is shuffled.
     """
     source = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
-    schema = "doc_id long, item_id long, distance int, match_end long"
+    kind = benchmark.schema["item_id"].dataType
+    schema = StructType().add("doc_id", "long").add("item_id", kind).add("distance", "integer").add("match_end", "long")
+    arrow = to_arrow_type(kind)
     names = ["doc_id", "item_id", "distance", "match_end"]
     out = docs.sparkSession.createDataFrame([], schema)
 
@@ -165,7 +169,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         rows = [(row, item, d, e) for row, hits in found for item, (d, e) in hits.items()]
         at, items, distances, ends = zip(*rows, strict=True) if rows else ((), (), (), ())
         ids = batch.column(0).take(pa.array(at, pa.int64()))
-        return pa.RecordBatch.from_arrays([ids, pa.array(items, pa.int64()), pa.array(distances, pa.int32()), pa.array(ends, pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([ids, pa.array(items, arrow), pa.array(distances, pa.int32()), pa.array(ends, pa.int64())], names=names)
 
     parts = [source.mapInArrow(lambda b, items=block: _searched(b, 1, items, rate, emit), schema) for block in item_blocks(benchmark)]
     for part in parts[1:]:
@@ -192,6 +196,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of ``docs``, with all their columns whatever their names, that contain no item of ``benchmark``; null and empty texts stay."""
     return without_hits(docs, read(spark, sf_dir, "benchmark"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeledger.llm.common import WORD, packed, quoted, read, unpacked, written
+from tapeledger.llm.common import WORD, packed, read, unpacked, written
 
 OURS = ["size", "source_size", "target", "copies", "taken"]
 WEIGHTS = (5, 2, 1)
@@ -55,6 +55,7 @@ def mix(
     seed: int = SEED,
     block_rows: int = BLOCK_ROWS,
     size_col: str | None = None,
+    key_cols: tuple[str, ...] = (),
 ) -> DataFrame:
     """How often each document enters a mixture of the sources, by systematic sampling.
 
@@ -68,7 +69,7 @@ def mix(
     each, an empty table gives an empty table, and a source without words has target 0.
 
     All columns of ``df`` go through one shuffle. Where only the numbers are wanted, pass narrow rows
-    with a column of sizes (``size_col``) in place of texts.
+    with a column of sizes (``size_col``) in place of texts; ``key_cols`` put rows of one size and id in order.
 
     A running number in a source is the number within a block of about ``block_rows`` documents
     plus the sizes of earlier blocks, so the largest source is sorted by many tasks.
@@ -90,7 +91,7 @@ def mix(
     counts = counts.groupBy(*SOURCE, F.pmod(spread_id, F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy(*SOURCE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*SOURCE, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    in_block = Window.partitionBy(*SOURCE, "block").orderBy("size", r[id_col])
+    in_block = Window.partitionBy(*SOURCE, "block").orderBy("size", r[id_col], *[r[c] for c in key_cols])
     numbered = rows.withColumn("nth", F.row_number().over(in_block)).join(before, [*SOURCE, "block"]).withColumn("nth", F.col("nth") + F.col("before"))
     crossed = F.floor(F.col("rate") * F.col("nth") + F.col("offset")) - F.floor(F.col("rate") * (F.col("nth") - 1) + F.col("offset"))
     out = numbered.select("r", "size", "source_size", "target", crossed.cast("long").alias("copies"))
@@ -112,8 +113,27 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixture, once for each time they are taken."""
-    return emitted(mix(docs)).select(*[quoted(c) for c in docs.columns], "copy", "size", "source_size", "target", "taken")
+    """The documents of the mixture, once for each time they are taken, numbered by ``copy``.
+
+    All columns of ``docs`` stay, but for those named as ``copy`` or a column that ``mix`` adds, which are
+    replaced. Null and empty texts have size 0 and may be taken; a null source is a source of its own; repeated
+    rows and rows of one or no id are documents each; an empty table gives an empty table.
+
+    Only ids, sources and sizes are numbered. Rows meet their numbers in one hash join that holds the numbers and
+    streams the texts. Ids are the keys; if some are repeated or null, rows are first numbered in a table.
+    """
+    ours = ["copy", "size", "source_size", "target", "taken"]
+    rows = packed(docs)
+    r = F.col("r")
+    ids = rows.select(r["doc_id"].alias("id")).groupBy("id").count()
+    if ids.filter("count > 1 OR id IS NULL").limit(1).count():
+        rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "rows")
+    else:
+        rows = rows.withColumn("key", r["doc_id"])
+    narrow = rows.select("key", r["doc_id"].alias("doc_id"), r["source"].alias("source"), word_count(r["text"]).alias("words"))
+    taken = emitted(mix(narrow, size_col="words", key_cols=("key",)))
+    numbers = written(taken.select("key", *ours), "numbers")
+    return unpacked(rows.join(numbers.hint("shuffle_hash"), "key"), docs.columns, ours)
 
 
 QUERIES = {

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapeledger.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, mixing, quality, substring_dedup, toxicity
+from tapeledger.llm.common import written
 from tapeledger.llm.components import components
 from tapeledger.llm.registry import all_queries
 from tapeledger.plans.standins import TABLES
@@ -467,8 +468,26 @@ def test_stages_keep_the_columns_of_documents(spark):
 @given
 def test_stages_take_odd_rows(spark):
     docs = table(spark, [*MESSY, (None, "null id"), (None, None), (4, "one")]).withColumn("source", F.lit(None).cast("string"))
+    docs = docs.withColumns({c: F.lit(9) for c in ("copy", "TARGET", "id", "key", "token", "item_id")})
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, DATA)
+        out = written(stage(spark, docs, DATA), "odd")  # written, so that names must not clash
         assert name == "mixing" or out.columns == docs.columns
         docs = out
-    assert docs.count() > 0
+    assert docs.count() > 0 and "TARGET" not in docs.columns and docs.filter("copy IS NULL OR size IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_the_mixing_stage_emits_what_the_mixture_takes(spark, repeated):
+    rows = [(i, words(i, 1 + i % 40)) for i in range(60)]
+    docs = table(spark, rows + rows if repeated else rows).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b"))
+    want = mixing.emitted(mixing.mix(docs.drop("size"))).groupBy("doc_id", "text", "size").count().collect()
+    got = mixing.mixing_stage(spark, docs, DATA).groupBy("doc_id", "text", "size").count().collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_items_of_any_type(spark):
+    item = words(9, 30)
+    bench = spark.createDataFrame([("x-1", item), (None, words(8, 30))], "item_id string, text string")
+    docs = table(spark, [(1, f"before {item} after"), (2, words(7, 30)), (3, words(8, 30)), (None, item)])
+    got = decontaminate.benchmark_hits(docs, bench).collect()
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in got) == [("1", "x-1"), ("3", "None"), ("None", "x-1")]

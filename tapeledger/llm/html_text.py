@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tapeledger.llm.common import quoted, read
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 HEAD_END = re.compile(r"</head(?=[\s>/])|<body(?=[\s>/])", re.I)
@@ -32,27 +34,36 @@ EMPTY = set("area base br col embed hr img input link meta param source track wb
 # Elements that are followed until their end because what they hold may not be the article.
 TRACKED = set("article main nav aside header footer form menu dialog search div section ul ol table td figure span p details dl".split())
 ALWAYS_BOILERPLATE = set("nav aside footer form menu dialog search".split())
-HINTS = set(
-    "ad ads advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup signin login register sidebar widget widgets related recommended recommendations share sharing social "
-    "comment comments reply replies respond discussion disqus breadcrumb breadcrumbs menu nav navbar navigation footer masthead copyright legal "
-    "search pagination pager toolbar skip side aside".split()
+# Names that elements other than the article go by, whatever they hold.
+SURE_NAMES = set(
+    "ad ads advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr popup modal overlay newsletter subscribe "
+    "subscription signup signin login register sidebar comment comments reply replies respond disqus breadcrumb breadcrumbs menu nav navbar navigation footer "
+    "masthead copyright pagination pager toolbar".split()
 )
+# Names that parts of an article go by as well: length, links and neighbours decide.
+HINTS = set("notice notices alert widget widgets related recommended recommendations share sharing social discussion legal search skip side aside".split())
 BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
-NO_ZONE, ARTICLE, BOILERPLATE = 0, 1, 2
+BOILERPLATE, HINTED, NO_ZONE, ARTICLE = 0, 1, 2, 3
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "zone")
 
 # The labelled table the tree is trained on: features as named above, then 1 for main text.
 LABELLED = [
-    # inside an article, whatever the length and the neighbours
+    # inside an article: all but links among links
     (1, 0.0, 40, 0.0, 55, 0.0, ARTICLE, 1), (3, 0.0, 0, 0.0, 30, 0.0, ARTICLE, 1), (9, 0.0, 8, 1.0, 60, 0.0, ARTICLE, 1), (60, 0.0, 9, 0.0, 2, 0.0, ARTICLE, 1),
     (120, 0.05, 60, 0.0, 4, 1.0, ARTICLE, 1), (2, 0.0, 120, 0.0, 3, 0.5, ARTICLE, 1), (35, 0.4, 50, 0.0, 20, 0.0, ARTICLE, 1), (12, 0.8, 30, 0.1, 40, 0.0, ARTICLE, 1),
     (5, 1.0, 45, 0.0, 50, 0.0, ARTICLE, 1), (250, 0.0, 250, 0.0, 0, 0.0, ARTICLE, 1), (1, 1.0, 20, 0.0, 25, 0.2, ARTICLE, 1), (18, 0.0, 1, 1.0, 1, 1.0, ARTICLE, 1),
+    (2, 0.0, 1, 1.0, 8, 0.0, ARTICLE, 1), (4, 0.0, 6, 0.0, 5, 0.0, ARTICLE, 1), (7, 1.0, 12, 0.0, 3, 1.0, ARTICLE, 1), (1, 0.0, 2, 1.0, 2, 1.0, ARTICLE, 1),
+    (2, 1.0, 1, 1.0, 3, 1.0, ARTICLE, 0), (1, 1.0, 2, 1.0, 1, 1.0, ARTICLE, 0), (4, 1.0, 3, 1.0, 2, 1.0, ARTICLE, 0), (6, 1.0, 5, 1.0, 7, 1.0, ARTICLE, 0),
     # inside menus, adverts, forms, notices, footers, comments
     (1, 1.0, 0, 0.0, 1, 1.0, BOILERPLATE, 0), (2, 1.0, 1, 1.0, 2, 1.0, BOILERPLATE, 0), (9, 0.0, 1, 1.0, 8, 0.0, BOILERPLATE, 0), (80, 0.0, 60, 0.0, 70, 0.0, BOILERPLATE, 0),
     (7, 0.2, 120, 0.0, 0, 0.0, BOILERPLATE, 0), (30, 0.0, 12, 0.0, 90, 0.0, BOILERPLATE, 0), (4, 0.0, 40, 0.0, 3, 1.0, BOILERPLATE, 0), (150, 0.1, 3, 0.0, 2, 0.0, BOILERPLATE, 0),
     (15, 0.6, 9, 0.0, 10, 1.0, BOILERPLATE, 0), (45, 0.0, 200, 0.0, 180, 0.0, BOILERPLATE, 0), (1, 0.0, 25, 0.0, 60, 0.0, BOILERPLATE, 0), (22, 1.0, 8, 0.5, 20, 1.0, BOILERPLATE, 0),
+    # in an element with a name that says little: long texts with few links stay, and what stands between such
+    (50, 0.0, 0, 0.0, 0, 0.0, HINTED, 1), (45, 0.1, 60, 0.0, 9, 0.0, HINTED, 1), (90, 0.0, 5, 1.0, 6, 1.0, HINTED, 1), (160, 0.05, 40, 0.0, 70, 0.0, HINTED, 1),
+    (30, 0.0, 55, 0.0, 60, 0.0, HINTED, 1), (35, 0.2, 80, 0.0, 45, 0.1, HINTED, 1), (70, 0.1, 0, 0.0, 3, 1.0, HINTED, 1), (28, 0.0, 45, 0.0, 2, 0.0, HINTED, 1),
+    (3, 0.0, 40, 0.0, 50, 0.0, HINTED, 0), (8, 0.0, 90, 0.0, 3, 1.0, HINTED, 0), (12, 0.3, 10, 0.0, 9, 0.0, HINTED, 0), (5, 1.0, 6, 1.0, 4, 1.0, HINTED, 0),
+    (15, 0.0, 3, 0.0, 2, 0.0, HINTED, 0), (40, 0.8, 30, 0.9, 25, 1.0, HINTED, 0), (60, 0.7, 50, 0.0, 9, 0.0, HINTED, 0), (10, 0.0, 60, 0.0, 80, 0.0, HINTED, 0),
     # no element that says what it is: length, links and neighbours decide
     (60, 0.0, 5, 0.0, 70, 0.0, NO_ZONE, 1), (45, 0.1, 80, 0.0, 60, 0.1, NO_ZONE, 1), (120, 0.05, 0, 0.0, 3, 1.0, NO_ZONE, 1), (30, 0.0, 90, 0.0, 2, 1.0, NO_ZONE, 1),
     (20, 0.0, 40, 0.0, 50, 0.0, NO_ZONE, 1), (6, 0.0, 60, 0.0, 75, 0.0, NO_ZONE, 1), (3, 0.0, 50, 0.0, 45, 0.0, NO_ZONE, 1), (8, 0.0, 2, 1.0, 90, 0.0, NO_ZONE, 1),
@@ -125,8 +136,10 @@ def _zone(tag: str, attributes: str, outer: int, has_article: bool) -> int | Non
         return None
     names = {p.lower() for key in ("class", "id") if key in values for p in NAME_PART.findall(values[key])}
     role = values.get("role", "").lower()
-    if outer == BOILERPLATE or tag in ALWAYS_BOILERPLATE or role in BOILERPLATE_ROLES or names & HINTS:
+    if outer == BOILERPLATE or tag in ALWAYS_BOILERPLATE or role in BOILERPLATE_ROLES or names & SURE_NAMES:
         return BOILERPLATE
+    if names & HINTS:
+        return HINTED
     if outer != ARTICLE and (tag == "header" or "header" in names):
         return BOILERPLATE
     if tag == "article" or role == "article" or (not has_article and (tag == "main" or role == "main")):
@@ -134,9 +147,60 @@ def _zone(tag: str, attributes: str, outer: int, has_article: bool) -> int | Non
     return outer
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, lower-case name, whether it closes, and attributes of every tag; comments and declarations have no name.
+
+    Goes forward only. A ``>`` in quotes does not end a tag; once a tag is found that so has no end, the
+    rest of the page is read without regard to quotes. The caller may send the place to go on from.
+    """
+    at, quotes, last = 0, True, html.rfind(">")
+    while True:
+        start = html.find("<", at)
+        if start < 0:
+            return
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            end = len(html) if end < 0 else end + 3
+            at = (yield start, end, "", False, "") or end
+            continue
+        if start > last:
+            return
+        if html[start + 1 : start + 2] in ("!", "?"):
+            end = html.find(">", start) + 1
+            at = (yield start, end, "", False, "") or end
+            continue
+        name = NAME.match(html, start + 1)
+        if name is None:
+            at = start + 1
+            continue
+        end = _tag_end(html, name.end(), last) if quotes else -1
+        if end < 0:
+            quotes = False
+            end = html.find(">", name.end())
+            if end < 0:
+                return
+        word = name[0].lower()
+        at = (yield start, end + 1, word.lstrip("/"), word[0] == "/", html[name.end() : end]) or end + 1
+
+
+def _tag_end(html: str, at: int, last: int) -> int:
+    """The ``>`` that ends a tag, or -1."""
+    while at <= last:
+        stop = STOP.search(html, at)
+        if stop is None:
+            return -1
+        if stop[0] == ">":
+            return stop.start()
+        at = html.find(stop[0], stop.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
 def blocks(html: str) -> Iterator[Block]:
     """The text blocks of a page in order, with their words, words in links and zone."""
     stack: list[tuple[str, int]] = []
+    held: Counter = Counter()  # elements on the stack by name
     has_article = HAS_ARTICLE.search(html) is not None
     zone, link, at, pieces, linked = NO_ZONE, 0, 0, [], []
 
@@ -154,53 +218,64 @@ def blocks(html: str) -> Iterator[Block]:
         if link:
             linked.append(text)
 
-    while True:
-        found = TAG.search(html, at)
-        if found is None:
-            add(html[at:])
-            break
-        if found.start() > at:
-            add(html[at : found.start()])
-        at = found.end()
-        tag = found[2]
-        if tag is None:
-            continue
-        tag, closing, attributes = tag.lower(), found[1] == "/", found[3]
-        if tag == "br":
-            add(" ")
-            continue
+    found, headless = tags(html), False
+    step = next(found, None)
+    while step is not None:
+        start, end, tag, closing, attributes = step
+        if start > at:
+            add(html[at:start])
+        at, resume = end, None
         if tag in BLOCKS:
             yield from flush()
-        if closing:
+        if tag == "br":
+            add(" ")
+        elif tag and closing:
             if tag == "a":
                 link = 0
-            elif any(t == tag for t, _ in stack):
-                if tag not in BLOCKS and zone != stack[max(i for i, (t, _) in enumerate(stack) if t == tag)][1]:
-                    yield from flush()
-                while True:
-                    name, zone = stack.pop()
-                    if name == tag:
-                        break
-            continue
-        hides = False
-        if tag in TRACKED:
-            inner = _zone(tag, attributes, zone, has_article)
-            hides = inner is None
-            if not hides and tag not in EMPTY and not attributes.endswith("/"):
-                if tag == "p" and stack and stack[-1][0] == "p":
-                    zone = stack.pop()[1]  # a paragraph ends where the next begins
-                    inner = _zone(tag, attributes, zone, has_article)
-                if tag not in BLOCKS and inner != zone:
+            elif held[tag]:
+                place = len(stack) - 1
+                while stack[place][0] != tag:
+                    place -= 1
+                if tag not in BLOCKS and zone != stack[place][1]:
                     yield from flush()
-                stack.append((tag, zone))
-                zone = BOILERPLATE if inner is None else inner
-        if tag == "a":
-            link = 1
-        if (tag in SKIPPED or hides) and tag not in EMPTY and not attributes.endswith("/"):
-            at = _end_of(html, tag, at) if hides else _raw_end(html, tag, at)
+                zone = stack[place][1]
+                for name, _ in stack[place:]:
+                    held[name] -= 1
+                del stack[place:]
+        elif tag:
+            hides, whole = False, tag in EMPTY or attributes.endswith("/")
+            if tag in TRACKED:
+                inner = _zone(tag, attributes, zone, has_article)
+                hides = inner is None
+                if not hides and not whole:
+                    if tag == "p" and stack and stack[-1][0] == "p":
+                        held["p"] -= 1
+                        zone = stack.pop()[1]  # a paragraph ends where the next begins
+                        inner = _zone(tag, attributes, zone, has_article)
+                    if tag not in BLOCKS and inner != zone:
+                        yield from flush()
+                    stack.append((tag, zone))
+                    held[tag] += 1
+                    zone = inner
+            if tag == "a":
+                link = 1
+            if (tag in SKIPPED or hides) and not whole and not (tag == "head" and headless):
+                resume = _end_of(html, tag, at) if hides else _raw_end(html, tag, at)
+                headless = headless or (tag == "head" and resume == at)  # looked for once
+                at = resume
+        step = next(found, None) if resume is None else _sent(found, resume)
+    add(html[at:])
     yield from flush()
 
 
+def _sent(found, at: int):
+    """The next tag from ``at`` on."""
+    try:
+        return found.send(at)
+    except StopIteration:
+        return None
+
+
 def _raw_end(html: str, tag: str, at: int) -> int:
     """After the end tag that closes an element whose content is not parsed; the end of the page if it has none."""
     if tag == "head":  # its end may be left out; then the body begins it
@@ -234,9 +309,10 @@ def extract_text(df: DataFrame, html_col: str = "html") -> DataFrame:
     Every page is split into flat blocks at block elements; scripts, styles and hidden elements are
     left out, character references decoded once and white space within a block joined. A decision
     tree trained on a small labelled table classes a block by its words and link density, those of
-    the blocks before and after it, and whether it stands in an article, in an element that names
-    itself boilerplate (by tag, role, class or id), or neither. A null page, and one without main
-    text, has an empty text; broken markup is read as far as it goes. Columns named as ours are
+    the blocks before and after it, and where it stands: in an article, in a menu, form, advert or the like (by tag, role or a name of
+    ``SURE_NAMES``), in an element with a name that parts of articles have as well (``HINTS``), or
+    none of these. A null page, and one without main text, has an empty text. Broken markup is read
+    to the end, in time that grows with its length: a tag without an end is text. Columns named as ours are
     replaced. One pass over the rows; nothing is shuffled and no page is cut.
     """
     columns = [c for c in df.columns if c != html_col and c.lower() not in ("text", "n_chars")]

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 from collections import Counter
 
 import duckdb
@@ -236,6 +237,35 @@ def test_html_without_an_article_element():
     assert html_text.main_text(f"<main><p>short</p><p>{long}", tree) == f"short\n\n{long}"
 
 
+def test_html_words_links_and_neighbours_decide():
+    tree = html_text.trained()
+    long, short = words(40, 50), words(41, 6)
+    # the same short block between long ones, and between links
+    assert short in html_text.main_text(f"<div>{long}</div><div>{short}</div><div>{long}</div>", tree)
+    links = "<div><a href=1>one two</a></div>"
+    assert short not in html_text.main_text(f"{links}<div>{short}</div>{links}", tree)
+    # the same long block as text, and as links
+    assert html_text.main_text(f"<div>{long}</div>", tree) == long
+    assert html_text.main_text(f"<div><a href=1>{long}</a></div>", tree) == ""
+    # inside an article: a link among texts, and links among links
+    assert html_text.main_text(f"<article><p>{long}</p><p><a href=1>{short}</a></p><p>{long}</p></article>", tree).count("\n\n") == 2
+    assert html_text.main_text(f"<article><p>{long}</p>{links}{links}{links}</article>", tree).count("one two") <= 2
+    # a name that says little does not decide alone
+    assert html_text.main_text(f'<div class="side-story">{long}</div>', tree) == long
+    assert html_text.main_text(f'<div class="side-story">{short}</div>', tree) == ""
+    assert html_text.main_text(f'<div class="comments"><p>{long}</p></div><form>{long}</form>', tree) == ""
+
+
+@pytest.mark.parametrize(
+    "page", ["<a " * 330_000, '<a "' * 250_000, "<div>" * 100_000 + "</span>" * 100_000, "<div>" * 60_000 + "<span></span>" * 60_000, '<a ">"' * 160_000, "<head>" * 160_000, "<" * 1_000_000, "<!-- " * 200_000,
+             "<p>" * 300_000, "<div hidden>" * 80_000, "<script>" * 120_000]
+)
+def test_html_of_a_megabyte_of_broken_markup(page):
+    start = time.time()
+    html_text.main_text(page, html_text.trained())
+    assert time.time() - start < 10
+
+
 @given
 def test_html_query_agrees_with_the_article_element(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}

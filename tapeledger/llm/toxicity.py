@@ -23,6 +23,7 @@ LANDMARKS = 160
 THRESHOLD = 0.7
 SURE = 0.75  # share of toxic texts among those with a run of letters, from which it is a first witness
 CLEAN_SHARE = 0.2  # a witness is at most this much as common in clean texts as in toxic ones
+FOLDS = 3  # parts of the sample, for the calibration
 BORDER = 0.3  # margin from which a word is a witness afterwards
 
 # Letters a-z are 1 to 26, bytes of other letters 27 to 58; all else but white space is left out, so
@@ -220,13 +221,16 @@ def train(texts: list[str], toxic: list[int], seed: int = 42) -> Machine:
     nearest to the border first. A subsequence kernel compares words; landmarks (witnesses and
     clean words) span the approximated feature space in which a linear machine is fitted. Its
     weights are then added up into one table over subsequences, so that scoring costs the same
-    for any number of landmarks. A third of the sample is kept for the calibration.
+    for any number of landmarks. The margins that the calibration sees are those of machines that were
+    not fitted to the text: each of ``FOLDS`` parts of the sample is judged by one fitted to the others.
+
+    The kernel is of order three over letters a-z and 32 codes for bytes of other letters; digits and ASCII signs are
+    left out, and a subsequence spans ``SPAN`` letters at most.
     """
     if not texts or len(set(toxic)) < 2:
         return Machine(np.zeros(LETTERS**3, np.float32), 0.0, 1e-3, 30.0 if toxic and all(toxic) else -30.0)
     column = pa.array(texts, pa.large_string())
     y = np.array(toxic)
-    fit = np.arange(len(y)) % 3 != 2
     bags: list[list[bytes]] = [[] for _ in texts]
     for first, data, offsets in chunks(column):
         stream, rows, starts, lengths = letter_words(data, offsets)
@@ -234,6 +238,23 @@ def train(texts: list[str], toxic: list[int], seed: int = 42) -> Machine:
         for r, s, n in zip(rows.tolist(), starts.tolist(), lengths.tolist(), strict=True):
             bags[first + r].append(raw[s : s + n])
     bags = [list(dict.fromkeys(b)) for b in bags]
+    # Folds by rank within each label, so that every fold has its share of a rare label.
+    fold = np.zeros(len(y), np.int64)
+    for v in (0, 1):
+        fold[y == v] = np.arange((y == v).sum()) % FOLDS
+    margin = np.zeros(len(y))
+    for f in range(FOLDS):
+        out = np.flatnonzero(fold == f)
+        if len(set(y[fold != f])) == 2 and len(out):
+            margin[out] = _fitted(bags, y, fold != f, seed).margins(column.take(pa.array(out)))
+    machine = _fitted(bags, y, np.ones(len(y), bool), seed)
+    told = (y == 0) | (margin > np.quantile(margin[y == 0], 0.9))
+    machine.slope, machine.shift = _logistic(margin[told], y[told])
+    return machine
+
+
+def _fitted(bags: list[list[bytes]], y: np.ndarray, fit: np.ndarray, seed: int) -> Machine:
+    """A machine fitted to some of the texts, not calibrated."""
     pieces = [Counter(), Counter()]
     for i in np.flatnonzero(fit):
         pieces[y[i]].update({w[j : j + 4] for w in bags[i] for j in range(max(1, len(w) - 3))})
@@ -292,10 +313,6 @@ def train(texts: list[str], toxic: list[int], seed: int = 42) -> Machine:
         witness = {i: w for i, w in found.items() if margins[index[w]] > BORDER} or witness
         near = sorted(clean, key=lambda b: -margins[index[b]])[: NEGATIVES // 4]
         chosen = list(dict.fromkeys(chosen[: NEGATIVES // 2] + near + chosen[NEGATIVES // 2 :]))[:NEGATIVES]
-    kept = np.flatnonzero(~fit) if (~fit).sum() >= 20 and len(set(y[~fit])) == 2 else np.arange(len(y))
-    margin = machine.margins(column.take(pa.array(kept))).astype(np.float64)
-    told = (y[kept] == 0) | (margin > np.quantile(margin[y[kept] == 0], 0.9))
-    machine.slope, machine.shift = _logistic(margin[told], y[kept][told])
     return machine
 
 
@@ -356,7 +373,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not toxic."""
+    """The documents that are not toxic, with all their columns whatever their names; null and empty texts stay."""
     machine = fitted(docs, read(spark, sf_dir, "labels"))
     return score_texts(docs, machine, keep=THRESHOLD)
 

@@ -2,8 +2,10 @@ import os
 import random
 import time
 from collections import Counter
+from itertools import combinations
 
 import duckdb
+import numpy as np
 import plain
 import pyarrow as pa
 import pytest
@@ -377,6 +379,43 @@ def test_toxicity_finds_gapped_and_stretched_insults():
     assert (score("", None, " \n") < 0.7).all() and score("x" * 100_000)[0] < 0.7
 
 
+def plain_kernel(a, b):
+    """Gap-weighted subsequences of three letters, all places of both words with each other."""
+
+    def features(word):
+        out = Counter()
+        for i, j, k in combinations(range(len(word)), 3):
+            if k - i < toxicity.SPAN:
+                out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i + 1)
+        size = sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, j, k in combinations(range(len(word)), 3) if k - i < toxicity.SPAN) ** 0.5
+        return {f: v / size for f, v in out.items()}
+
+    x, y = features(a), features(b)
+    return sum(v * y.get(f, 0) for f, v in x.items())
+
+
+def test_toxicity_kernel_agrees_with_a_plain_one():
+    known = ["moron", "moroon", "m0ron".replace("0", "o"), "worthless", "abc", "letters", "abracadabra", "moronically"]
+    codes = [bytes(toxicity.CODES[np.frombuffer(w.encode(), np.uint8)]) for w in known]
+    _, features = toxicity.expand(codes)
+    got = features @ features.T
+    for i, a in enumerate(known):
+        for j, b in enumerate(known):
+            assert got[i, j] == pytest.approx(plain_kernel(a, b), abs=1e-5)
+
+
+@given
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_toxicity_of_held_out_labels(spark, size):
+    folder = DATA.replace("0.001", size)
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = docs.join(labels.filter(~toxicity.training_fold(F.col("doc_id"))).select("doc_id", "toxic"), "doc_id")
+    found = toxicity.score_texts(held.select("doc_id", "text", "toxic"), toxicity.fitted(docs, labels))
+    told = Counter((r.toxic, r.score >= toxicity.THRESHOLD) for r in found.select("toxic", "score").collect())
+    assert told[1, True] >= 0.5 * (told[1, True] + told[1, False])
+    assert told[1, True] >= 0.9 * (told[1, True] + told[0, True])
+
+
 def test_toxicity_of_messy_rows(spark):
     machine = toxicity.train(*insulted(random.Random(6), ["moronix"], 300))
     df = table(spark, [*MESSY, (None, "moronix"), (4, "one")])

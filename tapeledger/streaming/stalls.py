@@ -164,7 +164,7 @@ class _Progress(StatefulProcessor):
                 place = (int(job),)
                 known = self.jobs.getValue(place) if self.jobs.containsKey(place) else (False, False)
                 seen = (known[0] or bool(started), known[1] or bool(ended))
-                if seen != tuple(known) or not (started or ended):
+                if seen != tuple(known):
                     submitted, done = submitted + seen[0] - known[0], done + seen[1] - known[1]
                     self.jobs.updateValue(place, seen)
         until = max(newest, timerValues.getCurrentWatermarkInMs()) + self.keep

@@ -26,15 +26,17 @@ SET = ["set_id"]
 VERSION = "2"
 
 
-def check_lists(spark: SparkSession, root: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+def check_lists(spark: SparkSession, root: str, recursive: bool = True, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Every entry of every list under ``root`` against the file it names, and refused lines.
 
-    Only files that a list names are opened, and only as far as its kind needs.
+    Only files that a list names are opened, and only as far as its kind needs. ``listed`` is what
+    ``list_files`` found there, if it is known already.
     """
     manifest, bad_lines = read_manifests(spark, root, recursive)
     wanted = manifest.select("dir", "file_name", "kind").distinct()
     named = wanted.withColumn("path", F.concat_ws("/", "dir", "file_name"))
-    present = list_files(spark, root, recursive).drop("reason").join(named, "path").withColumn("format", classify_format(F.col("path")))
+    listed = list_files(spark, root, recursive) if listed is None else listed
+    present = listed.drop("reason").join(named, "path").withColumn("format", classify_format(F.col("path")))
 
     none = {"stream": STREAM, "data_offset": "bigint", "data_len": "bigint", "reason": "string"}
     empty = {n: F.lit(None).cast(t) for n, t in none.items()}
@@ -158,18 +160,19 @@ def audit_collection(
     beside it, with a status each; its verdict, bad pieces and files it does not list; torrents REFUSED, with the
     reason; ``quick`` compares sizes only) and TAG (each tag field a file would change, from and to;
     UNCHANGED and NOT_TAGGABLE files). A bad folder, file or line is a row and stops
-    nothing. Totals count findings by section, set and status. Write each with ``audit_report``.
+    nothing. The tree is listed once. Totals count findings by section, set and status. Write each with ``audit_report``.
     """
-    checked, bad_lines = check_lists(spark, root, recursive)
-    inventory, unused = A.scan_inventory(spark, root, recursive)
+    there = list_files(spark, root, recursive)
+    checked, bad_lines = check_lists(spark, root, recursive, there)
+    inventory, unused = A.scan_inventory(spark, root, recursive, there)
     inventory = cut_lineage(inventory)
-    documents, refused = read_torrents(spark, root, recursive)
+    documents, refused = read_torrents(spark, root, recursive, there)
     documents = cut_lineage(documents)
     listed = torrent_files(documents)
     broken = cut_lineage(torrent_violations(rule_columns(documents), listed).filter(F.col("rule").isNotNull()))
     sound = documents.join(broken.select(*SET).distinct(), SET, "left_anti")
     beside = sound.select(*SET, dir_name(F.col("set_id")).alias("given"))
-    listing = list_files(spark, root, recursive).filter(F.col("reason").isNull())
+    listing = there.filter(F.col("reason").isNull())
     torrents = check_torrents(sound, beside, listing, quick)
     roots = torrents["roots"]
     files = torrents["files"].select(*SET, "ordinal", "status").join(listed.select(*SET, "ordinal", "path"), [*SET, "ordinal"])

@@ -142,12 +142,12 @@ def _inventoried(files: DataFrame, bare: bool) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def scan_inventory(spark: SparkSession, root: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Every audio file under ``root``, and those that could not be used with the reason.
+def scan_inventory(spark: SparkSession, root: str, recursive: bool = True, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every audio file under ``root`` (as ``listed``, if that is known), and those that could not be used with the reason.
 
     Both come from one lazily planned scan; write the inventory before reading it often.
     """
-    return _inventoried(list_files(spark, root, recursive), bare=False)
+    return _inventoried(list_files(spark, root, recursive) if listed is None else listed, bare=False)
 
 
 def collect_paths(

@@ -127,9 +127,9 @@ def decode_torrents(binary: DataFrame) -> tuple[DataFrame, DataFrame]:
     return documents, decoded.filter(F.col("reason").isNotNull()).select(*kept, "reason")
 
 
-def read_torrents(spark: SparkSession, paths, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Every ``.torrent`` in the given folders, ``set_id`` being its path; those refused, with folders that cannot be listed."""
-    listed = list_files(spark, paths, recursive)
+def read_torrents(spark: SparkSession, paths, recursive: bool = True, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every ``.torrent`` in the given folders (as ``listed``, if that is known), ``set_id`` being its path; those refused, with folders that cannot be listed."""
+    listed = list_files(spark, paths, recursive) if listed is None else listed
     found = listed.filter(F.col("reason").isNull() & F.col("path").endswith(".torrent"))
     documents, refused = decode_torrents(found.select(F.col("path").alias("set_id"), "path"))
     unlisted = listed.filter(F.col("reason").isNotNull()).select(F.col("path").alias("set_id"), "path", "reason")

@@ -95,7 +95,12 @@ def test_repair_plan_of_a_folder(spark, tmp_path):
     assert [(r.feasible, r.fully_fixed, r.boundaries_moved) for r in summary.collect()] == [(True, False, 1)]
 
 
-def test_a_collection_with_a_bad_folder(spark, tmp_path):
+def test_a_collection_with_a_bad_folder(spark, tmp_path, monkeypatch):
+    # The audit lists the tree itself, once, and hands the listing on.
+    calls, once = [], U.list_files
+    monkeypatch.setattr(U, "list_files", lambda *a: calls.append(a) or once(*a))
+    monkeypatch.delattr("tapeledger.sources.audio.list_files")
+    monkeypatch.delattr("tapeledger.sources.torrents.list_files")
     good, bad = tmp_path / "vault" / "good", tmp_path / "vault" / "bad"
     good.mkdir(parents=True)
     bad.mkdir()
@@ -113,6 +118,7 @@ def test_a_collection_with_a_bad_folder(spark, tmp_path):
     }
     assert any(r[:2] == ("REPAIR", "good") for r in got) and not any(r[:2] == ("REPAIR", "bad") for r in got)
     assert totals.agg(F.sum("findings")).first()[0] == found.count() and {r.output for r in made.collect()} == {r[0] for r in got}
+    assert len(calls) == 1
 
 
 def test_a_collection_with_torrents_and_tags(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -70,6 +71,14 @@ def dropped(*tables: DataFrame) -> None:
             place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system, where its C library can; a driver that trained a model keeps it otherwise."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):
+        pass
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else; the fast way where the text is plain ASCII."""
     plain = F.octet_length(text) == F.length(text)

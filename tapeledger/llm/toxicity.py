@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeledger.llm.common import quoted, read
+from tapeledger.llm.common import give_back, quoted, read
 from tapeledger.llm.wordhash import IS_SPACE, LOWERED, chunks, mixed, powers
 
 DECAY = 0.6  # weight of a subsequence for each letter it spans
@@ -232,12 +232,16 @@ def train(texts: list[str], toxic: list[int], seed: int = 42) -> Machine:
     column = pa.array(texts, pa.large_string())
     y = np.array(toxic)
     bags: list[list[bytes]] = [[] for _ in texts]
+    known: dict[bytes, bytes] = {}  # each word once in memory, however many texts hold it
     for first, data, offsets in chunks(column):
         stream, rows, starts, lengths = letter_words(data, offsets)
         raw = stream.tobytes()
         for r, s, n in zip(rows.tolist(), starts.tolist(), lengths.tolist(), strict=True):
-            bags[first + r].append(raw[s : s + n])
-    bags = [list(dict.fromkeys(b)) for b in bags]
+            word = raw[s : s + n]
+            bags[first + r].append(known.setdefault(word, word))
+        for r in set(rows.tolist()):
+            bags[first + r] = list(dict.fromkeys(bags[first + r]))
+    del known
     # Folds by rank within each label, so that every fold has its share of a rare label.
     fold = np.zeros(len(y), np.int64)
     for v in (0, 1):
@@ -247,6 +251,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 42) -> Machine:
         out = np.flatnonzero(fold == f)
         if len(set(y[fold != f])) == 2 and len(out):
             margin[out] = _fitted(bags, y, fold != f, seed).margins(column.take(pa.array(out)))
+            give_back()
     machine = _fitted(bags, y, np.ones(len(y), bool), seed)
     told = (y == 0) | (margin > np.quantile(margin[y == 0], 0.9))
     machine.slope, machine.shift = _logistic(margin[told], y[told])
@@ -255,9 +260,12 @@ def train(texts: list[str], toxic: list[int], seed: int = 42) -> Machine:
 
 def _fitted(bags: list[list[bytes]], y: np.ndarray, fit: np.ndarray, seed: int) -> Machine:
     """A machine fitted to some of the texts, not calibrated."""
+    runs = lambda i: {w[j : j + 4] for w in bags[i] for j in range(max(1, len(w) - 3))}
     pieces = [Counter(), Counter()]
-    for i in np.flatnonzero(fit):
-        pieces[y[i]].update({w[j : j + 4] for w in bags[i] for j in range(max(1, len(w) - 3))})
+    for i in np.flatnonzero(fit & (y == 1)):
+        pieces[1].update(runs(i))
+    for i in np.flatnonzero(fit & (y == 0)):  # only what toxic texts hold is asked for
+        pieces[0].update(r for r in runs(i) if r in pieces[1])
     n0, n1 = max(1, int((y[fit] == 0).sum())), max(1, int((y[fit] == 1).sum()))
 
     def surely(word: bytes) -> tuple[float, int]:
@@ -275,6 +283,7 @@ def _fitted(bags: list[list[bytes]], y: np.ndarray, fit: np.ndarray, seed: int)
     bags = {i: [w for w in bags[i] if w in able] for i in positive}
     found = {i: max((surely(w), w) for w in bags[i]) for i in positive}
     witness = {i: w for i, ((sure, _), w) in found.items() if sure >= SURE} or {i: w for i, (_, w) in found.items()}
+    del pieces
     clean = sorted(held[0])
     random = np.random.default_rng(seed)
     chosen = [clean[i] for i in random.permutation(len(clean))[: NEGATIVES // 2]]
@@ -335,7 +344,13 @@ def fitted(docs: DataFrame, labels: DataFrame, seed: int = 42) -> Machine:
     texts = docs.select(F.col("doc_id").alias("i"), "text").filter(F.length("text") <= SAMPLE_CHARS)
     rows = sorted((r["i"], r["text"], r["y"]) for r in texts.join(sample, "i").select("i", "text", "y").collect())
     order = np.random.default_rng(seed).permutation(len(rows))
-    return train([rows[i][1] for i in order], [rows[i][2] for i in order], seed)
+    sample = [rows[i][1] for i in order], [rows[i][2] for i in order]
+    del rows
+    give_back()
+    machine = train(*sample, seed)
+    del sample
+    give_back()
+    return machine
 
 
 def score_texts(df: DataFrame, machine: Machine, score_col: str = "score", text_col: str = "text", keep: float | None = None) -> DataFrame:

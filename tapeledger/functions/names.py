@@ -16,8 +16,18 @@ SHORT_YEAR_PIVOT = 30
 # Format tags a folder name may end with.
 FOLDER_FORMATS = ["shnf", "flac16", "flac24"]
 MAX_U32 = 4294967295
-# At least one letter; otherwise letters, digits, underscore and hyphen, in any script.
-BAND = r"^[\p{IsAlphabetic}\p{N}_-]*\p{IsAlphabetic}[\p{IsAlphabetic}\p{N}_-]*\z"
+# At least one letter; otherwise letters, digits, underscore and hyphen, in any script. The shortest that does.
+_LETTER = r"\p{IsAlphabetic}"
+_BAND = rf"[\p{{N}}_\-&&[^{_LETTER}]]*+{_LETTER}[{_LETTER}\p{{N}}_\-]*?"
+# Days that every year has, and the leap days of short (1931 to 2030) and long years. There is no year 0.
+_DAY = (
+    r"(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)"
+    r"|02-(?:0[1-9]|1[0-9]|2[0-8]))"
+)
+_FOURTH = r"(?:0[48]|[2468][048]|[13579][26])"
+_LONG_DATE = rf"(?:(?!0000)[0-9]{{4}}-{_DAY}|(?:[0-9]{{2}}{_FOURTH}|{_FOURTH}00)-02-29)"
+_SHORT_DATE = rf"(?:[0-9]{{2}}-{_DAY}|(?:00|{_FOURTH})-02-29)"
+BAND_DATE = rf"^({_BAND})(?:{_LONG_DATE}|{_SHORT_DATE})"
 
 
 def _calendar(year: Column, month: Column, day: Column) -> Column:
@@ -52,40 +62,25 @@ def render_show_date(date: Column, year_form: Column) -> Column:
 def split_band_date(stem: Column) -> Column:
     """(band, date, year_form, rest) at the first dash that has a date and a band around it.
 
-    At each dash the four-digit year is tried before the two-digit one. Which dash wins
-    depends on whether the date exists and the band is one, so no single pattern can decide.
+    ``BAND_DATE`` holds the calendar, so the shortest band it finds is the one. At each dash the
+    four-digit year comes before the two-digit one, because the band before it is shorter.
     """
-    looks_dated = stem.rlike(r"[0-9]{2}-[0-9]{2}-[0-9]{2}")
-    return F.when(looks_dated, let(F.split(stem, "-"), _first_dated_dash))
-
-
-def _first_dated_dash(cells: Column) -> Column:
-    def at_dash(k: Column) -> Column:
-        left = F.get(cells, k)
-        month = F.get(cells, k + 1)
-        after = F.get(cells, k + 2)
-        day = F.substring(after, 1, 2)
-        tail = F.slice(cells, k + 4, F.size(cells))
-        rest = F.array_join(F.concat(F.array(F.substring(after, 3, 1 << 30)), tail), "-")
-
-        def with_year(digits: int, form: str) -> Column:
-            year = F.right(left, F.lit(digits))
-            head = F.left(left, F.greatest(F.length(left) - digits, F.lit(0)))
-            band = F.array_join(F.concat(F.slice(cells, 1, k), F.array(head)), "-")
-            date = F.when(F.length(year) == digits, _calendar(_long_year(year), month, day))
-            found = F.struct(
-                band.alias("band"),
-                date.alias("date"),
-                F.lit(form).alias("year_form"),
-                rest.alias("rest"),
-            )
-            return let(found, lambda f: F.when(f["date"].isNotNull() & f["band"].rlike(BAND), f))
-
-        return F.coalesce(with_year(4, "LONG"), with_year(2, "SHORT"))
-
-    dashes = F.sequence(F.lit(0), F.greatest(F.size(cells) - 3, F.lit(0)))
-    found = F.filter(F.transform(dashes, at_dash), lambda c: c.isNotNull())
-    return F.get(found, F.lit(0))
+    return let(F.regexp_extract(stem, BAND_DATE, 1), lambda band: F.when(band != "", _at_date(stem, band)))
+
+
+def _at_date(stem: Column, band: Column) -> Column:
+    def from_date(dated: Column) -> Column:
+        long = F.substring(dated, 5, 1) == "-"
+        year = F.when(long, "").when(F.substring(dated, 1, 2) <= f"{SHORT_YEAR_PIVOT:02d}", "20").otherwise("19")
+        size = F.when(long, 10).otherwise(8)
+        return F.struct(
+            band.alias("band"),
+            F.concat(year, F.substring(dated, F.lit(1), size)).try_cast("date").alias("date"),
+            F.when(long, "LONG").otherwise("SHORT").alias("year_form"),
+            F.substring(dated, size + 1, F.length(dated)).alias("rest"),
+        )
+
+    return let(F.substring(stem, F.length(band) + 1, F.length(stem)), from_date)
 
 
 def parse_track_name(name: Column) -> Column:
@@ -97,27 +92,27 @@ def parse_track_name(name: Column) -> Column:
 
 def _after_date(head: Column, ext: Column) -> Column:
     shape = r"(?s)^(?:d([0-9]+))?t([0-9]+)(.*)\z"
-    rest = head["rest"]
-    disc_text, track_text, suffix = (F.regexp_extract(rest, shape, i) for i in (1, 2, 3))
-    disc, track = disc_text.try_cast("long"), track_text.try_cast("long")
-    valid = (
-        head.isNotNull()
-        & rest.rlike(shape)
-        & (track <= MAX_U32)
-        & ((disc_text == "") | F.coalesce(disc <= MAX_U32, F.lit(False)))
-    )
-    return F.when(
-        valid,
-        F.struct(
-            head["band"].alias("band"),
-            head["date"].alias("date"),
-            head["year_form"].alias("year_form"),
-            disc.alias("disc"),
-            track.alias("track"),
-            F.nullif(suffix, F.lit("")).alias("suffix"),
-            ext.alias("ext"),
-        ),
-    )
+    disc, track, suffix = (F.regexp_extract(head["rest"], shape, i) for i in (1, 2, 3))
+    # An empty text is not cast: a cast that fails is dear.
+    number = lambda text: F.when(text != "", text.try_cast("long"))
+    cells = F.struct(disc.alias("disc_text"), number(disc).alias("disc"), number(track).alias("track"), suffix.alias("suffix"))
+
+    def checked(v: Column) -> Column:
+        valid = (v["track"] <= MAX_U32) & ((v["disc_text"] == "") | F.coalesce(v["disc"] <= MAX_U32, F.lit(False)))
+        return F.when(
+            valid,
+            F.struct(
+                head["band"].alias("band"),
+                head["date"].alias("date"),
+                head["year_form"].alias("year_form"),
+                v["disc"].alias("disc"),
+                v["track"].alias("track"),
+                F.nullif(v["suffix"], F.lit("")).alias("suffix"),
+                ext.alias("ext"),
+            ),
+        )
+
+    return F.when(head.isNotNull(), let(cells, checked))
 
 
 def render_track_name(

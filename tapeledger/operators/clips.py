@@ -18,8 +18,10 @@ def clip_plan(tracks: DataFrame, modes: Sequence[str], max_bytes: int) -> DataFr
     """
     limit = F.lit(max_bytes).cast("long")
     rate = F.col("sample_rate").cast("double")
-    offered = tracks.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
-    parsed = offered.withColumns({"_m": parse_mode(F.col("mode")), "_secs": F.col("frames") / rate})
+    # A mode is parsed once and not on every row.
+    offer = F.array(*[F.struct(F.lit(m).alias("mode"), parse_mode(F.lit(m)).alias("m")) for m in modes])
+    offered = tracks.withColumn("_offer", F.explode(offer))
+    parsed = offered.withColumns({"mode": F.col("_offer.mode"), "_m": F.col("_offer.m"), "_secs": F.col("frames") / rate})
     kbps = F.col("_m.kbps")
     usual = parsed.withColumn("_default", default_clip(F.col("_secs"), kbps, limit))
     sized = usual.withColumn("_length", F.coalesce("length", "_default.length"))

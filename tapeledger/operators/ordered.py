@@ -23,6 +23,8 @@ from tapeledger.session import cut_lineage
 # Rows of one set that a single task may sort, unless the session sets its own bound.
 BLOCK_ROWS = 1 << 18
 BLOCK_ROWS_CONF = "spark.tapeledger.blockRows"
+# Rows a task gets when whole sets are dealt out: more rows make more tasks, not larger ones.
+TASK_ROWS = 1 << 17
 
 Aggregate = tuple[Callable[[Column], Column], Column]
 
@@ -31,10 +33,27 @@ def rows_per_block(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS)))
 
 
+def set_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows in the largest set and in all: one map-side combined count, two numbers to the driver."""
+    row = df.groupBy(*keys).count().agg(F.max("count").alias("n"), F.sum("count").alias("rows")).first()
+    return int(row["n"] or 0), int(row["rows"] or 0)
+
+
 def longest_set(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest set: one map-side combined count, one number to the driver."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return int(row["n"] or 0)
+    """Rows in the largest set."""
+    return set_sizes(df, keys)[0]
+
+
+def spread(df: DataFrame, keys: Sequence[str], rows: int | None, longest: int) -> DataFrame:
+    """Deal whole sets out to as many tasks as ``rows`` rows need at ``TASK_ROWS`` each.
+
+    The session's number of shuffle partitions holds for small inputs, where adaptive execution may
+    lower it, for sets that are cut into blocks, and when the number of rows is not known.
+    """
+    parts = -(-(rows or 0) // TASK_ROWS)
+    if longest > rows_per_block(df) or parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(parts, *keys)
 
 
 def number_rows(
@@ -43,15 +62,19 @@ def number_rows(
     order: Sequence[str | Column],
     ordinal: str = "ordinal",
     longest: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Add the 0-based position of each row in its set. ``order`` must have no ties."""
+    """Add the 0-based position of each row in its set. ``order`` must have no ties.
+
+    ``rows``, the number of all rows if it is known, sets the number of tasks; scans of the result keep it.
+    """
     keys = list(keys)
     longest = longest_set(df, keys) if longest is None else longest
     block_rows = rows_per_block(df)
     by_order = [F.col(c) if isinstance(c, str) else c for c in order]
     if longest <= block_rows:
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*by_order))
-        return df.withColumn(ordinal, (place - 1).cast("long"))
+        return spread(df, keys, rows, longest).withColumn(ordinal, (place - 1).cast("long"))
 
     # A range partitioning sorts a long set over many tasks. Its bounds are sampled, so the
     # partition number is fixed by a checkpoint before two branches read it.

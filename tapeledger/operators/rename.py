@@ -14,7 +14,7 @@ from tapeledger.functions.names import (
     parse_track_name,
     render_track_name,
 )
-from tapeledger.operators.ordered import attach
+from tapeledger.operators.ordered import attach, longest_set, rows_per_block
 from tapeledger.session import union_all
 
 SET = ["set_id"]
@@ -70,10 +70,19 @@ def rename_target(files: DataFrame, spec: DataFrame, keep_suffix: bool = True, l
     return joined.select(*SET, "ordinal", F.col("path").alias("from_path"), beside.alias("to_path"))
 
 
-def rename_collisions(plan: DataFrame) -> DataFrame:
-    """UNCHANGED, CHANGED, or COLLISION when a set has several files for one name."""
-    uses = plan.groupBy(*SET, "to_path").agg(F.count(F.lit(1)).alias("_uses"))
-    return plan.join(uses, [*SET, "to_path"]).select(
+def rename_collisions(plan: DataFrame, longest: int | None = None) -> DataFrame:
+    """UNCHANGED, CHANGED, or COLLISION when a set has several files for one name.
+
+    Short sets are counted where they stand. Names of a long set are counted apart and joined.
+    """
+    longest = longest_set(plan, SET) if longest is None else longest
+    if longest <= rows_per_block(plan):
+        uses = F.count(F.lit(1)).over(Window.partitionBy(*SET, "to_path"))
+        counted = plan.withColumn("_uses", uses).filter(F.col("set_id").isNotNull() & F.col("to_path").isNotNull())
+    else:
+        counts = plan.groupBy(*SET, "to_path").agg(F.count(F.lit(1)).alias("_uses"))
+        counted = plan.join(counts, [*SET, "to_path"])
+    return counted.select(
         *plan.columns,
         F.when(F.col("_uses") > 1, "COLLISION")
         .when(F.col("to_path") == F.col("from_path"), "UNCHANGED")

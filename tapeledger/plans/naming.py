@@ -96,8 +96,8 @@ FROM {base}"""
 
 
 def collisions(spark, sf_dir):
-    rows, _ = S.names(spark, sf_dir)
-    return R.rename_collisions(spark.sql(PLAN, base=rows)), rows
+    rows, longest = S.names(spark, sf_dir)
+    return R.rename_collisions(spark.sql(PLAN, base=rows), longest), rows
 
 
 def conflicts(spark, sf_dir):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeledger.operators.ordered import longest_set, number_rows
+from tapeledger.operators.ordered import number_rows, set_sizes, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -63,9 +63,14 @@ FROM {lineitem}"""
 
 def tracks(spark: SparkSession, sf_dir: str, text: str = CD_TRACKS) -> tuple[DataFrame, int]:
     """Numbered tracks and the length of the longest set."""
-    longest = longest_set(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
-    rows = number_rows(select(spark, sf_dir, text), ["set_id"], LINE_ORDER, longest=longest)
-    return rows.drop(*LINE_ORDER), longest
+    return sized_tracks(spark, sf_dir, text)[:2]
+
+
+def sized_tracks(spark: SparkSession, sf_dir: str, text: str = CD_TRACKS) -> tuple[DataFrame, int, int]:
+    """Numbered tracks, the length of the longest set and the number of all."""
+    longest, lines = set_sizes(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
+    rows = number_rows(select(spark, sf_dir, text), ["set_id"], LINE_ORDER, longest=longest, rows=lines)
+    return rows.drop(*LINE_ORDER), longest, lines
 
 
 def tracks_sql(text: str = CD_TRACKS) -> str:
@@ -80,6 +85,13 @@ SELECT l_orderkey AS set_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice
        o_orderkey % 10 AS shape
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey"""
 
+# The two sides of the same join, for the Spark side.
+NAME_LINES = "SELECT l_orderkey AS set_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM {lineitem}"
+NAME_SHOWS = """
+SELECT o_orderkey AS set_id, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, lower(substr(c_mktsegment, 1, 2)) AS band,
+       o_orderkey % 10 AS shape
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
+
 # Well-formed names of every kind, and names that only look like one.
 NAMED = """
 SELECT set_id, ordinal, band, day, l_partkey, l_suppkey, folder, file_name,
@@ -106,9 +118,16 @@ FROM (SELECT *,
 
 
 def names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    longest = longest_set(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
-    rows = number_rows(select(spark, sf_dir, NAME_ROWS), ["set_id"], LINE_ORDER, longest=longest)
-    return spark.sql(NAMED, base=rows), longest
+    """Numbered names and the length of the longest set."""
+    return sized_names(spark, sf_dir)[:2]
+
+
+def sized_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """The rows of ``NAME_ROWS``, numbered and named: shows first, so that lines move once, to their set."""
+    longest, lines = set_sizes(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
+    sides = [spread(select(spark, sf_dir, text), ["set_id"], lines, longest) for text in (NAME_LINES, NAME_SHOWS)]
+    rows = number_rows(sides[0].join(sides[1], "set_id"), ["set_id"], LINE_ORDER, longest=longest)
+    return spark.sql(NAMED, base=rows), longest, lines
 
 
 def names_sql() -> str:
@@ -155,8 +174,8 @@ FROM {orders}"""
 
 
 def tags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    longest = longest_set(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
-    rows = number_rows(select(spark, sf_dir, TAG_ROWS), ["set_id"], LINE_ORDER, longest=longest)
+    longest, lines = set_sizes(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
+    rows = number_rows(select(spark, sf_dir, TAG_ROWS), ["set_id"], LINE_ORDER, longest=longest, rows=lines)
     return rows, longest
 
 

@@ -14,7 +14,7 @@ from tapeledger.functions.names import (
     parse_track_name,
     render_track_name,
 )
-from tapeledger.operators.ordered import attach, longest_set, rows_per_block
+from tapeledger.operators.ordered import attach, longest_set, rows_per_block, spread
 from tapeledger.session import union_all
 
 SET = ["set_id"]
@@ -91,41 +91,43 @@ def rename_collisions(plan: DataFrame, longest: int | None = None) -> DataFrame:
     )
 
 
-def judged_plan(plan: DataFrame, inventory: DataFrame) -> DataFrame:
+def judged_plan(plan: DataFrame, inventory: DataFrame, rows: int | None = None) -> DataFrame:
     """``plan`` (``set_id, ordinal, from_path, to_path``) with ``status`` and ``conflict``, in one pass over paths.
 
     Every path is a row for each way it is met: as a target, as a source of its set, as a file on disk.
     One shuffle by path brings these together; nothing is joined. A target is in conflict if it is a
-    changed name, is on disk, and no file of its set leaves it.
+    changed name, is on disk, and no file of its set leaves it. Whether a file stays is told before
+    paths move, so rows carry one path unless ``from_path`` is asked for. ``rows``, how many rows all of this is, sets the number of tasks.
     """
     role = lambda path, is_target: F.struct(F.col(path).alias("path"), F.lit(is_target).alias("is_target"))
-    met = plan.select(*SET, "ordinal", "from_path", F.explode(F.array(role("to_path", True), role("from_path", False))).alias("m"))
-    met = met.select(*SET, "ordinal", "from_path", "m.path", "m.is_target", F.lit(False).alias("on_disk"))
+    stays = (F.col("to_path") == F.col("from_path")).alias("stays")
+    met = plan.select(*SET, "ordinal", "from_path", stays, F.explode(F.array(role("to_path", True), role("from_path", False))).alias("m"))
+    met = met.select(*SET, "ordinal", "from_path", "stays", "m.path", "m.is_target", F.lit(False).alias("on_disk"))
     empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in met.schema.fields}
     disk = inventory.filter(F.col("path").isNotNull()).select(
-        *[empty[c] for c in (*SET, "ordinal", "from_path")], "path", F.lit(False).alias("is_target"), F.lit(True).alias("on_disk")
+        *[empty[c] for c in (*SET, "ordinal", "from_path", "stays")], "path", F.lit(False).alias("is_target"), F.lit(True).alias("on_disk")
     )
     by_path, in_set = Window.partitionBy("path"), Window.partitionBy("path", *SET)
-    seen = union_all(met, disk).withColumns(
+    seen = spread(union_all(met, disk), ["path"], rows, 0).withColumns(
         {
             "_disk": F.max("on_disk").over(by_path),
             "_uses": F.count_if("is_target").over(in_set),
             "_left": F.max(~F.col("is_target") & ~F.col("on_disk")).over(in_set),
         }
     )
-    status = F.when(F.col("_uses") > 1, "COLLISION").when(F.col("path") == F.col("from_path"), "UNCHANGED").otherwise("CHANGED")
+    status = F.when(F.col("_uses") > 1, "COLLISION").when(F.col("stays"), "UNCHANGED").otherwise("CHANGED")
     conflict = (status == "CHANGED") & F.col("_disk") & ~F.col("_left")
     return seen.filter("is_target").select(*SET, "ordinal", "from_path", F.col("path").alias("to_path"), status.alias("status"), conflict.alias("conflict"))
 
 
-def rename_conflicts(plan: DataFrame, inventory: DataFrame) -> DataFrame:
+def rename_conflicts(plan: DataFrame, inventory: DataFrame, rows: int | None = None) -> DataFrame:
     """Changed targets that exist on disk and are not themselves being renamed."""
-    return judged_plan(plan, inventory).filter("conflict").select(*SET, "ordinal", "to_path")
+    return judged_plan(plan, inventory, rows).filter("conflict").select(*SET, "ordinal", "to_path")
 
 
-def rename_report(plan: DataFrame, inventory: DataFrame) -> DataFrame:
+def rename_report(plan: DataFrame, inventory: DataFrame, rows: int | None = None) -> DataFrame:
     """``rename_verdict`` from plan and inventory alone."""
-    counts = judged_plan(plan, inventory).groupBy(*SET).agg(
+    counts = judged_plan(plan, inventory, rows).groupBy(*SET).agg(
         F.count_if(F.col("status") == "CHANGED").alias("changed"),
         F.count_if(F.col("status") == "COLLISION").alias("colliding"),
         F.min(F.when(F.col("conflict"), F.col("to_path"))).alias("conflict"),

@@ -101,13 +101,13 @@ def collisions(spark, sf_dir):
 
 
 def conflicts(spark, sf_dir):
-    rows, _ = S.names(spark, sf_dir)
-    return R.rename_conflicts(spark.sql(PLAN, base=rows), spark.sql(EXISTING, base=rows))
+    rows, _, lines = S.sized_names(spark, sf_dir)
+    return R.rename_conflicts(spark.sql(PLAN, base=rows), spark.sql(EXISTING, base=rows), 3 * lines)
 
 
 def verdicts(spark, sf_dir):
-    rows, _ = S.names(spark, sf_dir)
-    return R.rename_report(spark.sql(PLAN, base=rows), spark.sql(EXISTING, base=rows))
+    rows, _, lines = S.sized_names(spark, sf_dir)
+    return R.rename_report(spark.sql(PLAN, base=rows), spark.sql(EXISTING, base=rows), 3 * lines)
 
 
 # Paths where a file and a folder share the start of their names.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeledger.functions.formats import tracker_responds, tracker_usable
 from tapeledger.functions.tags import fill_passkey
-from tapeledger.operators.ordered import first_occurrence, scan_sets
+from tapeledger.operators.ordered import first_occurrence, longest_set, rows_per_block, scan_sets, spread
 from tapeledger.session import union_all
 
 SET = ["set_id"]
@@ -51,17 +51,20 @@ def catalogue_counts(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def resolve_trackers(specs: DataFrame, catalogue: DataFrame, keys: DataFrame, longest: int | None = None) -> DataFrame:
+def resolve_trackers(
+    specs: DataFrame, catalogue: DataFrame, keys: DataFrame, longest: int | None = None, rows: int | None = None
+) -> DataFrame:
     """One row per spec: its URL and tier, its warning, and why its set is refused.
 
     ``specs``: ``set_id, ordinal, spec``; ``catalogue``: choosable entries, one per id; ``keys``:
     ``id, passkey``. A spec with a scheme is a URL and is used as it is. The first refusal in a
-    set refuses the set, whose rows then carry no URL.
+    set refuses the set, whose rows then carry no URL. ``rows``, how many specs there are, sets the number of tasks.
     """
+    longest = longest_set(specs, SET) if longest is None else longest
     entries = catalogue.withColumnRenamed("id", "spec").withColumn("_known", F.lit(True))
     # An id with keys in several lists has one row all the same.
     one_key = keys.groupBy(F.col("id").alias("spec")).agg(F.max("passkey").alias("passkey"))
-    found = specs.join(entries, "spec", "left").join(one_key, "spec", "left")
+    found = specs.join(entries.join(one_key, "spec", "full"), "spec", "left")
     is_url = F.contains("spec", F.lit("://"))
     url = F.when(is_url, F.col("spec")).otherwise(fill_passkey(F.col("announce"), F.col("passkey")))
     health = F.when(~is_url, F.col("health"))
@@ -79,7 +82,7 @@ def resolve_trackers(specs: DataFrame, catalogue: DataFrame, keys: DataFrame, lo
         F.when(health == "UNREACHABLE", "UNREACHABLE").when(health == "PERSONAL_UPLOAD", "PERSONAL_UPLOAD").alias("_health_warning"),
     )
     sourced = scan_sets(
-        own,
+        spread(own, SET, rows, longest),
         SET,
         totals={
             "_first_source": (F.min, F.when(F.col("_source").isNotNull(), F.struct("ordinal", "_source"))),
@@ -89,7 +92,13 @@ def resolve_trackers(specs: DataFrame, catalogue: DataFrame, keys: DataFrame, lo
     )
     conflict = F.when(F.col("_source") != F.col("_first_source._source"), "SOURCE_CONFLICT")
     refusal = F.coalesce("_refusal", conflict)
-    flagged = first_occurrence(sourced.withColumn("_refusal", refusal), [*SET, "url"], F.col("ordinal"))
+    judged = sourced.withColumn("_refusal", refusal)
+    if longest <= rows_per_block(specs):
+        # A short set is whole where it stands.
+        firsts = scan_sets(judged, [*SET, "url"], totals={"_first": (F.min, F.col("ordinal"))}, longest=longest)
+        flagged = firsts.withColumn("is_first", F.col("ordinal") == F.col("_first"))
+    else:
+        flagged = first_occurrence(judged, [*SET, "url"], F.col("ordinal"))
     first = F.coalesce("is_first", F.lit(False))
     scanned = scan_sets(
         flagged,

@@ -63,10 +63,10 @@ def merged(spark, sf_dir):
 
 
 def resolved(spark, sf_dir):
-    rows, longest = S.tracks(spark, sf_dir, SPECS)
+    rows, longest, lines = S.sized_tracks(spark, sf_dir, SPECS)
     keys, _ = parse_passkeys(list_lines(spark, sf_dir, KEY_LINES))
     bundled = S.select(spark, sf_dir, BUNDLED).drop("entry_no")
-    return C.resolve_trackers(rows, bundled, keys.drop("list_path"), longest)
+    return C.resolve_trackers(rows, bundled, keys.drop("list_path"), longest, lines)
 
 
 def resolved_rows(spark, sf_dir):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapeledger.functions.display import duration_short
 from tapeledger.functions.formats import tick_secs, ticks
 from tapeledger.functions.names import parse_track_name, track_label
-from tapeledger.operators.ordered import attach, number_rows, scan_sets, text_parts
+from tapeledger.operators.ordered import attach, number_rows, scan_sets, spread, text_parts
 from tapeledger.functions.tags import SHOW_FIELDS
 from tapeledger.operators.tags import show_values
 from tapeledger.session import union_all
@@ -68,15 +68,16 @@ def set_total(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*SET).agg(tick_secs(F.coalesce(F.sum(_length()), F.lit(0))).alias("secs"))
 
 
-def other_text_files(plan: DataFrame, inventory: DataFrame) -> DataFrame:
+def other_text_files(plan: DataFrame, inventory: DataFrame, rows: int | None = None) -> DataFrame:
     """``.txt`` files of a folder other than its planned info file.
 
-    ``plan``: ``set_id, dir, info_file``; ``inventory``: ``dir, file_name``.
+    ``plan``: ``set_id, dir, info_file``; ``inventory``: ``dir, file_name``, of
+    ``rows`` rows if that is known.
     """
     texts = inventory.filter(F.col("file_name").rlike(r"(?i)^.+\.txt\z")).select("dir", "file_name")
     planned = plan.select("dir", F.col("info_file").alias("file_name"))
-    kept = texts.join(planned, ["dir", "file_name"], "left_anti")
-    return kept.join(plan.select(*SET, "dir"), "dir").select(*SET, "file_name")
+    kept = spread(texts, ["dir", "file_name"], rows, 0).join(planned, ["dir", "file_name"], "left_anti")
+    return spread(kept, ["dir"], rows, 0).join(plan.select(*SET, "dir"), "dir").select(*SET, "file_name")
 
 
 def setlist_problems(

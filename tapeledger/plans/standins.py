@@ -174,9 +174,15 @@ FROM {orders}"""
 
 
 def tags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Numbered tags and the length of the longest set."""
+    return sized_tags(spark, sf_dir)[:2]
+
+
+def sized_tags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    """Numbered tags, the length of the longest set and the number of all rows."""
     longest, lines = set_sizes(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
     rows = number_rows(select(spark, sf_dir, TAG_ROWS), ["set_id"], LINE_ORDER, longest=longest, rows=lines)
-    return rows, longest
+    return rows, longest, lines
 
 
 def tags_sql() -> str:

@@ -9,7 +9,7 @@ from tapeledger.functions.display import duration_short
 from tapeledger.functions.formats import is_cdda
 from tapeledger.operators import setlist as L
 from tapeledger.operators import tags as G
-from tapeledger.operators.ordered import attach, longest_set, number_rows
+from tapeledger.operators.ordered import attach, longest_set, number_rows, spread
 from tapeledger.plans import standins as S
 from tapeledger.session import stored
 from tapeledger.sources.text import split_titles
@@ -141,21 +141,21 @@ SELECT 'set' || CAST(l_orderkey AS STRING) AS dir, CASE WHEN l_partkey % 9 = 0 T
 FROM {lineitem}"""
 
 
-def text_files(spark, sf_dir):
+def text_files(spark, sf_dir, lines=None):
     planned = S.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("set_id"), F.expr("'set' || CAST(o_orderkey AS STRING)").alias("dir"),
         F.lit("gd1977-05-08.txt").alias("info_file"),
     )
-    return L.other_text_files(planned, S.select(spark, sf_dir, TEXTS))
+    return L.other_text_files(planned, S.select(spark, sf_dir, TEXTS), lines)
 
 
 def problems(spark, sf_dir):
     """The numbered tags are read by every rule, so they are kept; rules about single files need no runs."""
-    rows, longest = S.tags(spark, sf_dir)
-    rows = stored(rows, "tags")
+    rows, longest, lines = S.sized_tags(spark, sf_dir)
+    rows = spread(stored(rows, "tags"), ["set_id"], lines, longest)
     inventory = rows.withColumn("file_name", F.expr(FILE_NAME))
     flac = inventory.filter("format = 'FLAC'")
-    return L.setlist_problems(inventory, flac, flac, in_runs(rows, longest), text_files(spark, sf_dir))
+    return L.setlist_problems(inventory, flac, flac, in_runs(rows, longest), text_files(spark, sf_dir, lines))
 
 
 def rendered(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 The tables hold no audio, so each collection is a plain select in a dialect that Spark and
 DuckDB share: the registered query and its SQL twin start from the same text and part ways
-after it. Table names stand in braces. Row numbers are added by ``number_rows`` on the Spark
+after it. Names alone join their tables in another order on the Spark side. Table names stand in braces. Row numbers are added by ``number_rows`` on the Spark
 side and by ``numbered`` on the SQL side.
 """
 

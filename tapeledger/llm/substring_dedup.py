@@ -220,15 +220,22 @@ _OTHER = mixed(np.arange(256, dtype=np.uint64), 77)
 
 
 def _window_rows(batches):
-    """Hashes of the windows of open suffixes; those that repeat in a block as spans, without a hash."""
+    """Hashes of the windows of open suffixes; those that repeat in a block as spans, without a hash.
+
+    Windows go on in the order of the texts, so that rows next to each other differ in little but the hash.
+    """
     held, count = [], 0
 
     def flush():
-        h, g, ids, dups, at = _sorted(held, 5, lambda c: (c[4], c[3], c[2], c[1], c[0]))
+        h, g, ids, dups, at = (np.concatenate([part[i] for part in held]) for i in range(5))
+        held.clear()
+        order = np.lexsort((at, dups, ids, g, h))
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        yield batch_of(h[new], g[new], ids[new], dups[new], at[new], np.zeros(int(new.sum()), np.int64))
-        ids, dups, at = ids[~new], dups[~new], at[~new]
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+        kept = np.sort(order[new])
+        yield batch_of(h[kept], g[kept], ids[kept], dups[kept], at[kept], np.zeros(len(kept), np.int64))
+        order = order[~new]
+        ids, dups, at = ids[order], dups[order], at[order]
         if len(at):
             order = np.lexsort((at, dups, ids))
             ids, dups, at = ids[order], dups[order], at[order]
@@ -289,6 +296,21 @@ def _repeated_windows(batches):
         yield _found_batch(ids[out], dups[out], at[out], np.where(spans, until, at + LENGTH)[out], np.zeros(int(out.sum())))
 
 
+def _dealt_windows(windows: DataFrame) -> DataFrame:
+    """Windows sorted by hash and place, equal ones in one task.
+
+    They are the most that is on disk at once, so they move as four numbers, of which only the hash and
+    the place in the text differ from one row to the next: places and lengths are below 2^31, as is ``g``.
+    """
+    high = lambda c, low: F.shiftleft(F.col(c).cast("long"), 32).bitwiseOR(low.cast("long"))
+    length = F.when(F.col("until") > 0, F.col("until") - F.col("at")).otherwise(0)
+    narrow = windows.select("id", high("g", length).alias("g"), "h", high("dup", F.col("at")).alias("place"))
+    narrow = narrow.repartition("h").sortWithinPartitions("h", "g", "id", "place")
+    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    until = F.when(low("g") > 0, low("place") + low("g")).otherwise(0)
+    return narrow.select("h", F.shiftright("g", 32).cast("int").alias("g"), "id", F.shiftright("place", 32).cast("int").alias("dup"), low("place").alias("at"), until.alias("until"))
+
+
 def _cell(bits: int = MASK_BITS):
     slot = F.pmod(F.xxhash64("id", "dup"), F.lit(bits))
     return (slot / 32).cast("int"), F.expr(f"cast(pmod(pmod(xxhash64(id, dup), {bits}), 32) as int)")
@@ -334,8 +356,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranges = found.filter("open").groupBy("id", "dup").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     rims = written(ranges, "rims")
     near = _masked(nodes, rims.select("id", "dup")).filter("near").drop("near").join(rims, ["id", "dup"])
-    windows = near.mapInArrow(_window_rows, WINDOW_ROWS).repartition("h", "g").sortWithinPartitions("h", "g", "id", "dup", "at")
-    more = windows.mapInArrow(_repeated_windows, FOUND)
+    windows = near.mapInArrow(_window_rows, WINDOW_ROWS)
+    more = _dealt_windows(windows).mapInArrow(_repeated_windows, FOUND)
     spans = found.filter("NOT open").unionAll(more).select("id", "dup", F.struct("a", "b").alias("s"))
     cuts = written(spans.groupBy("id", "dup").agg(F.collect_list("s").alias("spans")), "spans")
     marked = _masked(source, cuts.select("id", "dup"))

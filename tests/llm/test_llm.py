@@ -331,6 +331,26 @@ def test_repeated_bytes_across_parts_and_blocks(spark, monkeypatch):
     assert got == {(i, n, m, h) for i, n, m, _, h in plain.repeated_bytes(rows)}
 
 
+def test_windows_move_as_four_numbers(spark):
+    most = (1 << 31) - 1
+    windows = [(7, 3, 1, 0, 9, 0), (7, 3, 1, 0, 4, 0), (7, 3, -(1 << 63), most, most, 0), (7, 2, 5, 1, 0, 0), (-1, most, 6, 0, 1 << 20, 0), (5, 0, 6, 2, most - 100, most), (6, 0, 6, 0, 0, 100)]
+    dealt = substring_dedup._dealt_windows(spark.createDataFrame(windows, substring_dedup.WINDOW_ROWS))
+    got = [tuple(r) for r in dealt.collect()]
+    assert sorted(got) == sorted(windows)
+    assert [w for w in got if w[0] == 7] == sorted(w for w in windows if w[0] == 7)
+    assert len(dealt._jdf.queryExecution().optimizedPlan().children().head().children().head().output().toList().mkString(",").split(",")) == 4
+
+
+def test_windows_leave_a_task_in_the_order_of_texts():
+    texts = [words(80 + i, 60) for i in range(3)]
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    near = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3]), pa.array([0, 0, 0], pa.int32()), pa.array(texts), pa.array([[{"a": 0, "b": 40}]] * 3, kind)], names=["id", "dup", "text", "ranges"]
+    )
+    got = [(r["id"], r["at"]) for b in substring_dedup._window_rows(iter([near])) for r in b.to_pylist()]
+    assert got == [(i, at) for i in (1, 2, 3) for at in range(41)]
+
+
 @given
 def test_repeated_bytes_agree_with_all_windows(spark, documents):
     assert {tuple(r) for r in substring_dedup.op6_suffix_dedup(spark, DATA).collect()} == plain.repeated_bytes(documents)

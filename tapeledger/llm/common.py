@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,32 @@ def dropped(*tables: DataFrame) -> None:
             place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 22
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on this session hands rows to Python about ``BATCH_BYTES`` at a time, unless it has a bound of its own.
+
+    Spark's bounds are 10,000 rows and 64 MB, which a task holds several times over in both processes.
+    """
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
+def tidy(run):
+    """``run``, a function on batches, that gives memory back at its end: the process waits for other tasks and would keep it."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def give_back() -> None:
     """Return what this process has freed to the system, where its C library can; a driver that trained a model keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError, TypeError):

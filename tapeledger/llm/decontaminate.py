@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from tapeledger.llm.common import quoted, read
+from tapeledger.llm.common import quoted, read, short_batches, tidy
 from tapeledger.llm.wordhash import IS_SPACE, LOWERED, chunks
 
 ERROR_RATE = 1 / 16  # edits allowed per code point of an item
@@ -187,7 +187,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         return batch.filter(pa.array(clean))
 
     for block in item_blocks(benchmark):
-        docs = docs.mapInArrow(lambda b, items=block: _searched(b, place, items, rate, emit), docs.schema)
+        docs = docs.mapInArrow(tidy(lambda b, items=block: _searched(b, place, items, rate, emit)), docs.schema)
     return docs
 
 
@@ -197,6 +197,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs``, with all their columns whatever their names, that contain no item of ``benchmark``; null and empty texts stay."""
+    short_batches(spark)
     return without_hits(docs, read(spark, sf_dir, "benchmark"))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeledger.llm.common import dropped, packed, quoted, read, written
+from tapeledger.llm.common import dropped, packed, quoted, read, short_batches, tidy, written
 from tapeledger.llm.components import components, hooked
 from tapeledger.llm.wordhash import SHINGLE, chunks, mixed, shingles, words
 
@@ -65,7 +65,7 @@ def _summaries(nodes: DataFrame, k: int) -> DataFrame:
             at = pa.array(range(len(parts)), pa.int64())
             yield pa.RecordBatch.from_arrays([at, pa.nulls(len(parts), pa.int64()), at, at, pa.array(parts, pa.binary())], names=["id", "n", "s1", "s2", "counts"])
 
-    return nodes.mapInArrow(run, "id long, n long, s1 long, s2 long, counts binary")
+    return nodes.mapInArrow(tidy(run), "id long, n long, s1 long, s2 long, counts binary")
 
 
 def _slot(tokens: np.ndarray) -> np.ndarray:
@@ -161,9 +161,8 @@ def _alive(nodes: DataFrame, sized: DataFrame, groups: DataFrame, classes, k: in
     """
 
     def run(batches):
-        table, seen = classes.value, set()
+        table, seen, held, size = classes.value, set(), [], 0
         for batch in batches:
-            held, size = [], 0
             for _, tokens in _sets(batch.column(0), k):
                 signature = _signature(tokens)
                 if not len(tokens) or signature in seen:
@@ -174,9 +173,9 @@ def _alive(nodes: DataFrame, sized: DataFrame, groups: DataFrame, classes, k: in
                 if size > HELD:
                     yield _pairs(held)
                     held, size = [], 0
-            yield _pairs(held)
+        yield _pairs(held)
 
-    rows = nodes.select("text").mapInArrow(run, "token long, id long, deal int")
+    rows = nodes.select("text").mapInArrow(tidy(run), "token long, id long, deal int")
     shared = _of_several(rows).groupBy("id").count().withColumnRenamed("id", "s1")
     need = 1 + F.floor((NUMBER * F.col("n") + OF - 1) / OF).cast("long") / EXTRA
     return shared.join(groups, "s1").filter(F.col("count") >= F.floor(need)).select(F.col("v").alias("id")).distinct()
@@ -196,21 +195,21 @@ def _lists(batch: pa.RecordBatch):
 
 def _held(batches, rows_of):
     """Batches of token rows of bounded size."""
+    rows, size = [], 0
     for batch in batches:
-        rows, size = [], 0
         for i, n, tokens in _lists(batch):
             rows.append((i, n, len(tokens), rows_of(n, tokens)))
             size += len(rows[-1][3])
             if size > HELD:
                 yield _token_batch(rows)
                 rows, size = [], 0
-        yield _token_batch(rows)
+    yield _token_batch(rows)
 
 
 def _prefixes(sets: DataFrame, classes, salt: int) -> DataFrame:
     """Prefix tokens of each set under one order; tokens that no other set has need no place in it."""
     first = lambda n, tokens: _ordered(tokens, classes.value, salt)[: len(tokens) - _least(n) + 1]
-    return sets.mapInArrow(lambda batches: _held(batches, first), TOKEN_ROWS)
+    return sets.mapInArrow(tidy(lambda batches: _held(batches, first)), TOKEN_ROWS)
 
 
 def _smallest(sets: DataFrame) -> DataFrame:
@@ -219,7 +218,7 @@ def _smallest(sets: DataFrame) -> DataFrame:
     def firsts(n: int, tokens: np.ndarray) -> np.ndarray:
         return np.array([mixed(tokens, 200 + o).min() for o in range(STARS)], np.uint64) ^ np.arange(STARS, dtype=np.uint64) if len(tokens) else tokens
 
-    return sets.mapInArrow(lambda batches: _held(batches, firsts), TOKEN_ROWS).drop("deal")
+    return sets.mapInArrow(tidy(lambda batches: _held(batches, firsts)), TOKEN_ROWS).drop("deal")
 
 
 def _shared(rows: DataFrame, name: str) -> DataFrame:
@@ -252,15 +251,16 @@ def _token_sets(nodes: DataFrame, k: int) -> DataFrame:
     """Every token of every set, a row each, and the number of the set among those of its id."""
 
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
-            ids, rows, size = batch.column(0).to_pylist(), [], 0
+            ids = batch.column(0).to_pylist()
             for row, tokens in _sets(batch.column(1), k):
                 rows.append((ids[row], len(tokens), _signature(tokens)[0], tokens))
                 size += len(tokens)
                 if size > HELD:
                     yield pack(rows)
                     rows, size = [], 0
-            yield pack(rows)
+        yield pack(rows)
 
     def pack(rows):
         sizes = [len(t) for *_, t in rows]
@@ -270,7 +270,7 @@ def _token_sets(nodes: DataFrame, k: int) -> DataFrame:
         columns = [pa.array(token), ids, each(1, np.int32), each(2, np.int64), pa.array(_dealt(token, ids.to_numpy()))]
         return pa.RecordBatch.from_arrays(columns, names=["token", "id", "n", "sid", "deal"])
 
-    return nodes.mapInArrow(run, "token long, id long, n int, sid long, deal int")
+    return nodes.mapInArrow(tidy(run), "token long, id long, n int, sid long, deal int")
 
 
 def _able_sets(nodes: DataFrame, sized: DataFrame, k: int) -> DataFrame:
@@ -308,7 +308,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "tokens_u", "tokens_v")
-    return joined.mapInArrow(run, "u long, v long")
+    return joined.mapInArrow(tidy(run), "u long, v long")
 
 
 def _stars(firsts: DataFrame) -> DataFrame:
@@ -435,6 +435,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows of a repeated id are told apart: if there are any, rows are numbered in a table, and these
     numbers are the nodes.
     """
+    short_batches(spark)
     node = F.coalesce(F.col(quoted("doc_id")).cast("long"), F.lit(NO_ID)).alias("id")
     if not docs.select(node).groupBy("id").count().filter("count > 1").limit(1).count():
         found = near_duplicates(docs)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeledger.llm.common import give_back, quoted, read
+from tapeledger.llm.common import give_back, quoted, read, short_batches, tidy
 from tapeledger.llm.wordhash import IS_SPACE, LOWERED, chunks, mixed, powers
 
 DECAY = 0.6  # weight of a subsequence for each letter it spans
@@ -377,7 +377,7 @@ def score_texts(df: DataFrame, machine: Machine, score_col: str = "score", text_
             else:
                 yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(scores < keep))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,6 +389,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not toxic, with all their columns whatever their names; null and empty texts stay."""
+    short_batches(spark)
     machine = fitted(docs, read(spark, sf_dir, "labels"))
     return score_texts(docs, machine, keep=THRESHOLD)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapeledger.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, mixing, quality, substring_dedup, toxicity
-from tapeledger.llm.common import written
+from tapeledger.llm.common import BATCH, BATCH_BYTES, short_batches, written
 from tapeledger.llm.components import components
 from tapeledger.llm.registry import all_queries
 from tapeledger.plans.standins import TABLES
@@ -189,6 +189,28 @@ def test_rows_of_a_frequent_token_are_dealt_over_tasks():
     assert sorted(set(deal[:900]))[-1] == 1 and (deal[:900] == 1).sum() == 1 and len(set(deal[:900])) > 800 and (deal[:900] < 0).sum() == 899
 
 
+def test_tokens_are_put_together_across_batches():
+    lists = pa.array([[i, i + 1, i + 2] for i in range(6)], pa.list_(pa.int64()))
+    whole = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array([3] * 6, pa.int32()), lists], names=["id", "n", "tokens"])
+    got = list(jaccard_join._held(iter([whole.slice(i, 1) for i in range(6)]), lambda n, tokens: tokens))
+    assert [b.num_rows for b in got] == [18]
+    assert got[0].equals(next(jaccard_join._held(iter([whole]), lambda n, tokens: tokens)))
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "jaccard_join", "decontamination"])
+def test_stages_hand_texts_to_tasks_in_short_batches(spark, stage):
+    spark.conf.unset(BATCH)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, DATA)
+    big = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    sizes = big.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    assert sizes.agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
+    spark.conf.set(BATCH, "1m")
+    short_batches(spark)
+    assert spark.conf.get(BATCH) == "1m"
+    spark.conf.unset(BATCH)
+
+
 def test_tokens_of_several_ids(spark):
     rows = [(7, 1, 0), (7, 1, 0), (8, 1, 0), (8, 2, 0), (9, 5, 1), (9, 6, -4), (9, 7, -5), (9, 8, 0), (6, 1, 0)]
     got = jaccard_join._of_several(spark.createDataFrame(rows, "token long, id long, deal int"))

@@ -45,14 +45,14 @@ def additive_merge(comments: Column, edit: Column) -> Column:
     return F.map_filter(merged, lambda _key, values: values.isNotNull())
 
 
+def comment_fields(comments: Column) -> dict[str, Column]:
+    """The nine fields; the first value of a repeated key wins."""
+    return {field: F.get(F.try_element_at(comments, F.lit(key)), F.lit(0)) for field, key in TAG_FIELDS.items()}
+
+
 def project_comments(comments: Column) -> Column:
-    """The nine fields as a struct; the first value of a repeated key wins."""
-    return F.struct(
-        *[
-            F.get(F.try_element_at(comments, F.lit(key)), F.lit(0)).alias(field)
-            for field, key in TAG_FIELDS.items()
-        ]
-    )
+    """The nine fields as a struct."""
+    return F.struct(*[value.alias(field) for field, value in comment_fields(comments).items()])
 
 
 def edit_for_track(show: dict[str, Column], title: Column, position: Column, count: Column) -> Column:

@@ -58,17 +58,20 @@ def wav_headers(spark, sf_dir):
     )
 
 
-FLAC_SHAPE = """
-SELECT l_orderkey AS set_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, p_name AS title, p_brand AS brand,
+FLAC_LINES = "SELECT l_orderkey AS set_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, p_name AS title, p_brand AS brand"
+FLAC_FACTS = """
   CASE WHEN l_partkey % 4 = 0 THEN 96000 ELSE 44100 END AS rate, CAST(1 + l_partkey % 8 AS INT) AS channels, CASE WHEN l_partkey % 3 = 0 THEN 24 ELSE 16 END AS bits,
   CASE WHEN l_partkey % 17 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(round(l_extendedprice * 100) AS BIGINT) * 1000 END AS frames,
   CASE WHEN l_partkey % 9 = 0 THEN '00000000000000000000000000000000' ELSE md5(CAST(l_partkey AS STRING)) END AS digest,
-  CASE WHEN l_suppkey % 5 = 0 THEN '' ELSE 'encoder ' || CAST(l_suppkey AS STRING) END AS vendor, l_suppkey % 11 = 0 AS broken
+  CASE WHEN l_suppkey % 5 = 0 THEN '' ELSE 'encoder ' || CAST(l_suppkey AS STRING) END AS vendor, l_suppkey % 11 = 0 AS broken"""
+FLAC_FROM = """
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
+FLAC_SHAPE = f"\n{FLAC_LINES},{FLAC_FACTS}{FLAC_FROM}"
 
 
 def flac_headers(spark, sf_dir):
-    rows = S.tracks(spark, sf_dir, FLAC_SHAPE)[0]
+    # Lines move to their sets; what their own columns tell is added where they then stand.
+    rows = S.tracks(spark, sf_dir, FLAC_LINES + FLAC_FROM, f"SELECT set_id, ordinal, title, brand,{FLAC_FACTS} FROM {{base}}")[0]
 
     def text(value: Column) -> Column:
         return F.concat(le(F.octet_length(value), 4), value.cast("binary"))

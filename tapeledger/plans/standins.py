@@ -61,16 +61,16 @@ SELECT l_orderkey AS set_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice
 FROM {lineitem}"""
 
 
-def tracks(spark: SparkSession, sf_dir: str, text: str = CD_TRACKS) -> tuple[DataFrame, int]:
+def tracks(spark: SparkSession, sf_dir: str, text: str = CD_TRACKS, told: str | None = None) -> tuple[DataFrame, int]:
     """Numbered tracks and the length of the longest set."""
-    return sized_tracks(spark, sf_dir, text)[:2]
+    return sized_tracks(spark, sf_dir, text, told)[:2]
 
 
-def sized_tracks(spark: SparkSession, sf_dir: str, text: str = CD_TRACKS) -> tuple[DataFrame, int, int]:
-    """Numbered tracks, the length of the longest set and the number of all."""
+def sized_tracks(spark: SparkSession, sf_dir: str, text: str = CD_TRACKS, told: str | None = None) -> tuple[DataFrame, int, int]:
+    """Numbered tracks, the length of the longest set and the number of all; ``told`` selects from ``{base}``, the tracks once numbered."""
     longest, lines = set_sizes(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
     rows = number_rows(select(spark, sf_dir, text), ["set_id"], LINE_ORDER, longest=longest, rows=lines)
-    return rows.drop(*LINE_ORDER), longest, lines
+    return spark.sql(told, base=rows) if told else rows.drop(*LINE_ORDER), longest, lines
 
 
 def tracks_sql(text: str = CD_TRACKS) -> str:

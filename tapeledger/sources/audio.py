@@ -8,10 +8,11 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeledger.functions.tags import project_comments
+from tapeledger.functions.tags import comment_fields
 from tapeledger.operators.inventory import split_readable, union_sets
 from tapeledger.schemas import PROBE_FIELDS
 from tapeledger.session import union_all
+from tapeledger.sources.columns import flac_columns
 from tapeledger.sources.opening import list_files, map_files, read_exact
 
 CHUNK = 1 << 20
@@ -118,7 +119,7 @@ def wav_facts(f) -> dict:
 
 def read_flac_headers(files: DataFrame) -> DataFrame:
     """Rate, channels, bits, frames, stored digest, encoder and comments of FLAC files."""
-    return map_files(files, lambda _row, f: flac_facts(f), PROBE_FIELDS)
+    return map_files(files, lambda _row, f: flac_facts(f), PROBE_FIELDS, flac_columns)
 
 
 def read_wav_headers(files: DataFrame) -> DataFrame:
@@ -162,9 +163,10 @@ def collect_paths(
 
 def read_tags(inventory: DataFrame) -> DataFrame:
     """The nine fields of probed files; other formats carry no such comments."""
-    fields = F.when(F.col("format") == "FLAC", project_comments(F.col("comments")))
-    status = F.when(F.col("format") == "FLAC", "OK").otherwise("NOT_TAGGABLE")
-    return inventory.withColumn("_t", fields).select(*inventory.columns, status.alias("tag_status"), "_t.*")
+    flac = F.col("format") == "FLAC"
+    # Each a column of its own, so that those nobody asks for are not looked up.
+    fields = [F.when(flac, value).alias(field) for field, value in comment_fields(F.col("comments")).items()]
+    return inventory.select(*inventory.columns, F.when(flac, "OK").otherwise("NOT_TAGGABLE").alias("tag_status"), *fields)
 
 
 def _md5(f, start: int, size: int | None) -> str:

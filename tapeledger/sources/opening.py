@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -154,12 +155,18 @@ def read_exact(f, n: int) -> bytes:
     return data
 
 
-def map_files(files: DataFrame, read: Callable[[dict, object], dict], fields: str) -> DataFrame:
+def map_files(
+    files: DataFrame,
+    read: Callable[[dict, object], dict],
+    fields: str,
+    read_many: Callable[[pa.Array], tuple[np.ndarray, dict[str, pa.Array]]] | None = None,
+) -> DataFrame:
     """Add ``fields`` by looking into each file.
 
     A row with ``content`` is read from it, any other is opened by ``path``, so only the bytes
     that are looked at leave the storage. A file that cannot be read becomes a row with a
-    ``reason``.
+    ``reason``. ``read_many`` is asked first, if there is one: it tells of a batch of contents which
+    it could read, and what it found in these, by column; ``read`` sees the others.
     """
     kept = [c for c in files.columns if c != "content"]
     added = StructType.fromDDL(fields)
@@ -193,12 +200,21 @@ def map_files(files: DataFrame, read: Callable[[dict, object], dict], fields: st
             added = columns_of(found)
         except UNFIT:
             added = columns_of([fits(row) for row in found])
+        return with_columns(part, added)
+
+    def with_columns(part: pa.RecordBatch, added: list[pa.Array]) -> pa.RecordBatch:
         columns = [part.column(c) for c in kept] + added
         return pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Flushed by bytes: a row may bring megabytes, and a batch of them more than a task holds.
         for batch in batches:
+            if read_many is not None and "content" in batch.schema.names:
+                done, columns = read_many(batch.column("content"))
+                if done.any():
+                    part = batch if done.all() else batch.filter(pa.array(done))
+                    yield with_columns(part, [columns[n] if n in columns else pa.nulls(part.num_rows) for n in names])
+                    batch = batch.filter(pa.array(~done))
             told = batch.select(kept).to_pylist() if kept else [{}] * batch.num_rows
             contents = batch.column("content") if "content" in batch.schema.names else [None] * batch.num_rows
             first, found, held = 0, [], 0

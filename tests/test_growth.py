@@ -92,3 +92,11 @@ def test_specs_are_resolved_in_one_pass(spark):
 
 def test_modes_are_parsed_once(spark):
     assert "regexp" not in explained(all_queries()["clip_plan"][0](spark, SMALL)).lower()
+
+
+def test_headers_move_lines_and_look_up_what_is_asked(spark):
+    plan = explained(all_queries()["read_flac_headers"][0](spark, SMALL))
+    shuffled, after = plan.split("Exchange hashpartitioning")[1], plan.split("Exchange hashpartitioning")[0]
+    # Digests and lengths are made of a line's own columns, where it stands in its set.
+    assert "md5" not in shuffled and "md5" in after
+    assert "TITLE" in plan and "ALBUM" not in plan and "LOCATION" not in plan

@@ -1,11 +1,16 @@
 import hashlib
+import io
 import struct
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tapeledger.operators import inventory as I
 from tapeledger.operators import layout as L
 from tapeledger.sources import audio as A
+from tapeledger.sources.columns import flac_columns
+from tapeledger.sources.opening import map_files
 
 PCM = bytes(range(256)) * 20
 
@@ -96,6 +101,65 @@ def test_headers_are_read_without_the_rest(spark, tmp_path):
     assert A.read_wav_headers(missing).first().reason
 
 
+def told_by_row(content):
+    try:
+        facts = A.flac_facts(io.BytesIO(content))
+    except ValueError as e:
+        return None, None, None, str(e)
+    return facts["stream"], facts["encoder"], facts["comments"], None
+
+
+def odd_flacs():
+    """Regular headers and headers of every other kind."""
+    text = lambda b: struct.pack("<I", len(b)) + b
+    part = lambda kind, b, last=0: bytes([kind | last]) + len(b).to_bytes(3, "big") + b
+    stream = flac()[8:42]
+    said = text(b"v") + struct.pack("<I", 2) + text(b"no sign") + text(b"=\xff=\xc3\xa4")
+    found = [flac(frames=f, md5=m, vendor=v, comments=c) for f in (0, (1 << 36) - 1) for m in (bytes(16), bytes(range(16))) for v in ("", "vä")
+             for c in ((), ("TITLE=a", "x=", "title=b", "=c", "tItLe=d=e"), ("stra\u00dfe=1", "STRASSE=2", "ä=ö"), tuple(f"k{i % 7}={i}" for i in range(100)))]
+    found += [flac(rate=(1 << 20) - 1, channels=8, bits=32), flac(rate=0, channels=1, bits=1), b"fLaX" + flac()[4:], b"", b"fLa", b"fLaC", b"RIFF"]
+    for blocks in ([(4, said), (0, stream)], [(4, said)], [(0, stream)], [(0, stream), (0, stream), (4, said)], [(4, said), (4, b""), (0, stream)], [(0, stream[:20])],
+                   [(0, stream + b"more"), (4, said)], [(1, b"")] * 200 + [(0, stream), (4, said)], [(0, stream), (4, b"\xff\xff\xff\xff")], [(0, stream), (4, text(b"") + b"\xff\xff\xff\x7f")]):
+        found += [b"fLaC" + b"".join(part(k, b, 128 * (last and i == len(blocks) - 1)) for i, (k, b) in enumerate(blocks)) + b"frames" for last in (0, 1)]
+    whole = flac()
+    return found + [whole[:n] for n in range(len(whole))] + [whole[:i] + bytes([whole[i] ^ 0x81]) + whole[i + 1 :] for i in range(len(whole))]
+
+
+def test_headers_by_column_are_headers_by_row():
+    contents = odd_flacs()
+    for size in (len(contents), 7, 1):
+        for i in range(0, len(contents), size):
+            some = [*contents[i : i + size], None]
+            for kind in (pa.binary(), pa.large_binary()):
+                told, found = flac_columns(pa.array([b"before", *some, b"after"], kind).slice(1, len(some)))
+                assert not told[-1]
+                got = list(zip(*[found[n].to_pylist() for n in ("stream", "encoder", "comments", "reason")]))
+                assert got == [told_by_row(c) for c, t in zip(some, told) if t]
+    # Whole files are told by column; only odd ones are left.
+    assert flac_columns(pa.array([flac()] * 3 + [b"fLaX"]))[0].all()
+    assert len(flac_columns(pa.array([], pa.binary()))[0]) == 0
+
+
+def test_contents_are_read_at_once_where_they_can_be(spark, tmp_path):
+    (tmp_path / "a.flac").write_bytes(flac(vendor="on disk"))
+    data = [(i, None, c) for i, c in enumerate(odd_flacs())] + [(-1, str(tmp_path / "a.flac"), None), (-2, str(tmp_path / "none"), None)]
+    df = spark.createDataFrame(data, "n int, path string, content binary")
+    got = {r.n: r for r in A.read_flac_headers(df).collect()}
+    assert len(got) == len(data) and got[-1].encoder == "on disk" and got[-2].reason
+    for n, _, content in data[:-2]:
+        stream, encoder, comments, reason = told_by_row(content)
+        r = got[n]
+        assert (r.stream and r.stream.asDict(), r.encoder, r.comments, r.reason) == (stream, encoder, None if comments is None else dict(comments), reason)
+
+    def many(contents):
+        told = np.array([c == b"x" for c in contents.to_pylist()])
+        return told, {"v": pa.array([1] * int(told.sum()))}
+
+    df = spark.createDataFrame([(1, b"x"), (2, b"y"), (3, b"x"), (4, b"")], "n int, content binary")
+    both = map_files(df, lambda _row, f: {"v": 10 + len(f.read())}, "v int, reason string", many)
+    assert {r.n: (r.v, r.reason) for r in both.collect()} == {1: (1, None), 2: (11, None), 3: (1, None), 4: (10, None)}
+
+
 def test_summary(spark):
     inventory = spark.createDataFrame([("a", 0, "WAV"), ("a", 1, "FLAC"), ("a", 2, "FLAC")], "set_id string, ordinal long, format string")
     skipped = spark.createDataFrame([("a",), ("b",)], "set_id string")

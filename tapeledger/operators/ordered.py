@@ -25,6 +25,8 @@ BLOCK_ROWS = 1 << 18
 BLOCK_ROWS_CONF = "spark.tapeledger.blockRows"
 # Rows a task gets when whole sets are dealt out: more rows make more tasks, not larger ones.
 TASK_ROWS = 1 << 17
+# Counts a task hands on to bound the largest set.
+BUCKETS = 1 << 16
 
 Aggregate = tuple[Callable[[Column], Column], Column]
 
@@ -33,15 +35,26 @@ def rows_per_block(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS)))
 
 
-def set_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """Rows in the largest set and in all: one map-side combined count, two numbers to the driver."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n"), F.sum("count").alias("rows")).first()
+def _counted(df: DataFrame, *by: str | Column) -> tuple[int, int]:
+    """Rows in the largest group and in all: one map-side combined count, two numbers to the driver."""
+    row = df.groupBy(*by).count().agg(F.max("count").alias("n"), F.sum("count").alias("rows")).first()
     return int(row["n"] or 0), int(row["rows"] or 0)
 
 
+def set_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """A number of rows that no set exceeds, and the rows in all.
+
+    Sets are counted in ``BUCKETS`` by hash, so that no task hands on more counts than these. Where the
+    fullest bucket is no more than one task may sort, that bound will do; else ``df`` is read again
+    and the largest set itself is counted.
+    """
+    bound = _counted(df, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket"))
+    return bound if bound[0] <= rows_per_block(df) else _counted(df, *keys)
+
+
 def longest_set(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows in the largest set."""
-    return set_sizes(df, keys)[0]
+    return _counted(df, *keys)[0]
 
 
 def spread(df: DataFrame, keys: Sequence[str], rows: int | None, longest: int) -> DataFrame:

@@ -6,6 +6,8 @@ back; the SQL twin takes the same facts straight from the table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ from tapeledger.sources import torrents as T
 
 def le(n: Column, width: int) -> Column:
     """A number as ``width`` bytes, lowest first."""
-    digits = F.lpad(F.hex(n.cast("long")), 2 * width, "0")
-    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))]))
+    n = n.cast("long")
+    turned = [F.shiftleft(F.shiftright(n, 8 * i).bitwiseAND(255), 8 * (width - 1 - i)) for i in range(width)]
+    return be(reduce(lambda a, b: a.bitwiseOR(b), turned), width)
 
 
 def be(n: Column, width: int) -> Column:
@@ -88,6 +91,7 @@ def flac_headers(spark, sf_dir):
         text(F.col("vendor")), le(F.lit(3), 4), text(F.concat(F.lit("title="), F.col("title"))),
         text(F.concat(F.lit("ARTIST="), F.col("brand"))), text(F.lit("TITLE=again")),
     )
+    rows, comments = rows.withColumn("comments", comments), F.col("comments")
     content = F.concat(
         F.when(F.col("broken"), raw("fLaX")).otherwise(raw("fLaC")), F.lit(b"\0"), be(F.lit(34), 3), stream,
         F.lit(b"\x01"), be(F.lit(4), 3), raw("skip"), F.lit(b"\x84"), be(F.octet_length(comments), 3), comments,

@@ -100,3 +100,16 @@ def test_headers_move_lines_and_look_up_what_is_asked(spark):
     # Digests and lengths are made of a line's own columns, where it stands in its set.
     assert "md5" not in shuffled and "md5" in after
     assert "TITLE" in plan and "ALBUM" not in plan and "LOCATION" not in plan
+
+
+def test_sets_are_bounded_by_buckets_and_long_ones_counted(spark, monkeypatch):
+    df = spark.range(3000).select(F.when(F.col("id") < 50, 0).otherwise(F.col("id")).alias("k"))
+    monkeypatch.setattr(O, "BUCKETS", 4)
+    most, all_rows = O.set_sizes(df, ["k"])
+    assert 750 <= most <= 3000 and all_rows == 3000
+    # A bound over a task's rows says nothing about the sets.
+    monkeypatch.setattr(O, "BLOCK_ROWS", 700)
+    assert O.set_sizes(df, ["k"]) == (50, 3000) and O.longest_set(df, ["k"]) == 50
+    assert O.set_sizes(df.limit(0), ["k"]) == (0, 0)
+    nulls = spark.createDataFrame([(None,)] * 5 + [(1,)], "k long")
+    assert O.set_sizes(nulls, ["k"])[1] == 6 and O.set_sizes(nulls, ["k"])[0] >= 5
